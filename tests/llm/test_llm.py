@@ -1,0 +1,322 @@
+"""The training-data operators against brute force, exact round trips and held-out rows, and on edge cases."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from faultline.llm import components, encoding, html_text, jaccard, language, media, packing, pii, quality, queries, rules, sentencepiece_codec, token_counts
+from faultline.llm import _text as X
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+ODD = [
+    (1, None), (2, ""), (3, "   \n\t "), (4, "one two three four five six"), (5, "one two three four five six"), (5, "one two three four five six"), (6, "é" * 30_000), (7, "a b"), (8, "A B"),
+    (9, " ".join(f"w{i}" for i in range(3000))), (10, " ".join(f"w{i}" for i in range(2990))), (None, "no id at all here, my friend"), (11, "x@y.zz +1 705 555 1234 4111111111111111 10.0.0.1"), (12, "日本語 текст mixed text"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Rows with nulls, repeats, long texts and columns whose names clash with ours."""
+    folder = str(tmp_path_factory.mktemp("odd"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, n long, kind int, token string, spans string"
+    spark.createDataFrame([(i, t, "en", None, None, 1.0, 2, 3, "t", None) for i, t in ODD], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(4, 1, 0), (4, 0, 1), (9, 1, 0), (None, 1, 1), (7, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<p>Some text<p>more &amp; more"), (4, "u", "<div>" * 3000 + "deep")], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    return folder
+
+
+@pytest.fixture(scope="module")
+def empty(spark, data, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("empty"))
+    for t in ("documents", "labels", "pages"):
+        spark.read.parquet(f"{data}/{t}.parquet").limit(0).write.parquet(f"{folder}/{t}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_odd_and_empty_tables(spark, odd, empty, name):
+    rows = queries.QUERIES[name](spark, odd).collect()
+    assert rows
+    if name not in ("op2_token_counts", "op10_packing"):
+        assert len(rows) == (4 if name == "op7_html_text" else len(ODD))
+    assert queries.QUERIES[name](spark, empty).collect() == []
+
+
+def brute_classes(rows):
+    sets = []
+    for _, t in rows:
+        b = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
+        w = WORD.findall(b)
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if x and y and 4 * len(x & y) >= 3 * len(x | y):
+                up[find(a)] = find(b)
+    ids = collections.defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        ids[find(k)].append(i)
+    low = {k: min((i for i in v if i is not None), default=None) for k, v in ids.items()}
+    return [(i, len(s), low[find(k)]) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+def test_jaccard_against_brute_force(spark):
+    rng = random.Random(5)
+    base = [[f"v{rng.randrange(4000)}" for _ in range(rng.choice([3, 8, 40, 120]))] for _ in range(25)]
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for k in range(260):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        if rng.random() < 0.3:
+            w = w + passage
+        rows.append((k, rng.choice([" ", "\n"]).join(w)))
+    big = [f"g{i}" for i in range(150)]
+    for k in range(300, 420):
+        w = list(big)
+        for _ in range(rng.randrange(8)):
+            w[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    assert got == brute_classes(rows)
+
+
+def test_jaccard_odd_rows(spark, odd):
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in queries.QUERIES["op4_jaccard_join"](spark, odd).collect()), key=str)
+    assert got == sorted(brute_classes([(i, t) for i, t in ODD]), key=str) or got == sorted(((i, n, i if n == 0 else c) for i, n, c in brute_classes(ODD)), key=str)
+
+
+def test_one_of_each_keeps_clean_rows(spark, odd):
+    kept = jaccard.one_of_each(spark.read.parquet(f"{odd}/documents.parquet")).collect()
+    assert sorted((r.doc_id for r in kept), key=str) == sorted([1, 2, 3, 4, 6, 7, 9, None, 11, 12], key=str)
+
+
+def test_components(spark):
+    e = [(1, 2), (2, 3), (5, 6), (9, 3), (20, 21), (21, 22), (22, 20)]
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(e, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5, 20: 20, 21: 20, 22: 20}
+
+
+def test_encoder_gives_the_tokenizers_ids():
+    path = P.path(token_counts.TOKENIZER)
+    t = Tokenizer.from_file(path)
+    texts = ["", "Hello, World!! it's 2024.", "É Ü×ß naïve 日本語 x́ <|endoftext|> a<|startoftext|>b", "tab\tnl\n\x1c ctrl\x00x", "don't  we're I'll", "ABC123def___--- ﬁ Ⅷ  x", "a" * 500, "'s 't"]
+    rng = random.Random(1)
+    texts += ["".join(rng.choice("aB1 .,'é-É́日<|> \n") for _ in range(60)) for _ in range(200)]
+    u = encoding.Encoder.of(path).units(*X.as_bytes(pa.array(texts)))
+    ids = u.stream()
+    at = np.concatenate([[0], np.cumsum(np.bincount(u.doc, weights=u.size, minlength=len(texts)).astype(int))])
+    for k, x in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_token_histogram(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    t = Tokenizer.from_file(P.path(token_counts.TOKENIZER))
+    n = np.array([len(t.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()])
+    s = token_counts.with_suffix_sums(token_counts.lengths(docs, P.path(token_counts.TOKENIZER))).cache()
+    assert token_counts.total_tokens(s) == n.sum() and token_counts.quantile(s, 0.5) == np.sort(n)[-(-len(n) // 2) - 1]
+    for limit in (0, 1, 100, 1000, 10**6):
+        assert token_counts.truncated_total(s, limit) == np.minimum(n, limit).sum()
+
+
+def test_packing_round_trip(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    t = Tokenizer.from_file(P.path(packing.TOKENIZER))
+    ids = {r.doc_id: np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4") for r in docs.collect()}
+    rows = packing.pack(docs, P.path(packing.TOKENIZER), 512).collect()
+    by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+        by_doc[r.doc_id].append((r.start, r.length))
+        by_seq[r.sequence_id].append((r.offset, r.length))
+    for d, pieces in by_doc.items():
+        assert sum(n for _, n in pieces) == len(ids[d]) and all(a + n == b for (a, n), (b, _) in zip(sorted(pieces), sorted(pieces)[1:], strict=False))
+    for pieces in by_seq.values():
+        assert sorted(pieces)[0][0] == 0 and sum(n for _, n in pieces) <= 512 and all(a + n == b for (a, n), (b, _) in zip(sorted(pieces), sorted(pieces)[1:], strict=False))
+    assert set(by_doc) == set(ids)
+
+
+def test_cut_points_are_optimal():
+    rng = np.random.RandomState(2)
+    for _ in range(30):
+        p = np.concatenate([[0], np.cumsum(rng.randint(1, 20, 40))])
+        c = rng.choice([0, 3, 9], len(p))
+        best = [0.0] + [float("inf")] * 40
+        for j in range(1, 41):
+            for i in range(j):
+                if p[j] - p[i] <= 40:
+                    best[j] = min(best[j], best[i] + 40 - (p[j] - p[i]) + c[j])
+        cuts = packing.cut_points(p, c, 40)
+        assert sum(40 - (p[b] - p[a]) + c[b] for a, b in zip(cuts, cuts[1:], strict=False)) == best[-1]
+
+
+def test_packing_of_a_word_without_end(spark):
+    rows = packing.pack(spark.createDataFrame([(1, "a-" * 9000), (2, "b" * 40_000)], "doc_id long, text string"), P.path(packing.TOKENIZER)).collect()
+    assert all(r.offset + r.length <= 4096 for r in rows) and sum(r.length for r in rows if r.doc_id == 1) == rows[0].doc_tokens
+
+
+def test_sentencepiece_parity_and_round_trip():
+    c = sentencepiece_codec.Codec.of(P.path(sentencepiece_codec.MODEL))
+    rng = random.Random(4)
+    texts = ["", " ", "  a  b ", "日本語 \U0001f600", "<s> </s> <0x41>", *["".join(rng.choice("abé日 \n.▁<0x41>") for _ in range(40)) for _ in range(300)]]
+    e = c.encode(pa.array(texts))
+    for k, x in enumerate(texts):
+        assert e.ids[e.at[k] : e.at[k + 1]].tolist() == c.parity.encode(x) and e.parity[k]
+        back = e.text[e.text_at[k] : e.text_at[k + 1]].tobytes().decode()
+        assert back == x.replace("▁", " ") and e.lossless[k] == (back == x)
+
+
+def test_media_round_trip_and_retry(spark, tmp_path):
+    rows = [(1, "abc"), (2, None), (3, "abc"), (None, "x" * 1000)]
+    folder = f"file://{tmp_path}/arc"
+    media.store(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), folder).collect()
+    got = media.described(media.read_archives(spark, folder, rangeBytes="200")).collect()
+    assert len(got) == 4
+    for r in got:
+        raw = (dict(rows)[r.doc_id] or "").encode()
+        padded = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    reader = media.ArchiveReader({"path": folder, "retries": "2"})
+    real, calls = media.ArchiveReader.member, []
+
+    def flaky(f, m):
+        calls.append(m.header_offset)
+        if len(calls) % 2:
+            raise OSError("lost")
+        return real(f, m)
+
+    reader.member = flaky
+    n = sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+    assert n == 4 and len(calls) == 8
+
+
+def test_language_held_out_accuracy(spark):
+    out = queries.QUERIES["op6_language_id"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    assert out.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.RandomState(0)
+    s, doc = rng.randn(9, 2) * 2, np.array([0] * 5 + [2] * 4)
+    got = language.viterbi(s, doc, 3, 1.5)
+    for d in (0, 2):
+        part = s[doc == d]
+        n = len(part)
+        value = lambda bits: sum(part[t, bits >> t & 1] for t in range(n)) - 1.5 * sum((bits >> t & 1) != (bits >> t + 1 & 1) for t in range(n - 1))  # noqa: B023, E731
+        best = max(range(1 << n), key=value)
+        assert got[doc == d].tolist() == [best >> t & 1 for t in range(n)]
+
+
+def test_language_spans_of_mixed_text():
+    logp = np.full((2, language.BUCKETS), -8.0, np.float32)
+    for k, w in enumerate(("alpha beta", "omega delta")):
+        data, off = X.as_bytes(pa.array([w]))
+        *_, bucket = language.trigrams(*(ls := language.letters(data)), off)
+        logp[k, bucket[ls[1] > 0]] = -2
+    m = language.Model(["a", "o"], logp, np.ones((2, len(language.NAMES)), bool))
+    (start, end, doc, label), pred, _ = language.label_block(m, *X.as_bytes(pa.array(["alpha beta alpha omega delta", "12"])), 3.0)
+    assert label.tolist() == [0, 0, 0, 1, 1] and pred.tolist() == [0, -1]
+
+
+def test_ordinal_regression_orders_grades():
+    rng = np.random.RandomState(1)
+    y = rng.randint(0, 3, 600)
+    doc = np.repeat(np.arange(600), 2)
+    bucket = np.stack([10 + y, np.full(600, 50)], 1).ravel()
+    m = quality.fit_arrays(doc, bucket, y)
+    s = m.weights[[10, 11, 12]]
+    assert s[0] < s[1] < s[2] and m.cuts[0] < m.cuts[1]
+
+
+def test_quality_separates_labelled_documents(spark):
+    d = "/root/testdata/sf0.01"
+    out = queries.QUERIES["op1_quality_classifier"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    assert out.agg(F.avg((F.col("kept") == good).cast("int"))).first()[0] > 0.95
+
+
+def brute_statistics(t):
+    w = WORD.findall((t or "").encode())
+    seen = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    cover = {k + j for k in range(len(w) - 4) if seen[tuple(w[k : k + 5])] > 1 for j in range(5)}
+    lines, dup = set(), 0
+    for line in (t or "").encode().split(b"\n"):
+        if WORD.search(line):
+            dup += line in lines
+            lines.add(line)
+    return [len(w), sum(len(x.decode()) for x in w), sum((t or "").count(c) for c in "#*$%&|<>"), dup, len(cover)]
+
+
+def test_rule_counts_against_brute_force(spark, data):
+    texts = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()] + [t for _, t in ODD] + ["a b c d e\n" * 4, "x\nx\n\n \nx y\r\n", "#*$%&|<>é"]
+    counts, _ = rules.statistics(*X.as_bytes(pa.array(texts)))
+    assert counts.tolist() == [brute_statistics(t) for t in texts]
+
+
+def test_forest_is_monotonic():
+    rng = np.random.RandomState(3)
+    x = rng.rand(1500, 2)
+    y = (x[:, 0] + 0.5 * rng.rand(1500) < 0.7).astype(float)
+    f = rules.grow(x, y, [-1, 0])
+    grid = np.stack([np.linspace(0, 1, 50), np.full(50, 0.5)], 1)
+    assert (np.diff(f.probability(grid)) <= 1e-12).all() and ((f.probability(x) > 0.5) == y).mean() > 0.85
+
+
+def test_pii_checks_and_redaction(spark):
+    rows = [(1, "IBAN DE89 3704 0044 0532 0130 00 ok"), (2, "IBAN DE88 3704 0044 0532 0130 00 ok"), (3, "é a@b.c.d@e.f"), (4, "card 4111 1111 1111 1112"), (5, None), (6, "a" * 50_000), (7, "x@" + "a." * 20_000 + "b"), (8, "999.1.1.1 0255.1.1.1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.with_spans(df).collect()}
+    kinds = {k: [(s.kind, s.start, s.end) for s in v] for k, v in got.items()}
+    assert kinds[1] == [("iban", 5, 32)] and kinds[2] == [] and kinds[3] == [("email", 2, 9)] and kinds[4] == [] and kinds[5] == [] and kinds[6] == []
+    assert kinds[7] == [("email", 0, 40_003)] and kinds[8] == [("ip", 10, 20)]
+    clean = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert clean[1] == "IBAN [IBAN] ok" and clean[3] == "é [EMAIL]@e.f" and clean[5] is None
+
+
+def test_html_leaves_out_what_is_no_article():
+    page = """<html><head><title>t</title><style>p{}</style></head><body><header>Site</header><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies</div>
+    <article><h1>Head&amp;line</h1><p><b>One <br>two<p>three&nbsp; four<script>var a="</p>";</script></p><div class="ad">Buy</div><form><input> mail</form></article>
+    <aside>side</aside><section id="comments"><p>I liked it a lot and will tell everyone about it</p></section><footer>&copy; me</footer></body></html>"""
+    assert html_text.main_text(page) == "Head&line One two three four"
+    assert html_text.main_text("") == html_text.main_text(None) == "" and html_text.main_text("plain words") == "plain words"
+
+
+def test_sql(spark, data):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    for name, sql in queries.SQL.items():
+        rel = con.sql(sql)
+        want = sorted(rel.fetchall(), key=str)
+        assert sorted((tuple(r[c] for c in rel.columns) for r in queries.QUERIES[name](spark, data).collect()), key=str) == want, name
+
+
+def test_pipeline(spark, data):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    assert len(corpus_pipeline.STAGES) == 5
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, data)
+        assert out.columns == docs.columns
+    rows = corpus_pipeline.run(spark, data)
+    assert rows.count() > 0 and rows.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 4096
