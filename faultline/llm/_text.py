@@ -59,7 +59,7 @@ def as_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def blocks(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of at most `most` text bytes; a longer text is a slice of its own."""
     _, off = as_bytes(batch.column(batch.schema.get_field_index(column)))
     at, n = 0, batch.num_rows

@@ -6,9 +6,10 @@ stay out of most prefixes.  Sets of one size with one prefix form a group; only
 tokens, group pairs are filtered by size, position and number of shared prefix tokens, and the survivors are expanded to
 members, whose whole sets decide.
 
-Equal sets are one node from the start.  A first round compares each group of a large bucket with the bucket's least and
-greatest group of like size only, and each member with its group's least; the second round takes every remaining
-candidate pair whose two sides are not yet in one component.  No candidate is dropped unless it is already connected, so
+Equal sets are one node from the start.  A first round compares each group of a large bucket with the bucket's most central
+group of like size only (the one in whose prefix the token stands first, so that fewest tokens are its own), and each
+member with its group's least; the second round takes every remaining candidate pair whose two sides are not yet in one
+component.  No candidate is dropped unless it is already connected, so
 the components are those of all links, while a group of thousands of near copies costs little more than its size.
 
 Hashes of 64 bits stand for shingles and for whole sets.
@@ -34,7 +35,7 @@ from .components import components
 WORDS = 5
 PERCENT = 75
 #: A token is frequent if found in so many distinct sets of one input slice, and in so many altogether.
-LOCAL, FREQUENT = 3, 12
+LOCAL, FREQUENT = 2, 6
 #: Most frequent tokens that take part in the order (16 bytes each); beyond it, the rest count as rare ones, which only costs time.
 MOST_FREQUENT = 1 << 18
 #: Buckets of at least so many groups go through the first round.
@@ -43,7 +44,8 @@ STAR = 6
 MOST_BROADCAST = 1 << 20
 #: Prefix tokens of one slice of the index.
 SLICE = 600_000
-_FLUSH = 3_000_000
+#: Tokens that are counted, and that are dealt to slices, at a time.
+_COUNT, _FLUSH = 5_000_000, 1_500_000
 
 
 def sets_of(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
@@ -98,7 +100,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     kept.append(s)
                     held += len(s)
             yield pa.record_batch({"kind": pa.array(np.zeros(len(size), np.int32)), "doc_id": part.column("doc_id"), "n": pa.array(size, pa.int64()), "key": pa.array(key, pa.int64())})
-            if held > _FLUSH:
+            if held > _COUNT:
                 yield from flush()
                 held = 0
     yield from flush()
@@ -164,8 +166,35 @@ def _index(frequent: np.ndarray, rank: np.ndarray, slices: int, percent: int):
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one slice of the index: kind 0, the entries of tokens that two or more groups hold; kind 1, the groups' members."""
+#: In larger buckets all entries count as having a partner.
+_COMPARED = 64
+
+
+def _has_partner(token: np.ndarray, n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """Which entries (ascending by token) have another one in their bucket that they could link with, judged by size and
+    by what is left from this token on."""
+    near = np.zeros(len(token), bool)
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    size = np.diff(np.concatenate([first, [len(token)]]))
+    near[np.repeat(size > _COMPARED, size)] = True
+    for d in range(1, min(_COMPARED, int(size.max(initial=1)))):
+        a = np.flatnonzero(token[d:] == token[:-d])
+        if not len(a):
+            break
+        b = a + d
+        like = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+        room = (100 + percent) * np.minimum(n[a] - place[a], n[b] - place[b]) >= percent * (n[a] + n[b])
+        near[a[like & room]] = near[b[like & room]] = True
+    return near
+
+
+def _meet(percent: int):
+    return lambda batches: _meet_slice(batches, percent)
+
+
+def _meet_slice(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of one slice of the index: kind 0, the entries of tokens that two or more groups hold (kind 2 those of them that
+    have no partner they could link with there); kind 1, the groups' members."""
     parts: dict[str, list[bytes]] = {k: [] for k in ("tokens", "groups", "sizes", "places")}
     members: list[np.ndarray] = []
     for batch in batches:
@@ -196,10 +225,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     new = np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])])
     token, group, n, place = token[new], group[new], n[new], place[new]
     same = token[1:] == token[:-1]
-    live = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    for k in range(0, int(live.sum()), 100_000):
-        at = np.flatnonzero(live)[k : k + 100_000]
-        yield pa.record_batch({"kind": pa.array(np.zeros(len(at), np.int32)), "token": pa.array(token[at].view(np.int64)), "grp": pa.array(group[at]), "n": pa.array(n[at]), "place": pa.array(place[at]), "node": pa.nulls(len(at), pa.int64())})
+    live = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+    kind = np.full(len(token), 2, np.int32)
+    kind[live[_has_partner(token[live], n[live], place[live], percent)]] = 0
+    for k in range(0, len(live), 100_000):
+        at = live[k : k + 100_000]
+        yield pa.record_batch({"kind": pa.array(kind[at]), "token": pa.array(token[at].view(np.int64)), "grp": pa.array(group[at]), "n": pa.array(n[at]), "place": pa.array(place[at]), "node": pa.nulls(len(at), pa.int64())})
 
 
 def _chosen_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,19 +295,23 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     dealt = docs.select("doc_id", "text").mapInArrow(
         _index(token[by_token], rank[by_token], slices, percent), "slice int, tokens binary, groups binary, sizes binary, places binary, members binary"
     )
-    met = saved(dealt.repartition(slices, "slice").mapInArrow(_meet, "kind int, token long, grp long, n long, place long, node long"), "index")
+    met = saved(dealt.repartition(slices, "slice").mapInArrow(_meet(percent), "kind int, token long, grp long, n long, place long, node long"), "index")
     live = met.filter("kind = 0").select("token", "grp", "n", "place")
+    shared = met.filter("kind <> 1").select("token", "grp")
     members = met.filter("kind = 1").select("grp", "node", "n")
     heads = members.groupBy("grp").agg(F.min("node").alias("head"), F.count("*").alias("size"))
-    shared = members.join(heads.filter("size > 1").select("grp", "head"), "grp")  # members of groups of two or more
+    grouped = members.join(heads.filter("size > 1").select("grp", "head"), "grp")  # members of groups of two or more
 
     # first round: stars in large buckets and in groups
     step = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))))
-    hubs = live.withColumn("step", step).groupBy("token", "step").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("*").alias("size")).filter(F.col("size") >= STAR)
-    spokes = live.withColumn("step", step).join(hubs, ["token", "step"]).select("grp", F.explode(F.array("low", "high")).alias("hub")).filter("grp <> hub").distinct()
+    room = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("place2")) >= _least(percent)  # of a pair's first common token on
+    hub = F.min(F.struct("place", "grp", "n"))
+    hubs = live.withColumn("step", step).groupBy("token", "step").agg(hub.alias("hub"), F.count("*").alias("size")).filter(F.col("size") >= STAR)
+    hubs = hubs.select("token", "step", F.col("hub.grp").alias("hub"), F.col("hub.n").alias("m"), F.col("hub.place").alias("place2"))
+    spokes = live.withColumn("step", step).join(hubs, ["token", "step"]).filter((F.col("grp") != F.col("hub")) & room).select("grp", "hub").distinct()
     of = heads.select("grp", "head")
     stars = spokes.join(of, "grp").select(F.col("head").alias("a"), "hub").join(of.select(F.col("grp").alias("hub"), F.col("head").alias("b")), "hub").select("a", "b")
-    stars = stars.union(shared.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    stars = stars.union(grouped.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
     links = _verified(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), nodes, docs, percent)
     nothing = spark.createDataFrame([], "node long, label long")
     label = saved(components(links), "labels") if links is not None else nothing
@@ -288,11 +323,14 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     x, y = side.alias("x"), side.select("token", F.col("grp").alias("grp2"), F.col("n").alias("m"), F.col("place").alias("place2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     one = (F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2"))
     like = (F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m"))
-    met_pairs = x.join(y, "token").filter((F.col("grp") < F.col("grp2")) & ~one & like)
-    counted = met_pairs.groupBy("grp", "grp2").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"), F.min("place").alias("place"), F.min("place2").alias("place2"))
-    room = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("place2")) >= _least(percent)  # from the first common token on
-    enough = F.col("shared") + F.greatest(_rest("n", percent), _rest("m", percent)) >= _least(percent)
-    candidates = counted.filter(room & enough).select("grp", "grp2")
+    met_pairs = x.join(y, "token").filter((F.col("grp") < F.col("grp2")) & ~one & like & room)
+    found = met_pairs.groupBy("grp", "grp2").agg(F.first("n").alias("n"), F.first("m").alias("m"))
+    found = saved(found, "found")
+    asked = found.select("grp").union(found.select("grp2")).distinct()
+    shared_tokens = shared.join(asked, "grp", "left_semi").groupBy("grp").agg(F.collect_list("token").alias("tokens"))  # no more than a prefix each
+    both = found.join(shared_tokens, "grp").join(shared_tokens.select(F.col("grp").alias("grp2"), F.col("tokens").alias("tokens2")), "grp2")
+    enough = F.size(F.array_intersect("tokens", "tokens2")) + F.greatest(_rest("n", percent), _rest("m", percent)) >= _least(percent)
+    candidates = both.filter(enough).select("grp", "grp2")
     left, right = named.select("grp", F.col("node").alias("a"), F.col("label").alias("la")), named.select(F.col("grp").alias("grp2"), F.col("node").alias("b"), F.col("label").alias("lb"))
     across = candidates.join(left, "grp").join(right, "grp2").filter("la <> lb").select("a", "b")
     mixed = named.join(whole.filter("low <> high").select("grp"), "grp")
