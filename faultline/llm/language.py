@@ -242,7 +242,7 @@ def predict(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFram
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, spans {SPANS}")
 
 
-def keep_known(docs: DataFrame, model: Model, least: float = 0.2, penalty: float = PENALTY) -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, least: float = 0.1, penalty: float = PENALTY) -> DataFrame:
     """The rows, all columns, whose language is known with a score of at least `least`."""
 
     def run(batches):
