@@ -50,7 +50,13 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Most bytes of a batch of rows on its way to a Python worker, whatever the length of the texts.
+BATCH_BYTES = 8 << 20
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows.  Sets the session's limit of bytes in an Arrow batch, as stages share the executors' memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")

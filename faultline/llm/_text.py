@@ -6,6 +6,7 @@ detection are numpy passes instead of a Python loop for each word.  A null text
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,14 +60,24 @@ def as_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: idle Python workers would otherwise hold it beside the JVM's next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def blocks(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of at most `most` text bytes; a longer text is a slice of its own."""
+    """Consecutive slices of at most `most` text bytes; a longer text is a slice of its own.  Freed memory is given back
+    after the last one."""
     _, off = as_bytes(batch.column(batch.schema.get_field_index(column)))
     at, n = 0, batch.num_rows
     while at < n:
         to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def runs(kind: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
