@@ -7,6 +7,9 @@ them again as the next one's input, so a lost executor costs no more than the ta
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,27 +18,49 @@ from faultline.llm import jaccard, language, packing, pii, quality
 from faultline.llm._store import saved
 
 
+#: Bounds of what a task holds of whole texts at a time: bytes of a batch on its way to a Python worker, and rows of a
+#: batch that the Parquet reader fills.  Stages share the executors' memory, so these hold whoever calls a stage.
+BATCH_BYTES, READ_ROWS = 2 << 20, 512
+
+
+def _bounded(stage: Callable) -> Callable:
+    """The stage, with the session's batch sizes set before it plans anything."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_bounded
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; null, empty and letterless texts go."""
     return language.keep_known(docs, language.fit(docs))
 
 
+@_bounded
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a probability of at least one half of the best grade; poor and toxic ones go."""
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+@_bounded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: five-word shingles, similarity 0.75 or more."""
     return jaccard.one_of_each(docs)
 
 
+@_bounded
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each span of personal data replaced by its kind; n_chars is that of the new text."""
     clean = pii.redacted(docs)
     return clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else clean
 
 
+@_bounded
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 4096 tokens."""
     return packing.pack(docs, public_tokenizers.path(packing.TOKENIZER))
@@ -50,13 +75,8 @@ STAGES = [
 ORACLE_SQL = None
 
 
-#: Most bytes of a batch of rows on its way to a Python worker, whatever the length of the texts.
-BATCH_BYTES = 8 << 20
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows.  Sets the session's limit of bytes in an Arrow batch, as stages share the executors' memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """The last stage's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")

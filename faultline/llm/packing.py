@@ -35,6 +35,8 @@ SENTENCE, ANYWHERE = 16, 96
 #: Distance of the points that are added between far ends.
 STEP = 128
 STRETCH = 1_500_000
+#: Most text bytes that are encoded at a time.
+BLOCK = 1 << 19
 
 
 def cut_points(point: np.ndarray, cost: np.ndarray, limit: int) -> list[int]:
@@ -141,7 +143,7 @@ def pack(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID) -
         for batch in batches:
             if stream is None:
                 stream = _Stream(limit, TaskContext.get().partitionId(), batch.schema.field("doc_id").type)
-            for part in X.blocks(batch, "text"):
+            for part in X.blocks(batch, "text", BLOCK):
                 data, off = X.as_bytes(part.column("text"))
                 u = Encoder.of(path).units(data, off)
                 n = part.num_rows
