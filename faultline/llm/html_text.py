@@ -4,8 +4,11 @@ A page is parsed into a tree of block elements; inline elements count as tags of
 article (scripts, navigation, forms, page headers and footers, asides, hidden parts, and elements whose class, id or role
 says advert, notice, comment and the like) is left out.  For every node, with C characters, T tags, LC characters and LT
 tags of links below it, the density is C/T, weighted up by C/LC * T/LT and down by the links of node and body.  The node
-whose children's densities have the greatest sum is the article; within it, blocks below the least density on the path
-from it to the body are left out if most of their characters are links.
+whose children's densities have the greatest sum, and which is not mostly links, is the best one; the least density on the
+path from it to the body is the threshold.  The text is that of every outermost article or main element which is not mostly
+links.  If the best node lies in none, it comes with its own text, the subtrees of the greatest sum of all nodes that reach
+the threshold, long stretches with few links, and what stands between these.  Blocks that are mostly links and below the
+threshold are left out.  Headings just ahead of the text, or the last h1 before it if it has none, belong to it.
 
 Defined results: null and empty pages, and pages without text outside the parts left out, give the empty text; unclosed
 and misnested tags are closed as their parents end; repeated rows get equal values; a page of any length is parsed whole;
@@ -38,6 +41,9 @@ NAMES = frozenset(
 )
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead"), "tfoot": ("tr", "td", "th", "tbody")}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Characters of a stretch that counts as prose wherever it stands.
+LONG = 80
 SCOPE = frozenset("html body table ul ol dl div section article main aside nav td th button blockquote".split())
 
 
@@ -214,25 +220,62 @@ def measure(page: Page) -> None:
             nodes[n.parent].children += 1
 
 
+def _kept(page: Page) -> list[bool]:
+    """Of each stretch, whether it belongs to the article."""
+    nodes, stretches = page.nodes, page.stretches
+    linked = lambda n: 2 * n.link_chars > n.chars
+    best = max(range(len(nodes)), key=lambda k: (nodes[k].chars > 0 and not linked(nodes[k]), nodes[k].total, -k))
+    threshold, k = nodes[best].density, best
+    while k >= 0:
+        threshold, k = min(threshold, nodes[k].density), nodes[k].parent
+    inside = bytearray(len(nodes))
+
+    def take(k: int) -> None:
+        if not inside[k]:
+            inside[k : nodes[k].last] = b"\1" * (nodes[k].last - k)
+
+    for k, n in enumerate(nodes):
+        if n.tag in ("article", "main") and n.chars and not linked(n):
+            take(k)
+    whole = bool(inside[best])
+    if not whole:
+        take(best)
+        top = list(range(len(nodes)))  # of each node, the node below it with the greatest sum
+        for k in range(len(nodes) - 1, 0, -1):
+            up = nodes[k].parent
+            if nodes[top[k]].total >= nodes[top[up]].total and top[up] != up or nodes[top[k]].total > nodes[top[up]].total:
+                top[up] = top[k]
+        for k in sorted({top[k] for k, n in enumerate(nodes) if n.chars and n.density >= threshold}):
+            if not linked(nodes[k]):
+                take(k)
+    kept = [bool(inside[k]) and (nodes[k].density >= threshold or not linked(nodes[k])) for k, _, _ in stretches]
+    if not whole:
+        kept = [x or (len(text) >= LONG and 4 * link <= len(text)) for x, (_, text, link) in zip(kept, stretches, strict=True)]
+        there = [i for i, x in enumerate(kept) if x]
+        for i in range(there[0], there[-1]) if there else ():
+            kept[i] = kept[i] or 2 * stretches[i][2] <= len(stretches[i][1])
+    if True not in kept:
+        return kept
+    first = kept.index(True)
+    heading = lambda i: nodes[stretches[i][0]].tag in HEADINGS and 2 * stretches[i][2] <= len(stretches[i][1])
+    for i in range(first - 1, -1, -1):
+        if not heading(i):
+            break
+        kept[i] = True
+    if not any(x and nodes[k].tag == "h1" for x, (k, _, _) in zip(kept, stretches, strict=True)):
+        title = next((i for i in range(first - 1, -1, -1) if nodes[stretches[i][0]].tag == "h1" and heading(i)), None)
+        if title is not None:
+            kept[title] = True
+    return kept
+
+
 def main_text(source: str | None) -> str:
     """The article's text, blocks joined by one space."""
     if not source:
         return ""
     page = parse(source)
     measure(page)
-    nodes = page.nodes
-    best = max(range(len(nodes)), key=lambda k: (nodes[k].total, -k))
-    if not nodes[best].chars:
-        return ""
-    threshold, k = nodes[best].density, best
-    while k >= 0:
-        threshold, k = min(threshold, nodes[k].density), nodes[k].parent
-    out = []
-    for k, text, _ in page.stretches:
-        n = nodes[k]
-        if best <= k < nodes[best].last and (n.density >= threshold or 2 * n.link_chars <= n.chars):
-            out.append(text)
-    return " ".join(out)
+    return " ".join(text for x, (_, text, _) in zip(_kept(page), page.stretches, strict=True) if x)
 
 
 def extract(pages: DataFrame) -> DataFrame:

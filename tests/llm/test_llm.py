@@ -299,6 +299,34 @@ def test_html_leaves_out_what_is_no_article():
     assert html_text.main_text("") == html_text.main_text(None) == "" and html_text.main_text("plain words") == "plain words"
 
 
+def test_html_keeps_all_parts_of_an_article():
+    part = lambda k, n=5, size=100: f"<h2>Head {k}</h2>" + "".join(f"<p>part{k} par{i} {'word ' * size}</p>" for i in range(n))
+    has = lambda text, parts: all(f"Head {k}" in text and f"part{k} par{i} " in text for k, n in parts for i in range(n))
+    sections = "".join(f"<section>{part(k)}</section>" for k in range(3))
+    text = html_text.main_text(f"<body><article><h1>Title</h1>{sections}</article></body>")
+    assert text.startswith("Title") and has(text, [(0, 5), (1, 5), (2, 5)])
+    # sections of unequal density, in plain elements
+    text = html_text.main_text(f"<body><div><h1>Title</h1><div>{part(0)}</div><div>{part(1, 4, 60)}</div><div>{part(2, 2, 20)}</div></div></body>")
+    assert text.startswith("Title") and has(text, [(0, 5), (1, 4), (2, 2)])
+    # sibling divs with an advert between them, and the h1 outside
+    text = html_text.main_text(f"<body><h1>Title</h1><p>By me</p><div>{part(0)}</div><div class=ad><p>Buy this now</p></div><div>{part(1, 3)}<p>Short end.</p>{part(2, 1)}</div><div><a href=x>Other pages of this site</a></div></body>")
+    assert text.startswith("Title") and has(text, [(0, 5), (1, 3), (2, 1)]) and "Short end." in text and "Buy" not in text and "Other pages" not in text
+    # an h1 ahead of the article element
+    text = html_text.main_text(f"<body><h1>Title</h1><p>By me</p><article>{part(0)}</article></body>")
+    assert text.startswith("Title") and has(text, [(0, 5)])
+
+
+def test_html_keeps_a_short_article_beside_a_long_list():
+    short = "<h1>Title</h1><p>first one " + "word " * 20 + "</p><p>second one " + "word " * 20 + "</p>"
+    links = "<ul>" + "".join(f"<li><a href=/{k}>Linked entry number {k}</a></li>" for k in range(200)) + "</ul>"
+    plain = "<ul>" + "".join(f"<li>Entry number {k} of the list without links</li>" for k in range(200)) + "</ul>"
+    for wrap in ("article", "div"):
+        text = html_text.main_text(f"<body><{wrap}>{short}</{wrap}>{links}</body>")
+        assert text.startswith("Title first one") and "second one" in text and "Linked entry" not in text
+        text = html_text.main_text(f"<body><{wrap}>{short}</{wrap}>{plain}</body>")
+        assert text.startswith("Title first one") and "second one" in text
+
+
 def test_sql(spark, data):
     import duckdb
 
