@@ -374,10 +374,10 @@ r AS (SELECT DISTINCT case_id, CAST(0 AS BIGINT) AS seq, [0.4::DOUBLE, 0.35::DOU
 l AS (SELECT case_id, max(seq) AS n_evidence, max_by(p, seq) AS p FROM r GROUP BY case_id)
 SELECT case_id, CAST(n_evidence AS INT) AS n_evidence, hypothesis, round(p[ord + 1], 6) AS posterior, CAST(row_number() OVER (PARTITION BY case_id ORDER BY round(p[ord + 1], 12) DESC, ord) AS INT) AS rank FROM l CROSS JOIN h""")
 def bayes_rank(t: Tables) -> DataFrame:
-    """Hypotheses of each user's sampled events, ranked."""
+    """Hypotheses of each user's events, ranked."""
     w = Window.partitionBy("user_id").orderBy("event_id")
     kind = F.col("event_type")
-    e = t.events.filter("event_id % 11 = 0").select(F.col("user_id").alias("case_id"), F.row_number().over(w).alias("seq"), F.when(kind == "error", "python_anomaly_signal").when(kind == "click", "recent_deployment").when(kind == "view", "network_anomaly").otherwise("resource_anomaly").alias("name"))
+    e = t.events.select(F.col("user_id").alias("case_id"), F.row_number().over(w).alias("seq"), F.when(kind == "error", "python_anomaly_signal").when(kind == "click", "recent_deployment").when(kind == "view", "network_anomaly").otherwise("resource_anomaly").alias("name"))
     name = F.col("name")
     e = e.withColumn("if_true", F.when(name == "python_anomaly_signal", 0.8).when(name == "recent_deployment", 0.7).when(name == "network_anomaly", 0.75).otherwise(0.6)).withColumn("if_false", F.when(name == "recent_deployment", 0.3).when(name == "resource_anomaly", 0.3).otherwise(0.2))
     h = t.spark.createDataFrame(HYPOTHESES, "ord int, hypothesis string, prior double")
@@ -390,7 +390,7 @@ CAST(floor(epoch(min(ts) FILTER (event_type = 'view'))) AS BIGINT) AS v, CAST(fl
 
 def incident_rows(t: Tables) -> DataFrame:
     s, kind = seconds(), F.col("event_type")
-    i = t.events.groupBy("user_id").agg(F.min(F.when(kind == "error", s)).alias("page"), F.max(F.when((kind == "signup") & (F.col("event_id") % 7 == 0), s)).alias("deploy"), F.min(F.when(kind == "view", s)).alias("v"), F.min(F.when(kind == "purchase", s)).alias("truth"))
+    i = t.events.groupBy("user_id").agg(F.min(F.when(kind == "error", s)).alias("page"), F.max(F.when(kind == "signup", s)).alias("deploy"), F.min(F.when(kind == "view", s)).alias("v"), F.min(F.when(kind == "purchase", s)).alias("truth"))
     return i.filter("truth is not null").select("user_id", F.array_compact(F.array("page")).alias("pages"), F.array_compact(F.array("deploy")).alias("deploys"), F.array_compact(F.array(F.when(F.col("v").isNotNull(), F.struct(F.col("v").alias("start"), (F.col("v") + 7200).alias("end"))))).alias("vendor"), (F.col("truth") - 900).cast("double").alias("truth_start"), (F.col("truth") + 2700).cast("double").alias("truth_end"))
 
 
