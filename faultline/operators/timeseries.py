@@ -6,6 +6,7 @@ each), so a key's array is bounded by the time span, however many events there a
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,16 +107,34 @@ def rate_limit(hits: DataFrame, key: str, at: str, most: int = 30, seconds: int
     return out.select(key, F.col("c.ts").alias(at), F.col("c.ok").alias("allowed"))
 
 
-def stock_ledger(moves: DataFrame, key: str, order: str, kind: str, quantity: str, opening: int = 0) -> DataFrame:
-    """Each move in order with `accepted` and the stock after it: a reservation needs enough stock, a release always adds."""
-    kinds = dict(moves.dtypes)
-    points = moves.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(kind).alias("k"), F.col(quantity).cast("long").alias("q")))).alias("ms"))
-    row = f"array<struct<o:{kinds[order]},ok:boolean,stock:bigint>>"
-    start = F.struct(F.lit(opening).cast("bigint").alias("stock"), F.array().cast(row).alias("out"))
+def _moved(stock: int | None, kind: str | None, quantity: int | None) -> tuple[bool | None, int | None]:
+    """Whether a move is accepted, and the stock after it; nulls count as in SQL."""
+    enough = None if stock is None or quantity is None else stock >= quantity
+    if kind is not None and kind != "reserve":
+        return True, None if enough is None else stock + quantity
+    ok = enough if kind is not None or enough else None
+    return ok, stock - quantity if ok else stock
+
 
-    def step(a: Column, m: Column) -> Column:
-        ok = (m["k"] != "reserve") | (a["stock"] >= m["q"])
-        stock = F.when(m["k"] != "reserve", a["stock"] + m["q"]).when(ok, a["stock"] - m["q"]).otherwise(a["stock"])
-        return F.struct(stock.alias("stock"), F.concat(a["out"], F.array(F.struct(m["o"].alias("o"), ok.alias("ok"), stock.alias("stock")))).alias("out"))
+def stock_ledger(moves: DataFrame, key: str, order: str, kind: str, quantity: str, opening: int = 0) -> DataFrame:
+    """Each move in order with `accepted` and the stock after it: a reservation needs enough stock, a release always adds.
 
-    return points.select(key, F.explode(F.aggregate("ms", start, step)["out"]).alias("c")).select(key, F.col("c.o").alias(order), F.col("c.ok").alias("accepted"), F.col("c.stock").alias("stock"))
+    Moves are read in order and each key's stock is carried from one to the next, so a step costs the same and holds the
+    same however many moves a key has.
+    """
+    kinds = dict(moves.dtypes)
+    rows = moves.select(F.col(key), F.col(order), F.col(kind).alias("_k"), F.col(quantity).cast("long").alias("_q"))
+
+    def run(batches):
+        now, stock, started = None, opening, False
+        for batch in batches:
+            accepted, left = [], []
+            for k, move, q in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if not started or k != now:
+                    now, stock, started = k, opening, True
+                ok, stock = _moved(stock, move, q)
+                accepted.append(ok)
+                left.append(stock)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(accepted, pa.bool_()), pa.array(left, pa.int64())], [key, order, "accepted", "stock"])
+
+    return rows.repartition(F.col(key)).sortWithinPartitions(key, order, "_k", "_q").mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, accepted boolean, stock long")

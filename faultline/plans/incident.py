@@ -477,7 +477,7 @@ def pricing(t: Tables) -> DataFrame:
 r AS (SELECT DISTINCT sku, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS o, true AS ok, CAST(50 AS BIGINT) AS stock FROM m UNION ALL SELECT m.sku, m.i, m.o, m.k <> 'reserve' OR r.stock >= m.q, CASE WHEN m.k <> 'reserve' THEN r.stock + m.q WHEN r.stock >= m.q THEN r.stock - m.q ELSE r.stock END FROM r JOIN m ON m.sku = r.sku AND m.i = r.i + 1)
 SELECT sku, o, ok AS accepted, stock FROM r WHERE i > 0""")
 def stock_ledger(t: Tables) -> DataFrame:
-    m = t.lineitem.filter("l_partkey % 20 = 0").select(F.col("l_suppkey").alias("sku"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"), F.when(F.col("l_returnflag") == "R", "release").otherwise("reserve").alias("kind"), F.col("l_quantity").cast("long").alias("quantity"))
+    m = t.lineitem.select(F.col("l_suppkey").alias("sku"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"), F.when(F.col("l_returnflag") == "R", "release").otherwise("reserve").alias("kind"), F.col("l_quantity").cast("long").alias("quantity"))
     return timeseries.stock_ledger(m, "sku", "o", "kind", "quantity", opening=50)
 
 
