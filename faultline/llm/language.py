@@ -7,8 +7,15 @@ if none was seen).  The path of labels with the highest total score, each switch
 document's language is the one whose spans hold most letters (ties: the first in alphabetical order), and its score is
 that share of letters times the certainty (0.5 to 1) of the language's lead over the next one.
 
-Defined results: null, empty or letterless text is `und` with score 0; repeated rows are judged alike one by one; with
-nothing to learn from, everything is `und`; other columns are ignored (`predict`) or passed on (`keep_known`).
+`keep_known` rejects what is in none of the learned languages, on evidence that does not depend on their number: texts
+without letters, texts of which no language holds `MAJORITY` of the letters (letters of a script that the leading language
+was not seen in are not its own), and texts whose letters are `STRANGE` less likely, in the mean of their logarithms, than
+those of the labelled texts.
+
+Defined results: null, empty or letterless text is `und` with score 0, and rejected; of languages with equal letters the
+first in alphabetical order leads; repeated rows are judged alike one by one; with nothing to learn from, everything is
+`und` and rejected; an empty table gives an empty result; other columns are ignored (`predict`) or passed on (`keep_known`),
+whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +37,9 @@ MAX_FIT = 65_536
 PENALTY = 12.0
 #: A language holds a script if that is so large a share of its letters.
 SCRIPT_SHARE = 0.02
+#: Least share of the letters that the leading language of a known text holds, and the most by which the mean
+#: log-probability of its letters lies below that of labelled texts.
+MAJORITY, STRANGE = 0.5, 5.0
 
 # fixed values: Unicode blocks of scripts, as first and last code point
 SCRIPTS = [
@@ -92,10 +102,12 @@ def trigrams(low: np.ndarray, script: np.ndarray, off: np.ndarray) -> tuple[np.n
 
 
 class Model:
-    """Languages in alphabetical order, log-probabilities [language, bucket] and the scripts of each."""
+    """Languages in alphabetical order, log-probabilities [language, bucket], the scripts of each, and the mean
+    log-probability of a letter of each in the labelled texts."""
 
-    def __init__(self, langs: list[str], logp: np.ndarray, scripts: np.ndarray):
+    def __init__(self, langs: list[str], logp: np.ndarray, scripts: np.ndarray, usual: np.ndarray | None = None):
         self.langs, self.logp, self.scripts = langs, logp, scripts
+        self.usual = np.zeros(len(langs)) if usual is None else usual
 
 
 def _count(key: str) -> callable:
@@ -127,7 +139,7 @@ def fit(docs: DataFrame, most: int = MAX_FIT) -> Model:
     What comes to the driver is one count for each language and bucket, whatever the number of documents.
     """
     known = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    n = docs.count()
+    n = known.select(F.lit(1)).count()
     if n > most:
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) < F.lit(int(most / n * (1 << 30))))
     rows = (
@@ -142,7 +154,8 @@ def fit(docs: DataFrame, most: int = MAX_FIT) -> Model:
     used = max(1, int((tri.sum(0) > 0).sum())) if langs else 1
     logp = np.log((tri + alpha) / (tri.sum(1, keepdims=True) + alpha * 4 * used))
     logp = np.maximum(logp, logp.max(0, keepdims=True) - 6.0) if langs else logp
-    return Model(langs, logp.astype(np.float32), scr > SCRIPT_SHARE * np.maximum(1, scr.sum(1, keepdims=True)))
+    usual = (tri * logp).sum(1) / np.maximum(1, tri.sum(1))
+    return Model(langs, logp.astype(np.float32), scr > SCRIPT_SHARE * np.maximum(1, scr.sum(1, keepdims=True)), usual)
 
 
 def viterbi(score: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float) -> np.ndarray:
@@ -180,36 +193,52 @@ def viterbi(score: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float) ->
     return label
 
 
-def label_block(model: Model, data: np.ndarray, off: np.ndarray, penalty: float):
-    """(word starts, ends, documents, labels), and for each document its label (-1: und) and score."""
+class Labels:
+    """Of one block: the words (start, end, document, label), and of each document its label (-1: und), its score, the
+    share of its letters that are the label's own, and the distance of their mean log-probability from the usual one."""
+
+    def __init__(self, start, end, doc, label, n_docs: int):
+        self.start, self.end, self.doc, self.label = start, end, doc, label
+        self.pred, self.score, self.own, self.distance = np.full(n_docs, -1), np.zeros(n_docs), np.zeros(n_docs), np.zeros(n_docs)
+
+
+def label_block(model: Model, data: np.ndarray, off: np.ndarray, penalty: float) -> Labels:
+    """Labels of the words and documents of a block of texts."""
     n_docs, k = len(off) - 1, len(model.langs)
     low, script = letters(data)
     start, end, doc, bucket = trigrams(low, script, off)
-    pred, conf = np.full(n_docs, -1), np.zeros(n_docs)
     if not len(start) or not k:
-        return (start, end, doc, np.zeros(len(start), np.int64)), pred, conf
-    inside = script > 0
-    b = bucket[inside]
-    first = np.cumsum(end - start) - (end - start)
+        return Labels(start, end, doc, np.zeros(len(start), np.int64), n_docs)
+    b = bucket[script > 0]
+    length = end - start
+    first = np.cumsum(length) - length
     score = np.stack([np.add.reduceat(row[b], first) for row in model.logp], 1)
     of = script[start]
     can = model.scripts[:, of].T
+    held = can.copy()
     can[~can.any(1)] = True
+    likely = score
     score = np.where(can, score, score.max(1, keepdims=True) - 60.0)
     label = viterbi(score, doc, n_docs, penalty)
-    size = np.bincount(doc * k + label, weights=end - start, minlength=n_docs * k).reshape(n_docs, k)
+    out = Labels(start, end, doc, label, n_docs)
+    size = np.bincount(doc * k + label, weights=length, minlength=n_docs * k).reshape(n_docs, k)
     whole = size.sum(1)
     some = whole > 0
-    pred[some] = size[some].argmax(1)
+    out.pred[some] = size[some].argmax(1)
     if k > 1:
         total = np.stack([np.bincount(doc, weights=score[:, j], minlength=n_docs) for j in range(k)], 1)
-        mine = np.take_along_axis(total, np.maximum(pred, 0)[:, None], 1)[:, 0]
-        np.put_along_axis(total, np.maximum(pred, 0)[:, None], -np.inf, 1)
+        mine = np.take_along_axis(total, np.maximum(out.pred, 0)[:, None], 1)[:, 0]
+        np.put_along_axis(total, np.maximum(out.pred, 0)[:, None], -np.inf, 1)
         lead = 1 / (1 + np.exp(-np.clip(mine - total.max(1), -50, 50)))
     else:
         lead = np.ones(n_docs)
-    conf[some] = np.clip(size.max(1)[some] / whole[some] * np.maximum(lead[some], 0.5), 0, 1)
-    return (start, end, doc, label), pred, conf
+    out.score[some] = np.clip(size.max(1)[some] / whole[some] * np.maximum(lead[some], 0.5), 0, 1)
+    word = np.arange(len(doc))
+    mine = (label == out.pred[doc]) & held[word, label]
+    out.own[some] = np.bincount(doc, weights=length * mine, minlength=n_docs)[some] / whole[some]
+    gap = likely[word, label] - length * model.usual[label]
+    out.distance[some] = np.bincount(doc, weights=gap, minlength=n_docs)[some] / whole[some]
+    return out
 
 
 def held_out(doc_id):
@@ -227,7 +256,8 @@ def predict(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFram
         for batch in batches:
             for part in X.blocks(batch, "text"):
                 data, off = X.as_bytes(part.column("text"))
-                (start, end, doc, label), pred, conf = label_block(model, data, off, penalty)
+                found = label_block(model, data, off, penalty)
+                start, end, doc, label = found.start, found.end, found.doc, found.label
                 point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])])) if len(doc) else np.zeros(0, int)
                 last = np.concatenate([cut[1:], [len(doc)]])[: len(cut)] - 1
@@ -237,19 +267,19 @@ def predict(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFram
                     [pa.array(point[start[cut]] - base if len(cut) else cut, pa.int64()), pa.array(point[end[last]] - base if len(cut) else cut, pa.int64()), pa.array(names[label[cut]] if len(cut) else [], pa.string())], ["start", "end", "lang"]
                 )
                 at = np.searchsorted(doc[cut] if len(cut) else cut, np.arange(len(off)))
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "lang_pred": pa.array(names[pred], pa.string()), "score": pa.array(conf), "spans": pa.ListArray.from_arrays(pa.array(at, pa.int32()), spans)})
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "lang_pred": pa.array(names[found.pred], pa.string()), "score": pa.array(found.score), "spans": pa.ListArray.from_arrays(pa.array(at, pa.int32()), spans)})
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, spans {SPANS}")
 
 
-def keep_known(docs: DataFrame, model: Model, least: float = 0.1, penalty: float = PENALTY) -> DataFrame:
-    """The rows, all columns, whose language is known with a score of at least `least`."""
+def keep_known(docs: DataFrame, model: Model, majority: float = MAJORITY, strange: float = STRANGE, penalty: float = PENALTY) -> DataFrame:
+    """The rows, all columns, whose text is in one of the model's languages."""
 
     def run(batches):
         for batch in batches:
             for part in X.blocks(batch, "text"):
-                _, pred, conf = label_block(model, *X.as_bytes(part.column("text")), penalty)
-                yield part.filter(pa.array((pred >= 0) & (conf >= least)))
+                found = label_block(model, *X.as_bytes(part.column("text")), penalty)
+                yield part.filter(pa.array((found.pred >= 0) & (found.own >= majority) & (found.distance >= -strange)))
 
     return docs.mapInArrow(run, docs.schema)
 

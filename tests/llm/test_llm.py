@@ -232,8 +232,31 @@ def test_language_spans_of_mixed_text():
         *_, bucket = language.trigrams(*(ls := language.letters(data)), off)
         logp[k, bucket[ls[1] > 0]] = -2
     m = language.Model(["a", "o"], logp, np.ones((2, len(language.NAMES)), bool))
-    (start, end, doc, label), pred, _ = language.label_block(m, *X.as_bytes(pa.array(["alpha beta alpha omega delta", "12"])), 3.0)
-    assert label.tolist() == [0, 0, 0, 1, 1] and pred.tolist() == [0, -1]
+    found = language.label_block(m, *X.as_bytes(pa.array(["alpha beta alpha omega delta", "12"])), 3.0)
+    assert found.label.tolist() == [0, 0, 0, 1, 1] and found.pred.tolist() == [0, -1]
+    tie = language.label_block(m, *X.as_bytes(pa.array(["omega alpha", "alpha omega"])), 3.0)
+    assert tie.pred.tolist() == [0, 0] and (tie.score >= 0.25).all()
+
+
+def test_language_stage_rejects_what_is_no_known_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs)
+    good = [r.text for r in docs.orderBy("doc_id").limit(5).collect()]
+    halves = [good[0][:300] + " " + docs.filter("lang = 'de'").first().text[:290] + " " + docs.filter("lang = 'es'").first().text[:280]]
+    bad = [None, "", "12 34 !?", "Αυτό είναι ένα κείμενο", "これは日本語の文章です", "qxzvkj wqpxz zzkqjx vvxqk jjqzx", "Короткий русский текст"]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(good + bad)], "doc_id long, text string, pred string")
+    kept = language.keep_known(df, model)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == list(range(len(good)))
+    assert language.keep_known(df, language.Model([], np.zeros((0, language.BUCKETS), np.float32), np.zeros((0, len(language.NAMES)), bool))).count() == 0
+    three = language.label_block(model, *X.as_bytes(pa.array(halves)), language.PENALTY)
+    assert three.own[0] < language.MAJORITY
+
+
+def test_language_fit_takes_its_share_of_labelled_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    more = docs.unionByName(docs.withColumns({"lang": F.lit(None).cast("string"), "doc_id": F.col("doc_id") + 10_000_000}))
+    a, b = language.fit(docs, most=300), language.fit(more, most=300)
+    assert a.langs == b.langs and (a.logp == b.logp).all()
 
 
 def test_ordinal_regression_orders_grades():
