@@ -4,10 +4,13 @@ context words nearby adjust the score.
 Each pattern is matched leftmost and without overlap by regexp_extract_all; where it has matches, split by the same
 pattern gives the stretches between, whose lengths place the matches.  Patterns are written so that Java's engine needs
 time in proportion to the text and constant stack: a match starts at the first character of a run or where the last match
-ended, and repetitions are possessive, which changes no match, as what follows a repetition is never part of it.
+ended, and repetitions are possessive, which changes no match, as what follows a repetition is never part of it.  Sums and
+maxima along the matches are taken in blocks (`_running`), and parts of a long text are read from pieces of it (`_part`),
+so time stays close to proportion to the text however many matches it has.
 
 Kinds: email, ip (parts at most 255), card (16 to 19 digits, Luhn) and phone (8 to 15 digits) are the base; card_short (13
-to 15 digits, Luhn), iban (mod 97 is 1), ssn and secret (access key ids) are added if their score reaches `LEAST`.  A
+to 15 digits, Luhn), iban (mod 97 is 1), ssn and secret (keys and tokens of known forms, and values that are assigned to a
+password or token and hold a digit) are added if their score reaches `LEAST`.  A
 score starts at the kind's prior, a passed checksum adds 0.4, and a context word within 40 characters before or 20 behind
 adds 0.3.
 
@@ -30,8 +33,13 @@ PATTERNS = {
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "+"),
     "iban": (r"[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9]){11,30}", ""),
     "ssn": (r"[0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9][0-9][0-9]", "-"),
-    "secret": (r"AKIA[A-Z0-9]{16}", "AKIA"),
-}
+    "secret": (
+        r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk[-_][A-Za-z0-9_]{20,}|xox[abops]-[A-Za-z0-9-]{12,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
+        r"|(?i:password|passwd|token|secret|api[_-]?key)[\x22']? ?[=:] ?[\x22']?[A-Za-z0-9+/_.-]{8,}", "",
+    ),
+}
+#: What a text with a secret has at least.
+SECRET = r"A[KS]IA|gh[pousr]_|sk[-_]|xox[abops]-|eyJ|[=:]"
 PRIOR = {"card_short": 0.2, "iban": 0.4, "ssn": 0.3, "secret": 0.9}
 CHECKED = {"card_short", "iban"}
 CONTEXT = {
@@ -61,21 +69,55 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.split(moved, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise((a * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often a lambda in it refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, combine) -> Column:
+    """Of an array of numbers, what `combine` (associative) makes of each value and all before it: within blocks of about
+    the square root of their number, then over the blocks."""
+    none = F.array().cast("array<bigint>")
+    grow = lambda part: F.aggregate(part, none, lambda a, x: F.concat(a, F.array(F.when(F.size(a) > 0, combine(F.try_element_at(a, F.lit(-1)), x)).otherwise(x))))
+
+    def blocks(every: Column) -> Column:
+        n = F.size(every)
+        block = F.greatest(F.lit(64), F.ceil(F.sqrt(n))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: grow(F.slice(every, b * block + 1, block)))
+
+    def joined(parts: Column) -> Column:
+        lasts = grow(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return _once(lasts, lambda last: F.flatten(F.transform(parts, lambda p, b: F.when(b == 0, p).otherwise(F.transform(p, lambda x: combine(F.get(last, b - 1), x))))))
+
+    return _once(values, lambda every: F.when(F.size(every) > 0, _once(blocks(every), joined)).otherwise(none))
+
+
 def _place(text: Column, matches: Column, pattern: str) -> Column:
     """matches as array of (start, text), with the lengths of what lies between them summed up."""
     between = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), m.alias("text")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast("array<struct<start:bigint,text:string>>").alias("found"))
-    none = F.array().cast("array<struct<start:bigint,text:string>>")
-    return F.aggregate(
-        pairs, start,
-        lambda a, p: F.struct((a["at"] + p["gap"] + F.length(p["text"])).alias("at"), F.concat(F.coalesce(a["found"], none), F.array(F.struct((a["at"] + p["gap"]).alias("start"), p["text"].alias("text")))).alias("found")),
-    )["found"]
+    steps = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
+    ends = _running(steps, lambda a, x: a + x)
+    return F.zip_with(ends, matches, lambda e, m: F.struct((e - F.length(m)).alias("start"), m.alias("text")))
+
+
+#: Code points of a piece of a long text.
+PIECE = 4096
+
+
+def _pieces(text: Column) -> Column:
+    return F.when(F.length(text) <= PIECE, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+
+
+def _part(pieces: Column, start: Column, length: Column) -> Column:
+    """`length` code points from `start` (0 is the first) of the text that these are the pieces of."""
+    first = F.floor(start / PIECE).cast("int")
+    last = F.floor((start + length) / PIECE).cast("int")
+    return F.when(length <= 0, "").otherwise(F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), (start - first * PIECE + 1).cast("int"), length.cast("int")))
 
 
 def _apart(text: Column, m: Column) -> Column:
-    """Neither the character before nor the one behind is a letter or digit."""
-    before, behind = F.when(m["start"] > 0, F.substring(text, m["start"].cast("int"), F.lit(1))).otherwise(""), F.substring(text, (m["start"] + F.length(m["text"]) + 1).cast("int"), F.lit(1))
+    """Neither the character before nor the one behind is a letter or digit; `text` is in pieces."""
+    before, behind = F.when(m["start"] > 0, _part(text, m["start"] - 1, F.lit(1))).otherwise(""), _part(text, m["start"] + F.length(m["text"]), F.lit(1))
     return ~before.rlike("[A-Za-z0-9]") & ~behind.rlike("[A-Za-z0-9]")
 
 
@@ -91,11 +133,13 @@ def _confirmed(kind: str, text: Column, m: Column) -> Column:
         return F.length(digits).between(8, 15)
     if kind == "iban":
         return _apart(text, m) & (mod97(F.translate(m["text"], " ", "")) == 1)
-    return _apart(text, m) if kind in ("ssn", "secret") else F.lit(True)
+    if kind == "secret":
+        return m["text"].rlike("[0-9]|^A[KS]IA") & _apart(text, m)
+    return _apart(text, m) if kind == "ssn" else F.lit(True)
 
 
 def _scored(kind: str, text: Column, m: Column) -> Column:
-    near = F.concat(F.substring(text, F.greatest(F.lit(1), m["start"] - 39).cast("int"), F.least(F.lit(40), m["start"]).cast("int")), F.lit(" "), F.substring(text, (m["start"] + F.length(m["text"]) + 1).cast("int"), F.lit(20)))
+    near = F.concat(_part(text, F.greatest(F.lit(0), m["start"] - 40), F.least(F.lit(40), m["start"])), F.lit(" "), _part(text, m["start"] + F.length(m["text"]), F.lit(20)))
     word = F.lower(near).rlike(rf"(?:^|[^a-z])(?:{CONTEXT[kind]})(?:[^a-z]|$)")
     first = PRIOR.get(kind, 0.6) + (0.4 if kind in CHECKED else 0.0)
     score = F.least(F.lit(1.0), F.round(F.lit(first) + F.when(word, 0.3).otherwise(0.0), 3))
@@ -107,40 +151,38 @@ def with_spans(df: DataFrame, text: str = "text", out: str = "spans") -> DataFra
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<string>")
     digit = t.rlike("[0-9]")
+    secret = t.rlike(SECRET)
     for kind, (pattern, needed) in PATTERNS.items():
-        able = (digit & t.contains(needed)) if needed and kind != "email" else t.contains(needed) if needed else digit
+        able = secret if kind == "secret" else (digit & t.contains(needed)) if needed and kind != "email" else t.contains(needed) if needed else digit
         df = df.withColumn(f"_m_{kind}", F.when(able, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none))
     for kind, (pattern, _) in PATTERNS.items():
         m = F.col(f"_m_{kind}")
         df = df.withColumn(f"_p_{kind}", F.when(F.size(m) > 0, _place(t, m, pattern)).otherwise(F.array().cast("array<struct<start:bigint,text:string>>")))
+    df = df.withColumn("_pieces", _pieces(t))
     found = []
     for kind in (*BASE, "card_short", "iban", "ssn", "secret"):
         source = F.col("_p_" + ("card" if kind == "card_short" else kind))
-        spans = F.transform(F.filter(source, lambda m: _confirmed(kind, t, m)), lambda m: _scored(kind, t, m))
+        spans = F.transform(F.filter(source, lambda m: _confirmed(kind, F.col("_pieces"), m)), lambda m: _scored(kind, F.col("_pieces"), m))
         found.append(spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= LEAST))
-    df = df.withColumn(out, F.when(digit | t.contains("@") | t.contains("AKIA"), F.concat(*found)).otherwise(F.array().cast(SPAN)))
-    return df.drop(*[f"_{x}_{kind}" for kind in PATTERNS for x in "mp"])
+    df = df.withColumn(out, F.when(digit | secret | t.contains("@"), F.concat(*found)).otherwise(F.array().cast(SPAN)))
+    return df.drop("_pieces", *[f"_{x}_{kind}" for kind in PATTERNS for x in "mp"])
 
 
 def redacted(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows with every span of the text replaced by its kind in brackets; overlapping spans become one, named by the first."""
     df = with_spans(df, text, "_spans")
-    order = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    kind = "array<struct<start:bigint,end:bigint,kind:string>>"
-    last = lambda a: F.element_at(a, -1)
-    joined = F.aggregate(
-        order, F.array().cast(kind),
-        lambda a, s: F.when((F.size(a) > 0) & (s["start"] < F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(-1))),
-            F.concat(F.slice(a, F.lit(1), F.greatest(F.lit(0), F.size(a) - 1)), F.array(F.struct(F.try_element_at(a, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(a, F.lit(-1))["end"], -s["back"]).alias("end"), F.try_element_at(a, F.lit(-1))["kind"].alias("kind"))))
-        ).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["kind"].alias("kind"))))),
-    )
-    df = df.withColumn("_joined", F.when(F.size("_spans") > 0, joined))
-    t = F.col(text)
-    before = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.coalesce(F.try_element_at(F.col("_joined"), i)["end"], F.lit(0)))
-    pieces = F.transform("_joined", lambda s, i: F.concat(F.substring(t, (before(i) + 1).cast("int"), (s["start"] - before(i)).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    rest = F.substring(t, (F.element_at("_joined", -1)["end"] + 1).cast("int"), F.length(t))
-    new = F.when(F.col("_joined").isNull(), t).otherwise(F.concat(F.array_join(pieces, ""), rest))
-    return df.withColumn(text, new).drop("_spans", "_joined")
+    by_start = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    df = df.withColumn("_order", by_start)
+    df = df.withColumn("_reach", _running(F.transform("_order", lambda s: -s["back"]), lambda a, x: F.greatest(a, x)))
+    first = F.filter(F.transform("_order", lambda s, i: F.when((i == 0) | (s["start"] >= F.get("_reach", i - 1)), i)), lambda i: i.isNotNull())
+    df = df.withColumn("_first", first).withColumn("_pieces", _pieces(F.col(text)))
+    at = lambda i: F.get("_order", i)
+    end = lambda j: F.get("_reach", F.coalesce(F.get("_first", j + 1), F.size("_order")) - 1)  # noqa: E731  (of the j-th stretch)
+    before = lambda j: F.when(j == 0, F.lit(0).cast("long")).otherwise(end(j - 1))
+    pieces = F.transform("_first", lambda i, j: F.concat(_part(F.col("_pieces"), before(j), at(i)["start"] - before(j)), F.lit("["), F.upper(at(i)["kind"]), F.lit("]")))
+    last = F.array_max("_reach")
+    new = F.when(F.size("_order") > 0, F.concat(F.array_join(pieces, ""), _part(F.col("_pieces"), last, F.length(text) - last))).otherwise(F.col(text))
+    return df.withColumn(text, new).drop("_spans", "_order", "_reach", "_first", "_pieces")
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
@@ -158,7 +200,7 @@ def _sql() -> str:
     """The same for DuckDB, whose engine needs no possessive repetitions and has no look-around."""
     plain = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[ -]?[0-9])+",
-        **{k: PATTERNS[k][0] for k in ("phone", "iban", "ssn", "secret")},
+        **{k: PATTERNS[k][0].replace("'", "''") for k in ("phone", "iban", "ssn", "secret")},
     }
     digits = "regexp_replace(m.x, '[^0-9]', '', 'g')"
     luhn_sql = f"(list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr({digits}, length({digits}) - i + 1, 1) AS INT) WHEN CAST(substr({digits}, length({digits}) - i + 1, 1) AS INT) > 4 THEN 2 * CAST(substr({digits}, length({digits}) - i + 1, 1) AS INT) - 9 ELSE 2 * CAST(substr({digits}, length({digits}) - i + 1, 1) AS INT) END)) % 10 = 0)"
@@ -168,7 +210,7 @@ def _sql() -> str:
     ok = {
         "email": "true", "ip": rf"regexp_matches(m.x, '^{PART}(?:\.{PART}){{3}}$')", "card": f"CASE WHEN length({digits}) BETWEEN 16 AND 19 THEN {luhn_sql} ELSE false END",
         "phone": f"length({digits}) BETWEEN 8 AND 15", "card_short": f"CASE WHEN length({digits}) BETWEEN 13 AND 15 AND {apart} THEN {luhn_sql} ELSE false END",
-        "iban": f"{apart} AND {number} = 1", "ssn": apart, "secret": apart,
+        "iban": f"{apart} AND {number} = 1", "ssn": apart, "secret": f"regexp_matches(m.x, '[0-9]|^A[KS]IA') AND {apart}",
     }
     near = "lower(substr(t, greatest(1, m.s - 39), least(40, m.s)) || ' ' || substr(t, m.s + length(m.x) + 1, 20))"
     lists = ", ".join(f"regexp_extract_all(t, '{p}') AS m_{k}, string_split_regex(t, '{p}') AS g_{k}" for k, p in plain.items())
