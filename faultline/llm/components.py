@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import saved
+from ._store import Scratch, saved
 
 
 def _lowest(pairs: DataFrame) -> DataFrame:
@@ -25,20 +27,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return with_m.select(F.col("v").alias("u"), F.col("m").alias("v")).union(with_m.select("u", F.col("m").alias("v")))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, save: Callable = saved) -> DataFrame:
     """(node, label) of every node of `edges` (columns a, b of one integer type); label is the least node reachable.
 
-    Each round writes its edges to the shared folder, so lineage stays short and no state is held in executors.
+    Each round writes its edges to the shared folder, so lineage stays short and no state is held in executors; only the
+    result's table stays.  An empty table gives an empty result; a node that meets only itself is left out.
     """
-    now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
-    mark = None
-    for _ in range(rounds):
-        now = saved(_small_star(_large_star(now)).filter("u <> v").distinct(), "edges")
-        found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if found == mark:
-            break
-        mark = found
-    else:
-        raise RuntimeError(f"components have not settled in {rounds} rounds")
-    roots = now.select(F.col("v").alias("node")).distinct().withColumn("label", F.col("node"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
+    with Scratch(edges.sparkSession) as scratch:
+        now = scratch.saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
+        mark = None
+        for _ in range(rounds):
+            now = scratch.saved(_small_star(_large_star(now)).filter("u <> v").distinct(), "edges")
+            found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+            if found == mark:
+                break
+            mark = found
+        else:
+            raise RuntimeError(f"components have not settled in {rounds} rounds")
+        roots = now.select(F.col("v").alias("node")).distinct().withColumn("label", F.col("node"))
+        return save(now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots), "labels")
