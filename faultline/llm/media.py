@@ -2,12 +2,13 @@
 
 Storing: each slice of a table writes ZIP archives of about `ARCHIVE` bytes below a shared folder, each member an 8-bit
 grey PNG, 64 samples wide, whose samples are the payload bytes.  An archive is written under a temporary name and then
-moved to a name that depends on the slice alone, so a repeated task replaces its own work.
+moved to a name that depends on the slice alone; a task that finds its archive there, by an earlier or a second attempt
+on the same slice, leaves it as it is, so there is no moment without it.
 
 Reading: `ArchiveSource` (format name `archives`) plans byte-range partitions from the names and sizes of the archives
 alone.  A reader opens the archive at its end, takes the members whose local header lies in its range, and streams them
 in Arrow batches of bounded size.  A member that cannot be read or fails its checksum is read again, from its own offset,
-up to `retries` times, without reading its neighbours again.
+up to `retries` times, without reading its neighbours again; so is the archive's directory.
 
 Folders may be of any kind that pyarrow.fs opens from a URI (file, hdfs, s3, gs).
 
@@ -112,9 +113,14 @@ def store(docs: DataFrame, folder: str, key: str = "doc_id", column: str = "text
             temporary = f"{root}/_{task.taskAttemptId()}-{done}"
             with system.open_output_stream(temporary) as f:
                 f.write(held.getbuffer())
-            if system.get_file_info(final).type != fs.FileType.NotFound:
-                system.delete_file(final)
-            system.move(temporary, final)
+            try:
+                if system.get_file_info(final).type == fs.FileType.NotFound:
+                    system.move(temporary, final)
+            except OSError:  # another attempt was first
+                if system.get_file_info(final).type == fs.FileType.NotFound:
+                    raise
+            if system.get_file_info(temporary).type != fs.FileType.NotFound:
+                system.delete_file(temporary)
             row = pa.record_batch({"archive": pa.array([final]), "members": pa.array([members], pa.int64()), "bytes": pa.array([held.tell()], pa.int64())})
             out, done, members = None, done + 1, 0
             return row
@@ -159,23 +165,30 @@ class ArchiveReader(DataSourceReader):
         if not partition.path:
             return
         system, _ = _open(self.folder)
-        with system.open_input_file(partition.path) as f, zipfile.ZipFile(f) as z:
-            own = [m for m in z.infolist() if partition.start <= m.header_offset < partition.end]
+        f = None
+
+        def again(read):
+            """read(handle), with a new handle for each further try."""
+            nonlocal f
+            for left in range(self.retries, -1, -1):
+                try:
+                    f = f or system.open_input_file(partition.path)
+                    return read(f)
+                except (OSError, ValueError, zipfile.BadZipFile):
+                    if f:
+                        f.close()
+                    f = None
+                    if not left:
+                        raise
+                    time.sleep(0.05 * (self.retries - left + 1))
+
         rows: list[tuple] = []
         size = 0
-        f = None
         try:
-            for m in own:
-                for left in range(self.retries, -1, -1):
-                    try:
-                        f = f or system.open_input_file(partition.path)
-                        media = self.member(f, m)
-                        break
-                    except (OSError, ValueError):
-                        f = None  # a new handle for the next try
-                        if not left:
-                            raise
-                        time.sleep(0.05 * (self.retries - left + 1))
+            for m in again(self.directory):
+                if not partition.start <= m.header_offset < partition.end:
+                    continue
+                media = again(lambda handle: self.member(handle, m))  # noqa: B023  (called at once)
                 rows.append((partition.path.rsplit("/", 1)[-1], m.filename, m.header_offset, media))
                 size += len(media)
                 if size > BATCH:
@@ -187,6 +200,12 @@ class ArchiveReader(DataSourceReader):
         if rows:
             yield self.batch(rows)
 
+    @staticmethod
+    def directory(f) -> list[zipfile.ZipInfo]:
+        f.seek(0)
+        with zipfile.ZipFile(f) as z:
+            return z.infolist()
+
     @staticmethod
     def member(f, m: zipfile.ZipInfo) -> bytes:
         """The stored bytes of one member, read from its own offset and held against its checksum."""
