@@ -11,6 +11,8 @@ total 0, quantile null; columns other than text are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -27,17 +29,15 @@ def lengths(docs: DataFrame, path: str) -> DataFrame:
     """n_tokens, n_docs: the exact histogram of encoded lengths of the column text."""
 
     def run(batches):
-        total = np.zeros(1, np.int64)
+        total: Counter[int] = Counter()
         for batch in batches:
             for part in X.blocks(batch, "text"):
                 u = Encoder.of(path).units(*X.as_bytes(part.column("text")))
                 n = np.bincount(u.doc, weights=u.size, minlength=part.num_rows).astype(np.int64)
                 seen, times = np.unique(n, return_counts=True)
-                if seen[-1] >= len(total):
-                    total = np.concatenate([total, np.zeros(int(seen[-1]) + 1 - len(total), np.int64)])
-                total[seen] += times
-        at = np.flatnonzero(total)
-        yield pa.record_batch({"n_tokens": pa.array(at, pa.int64()), "n_docs": pa.array(total[at], pa.int64())})
+                for length, times_seen in zip(seen.tolist(), times.tolist(), strict=True):
+                    total[length] += times_seen
+        yield pa.record_batch({"n_tokens": pa.array(list(total), pa.int64()), "n_docs": pa.array(list(total.values()), pa.int64())})
 
     return docs.select("text").mapInArrow(run, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
