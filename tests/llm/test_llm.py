@@ -98,6 +98,43 @@ def test_jaccard_against_brute_force(spark):
     assert got == brute_classes(rows)
 
 
+def test_jaccard_with_split_tokens_and_more_rounds(spark, monkeypatch):
+    rng = random.Random(6)
+    shared = [f"s{i}" for i in range(12)]
+    rows = []
+    for k in range(150):  # many unlike texts around a few passages, and near copies of some
+        w = [f"u{rng.randrange(60)}" for _ in range(rng.choice([6, 10, 14]))] + shared
+        rows.append((k, " ".join(w)))
+        if k % 3 == 0:
+            w[rng.randrange(len(w))] = "other"
+            rows.append((1000 + k, " ".join(w + ["tail"] * (k % 2))))
+    for name, value in (("PART", 3), ("PAIRS", 0), ("SLICE", 200), ("STAR", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(docs).collect()) == brute_classes(sorted(rows))
+
+
+def test_one_of_each_of_repeated_and_missing_ids(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, "alpha text that stands alone here"), (5, "beta text that has a copy"), (3, "beta text that has a copy"), (None, near), (None, near + " end"), (7, near + " end more"), (8, ""), (8, ""), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(df).collect()), key=str)
+    assert kept == sorted([(5, rows[0][1]), (3, rows[2][1]), (7, rows[5][1]), (8, ""), (9, None)], key=str)
+    assert jaccard.one_of_each(df.limit(0)).count() == 0
+
+
+def test_scratch_tables_are_deleted(spark, data):
+    import os
+
+    from faultline.llm import _store
+
+    folder = _store.shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    jaccard.jaccard_classes(spark.read.parquet(f"{data}/documents.parquet"))
+    left = set(os.listdir(folder)) - before
+    assert not [x for x in left if x.split("-")[0] != "classes"]
+
+
 def test_jaccard_odd_rows(spark, odd):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in queries.QUERIES["op4_jaccard_join"](spark, odd).collect()), key=str)
     assert got == sorted(brute_classes([(i, t) for i, t in ODD]), key=str) or got == sorted(((i, n, i if n == 0 else c) for i, n, c in brute_classes(ODD)), key=str)
