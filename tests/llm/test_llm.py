@@ -426,9 +426,43 @@ def test_pipeline(spark, data):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    assert len(corpus_pipeline.STAGES) == 5
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_classifier", "near_duplicates", "personal_data", "packing"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, data)
         assert out.columns == docs.columns
+    for name in corpus_pipeline.BOUNDS:
+        spark.conf.unset(name)
+    before = {name: spark.conf.get(name) for name in corpus_pipeline.BOUNDS}
     rows = corpus_pipeline.run(spark, data)
+    assert {name: spark.conf.get(name) for name in corpus_pipeline.BOUNDS} == before
     assert rows.count() > 0 and rows.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 4096
+
+
+def test_pipeline_stages_on_odd_repeated_and_empty_tables(spark, data, odd, empty):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=str)
+    letters = [i for i, t in ODD if t and any(c.isalpha() for c in t)]
+    known = ids(stages["language_id"](spark, docs, odd))
+    assert known and set(known) <= set(letters) and known.count(5) in (0, 2)
+    assert set(ids(stages["quality_classifier"](spark, docs, odd))) <= {i for i, _ in ODD}
+    assert ids(stages["near_duplicates"](spark, docs, odd)) == sorted([1, 2, 3, 4, 6, 7, 9, None, 11, 12], key=str)
+    clean = {r.doc_id: r for r in stages["personal_data"](spark, docs, odd).collect()}
+    assert clean[1].text is None and clean[1].n_chars is None and clean[11].n_chars == len(clean[11].text) and "@" not in clean[11].text and clean[4].score == 1.0
+    pieces = stages["packing"](spark, docs, odd).collect()
+    assert sum(r.length for r in pieces if r.doc_id == 1) == 1 and sum(r.length for r in pieces if r.doc_id == 5) == 2 * sum(r.length for r in pieces if r.doc_id == 4)
+    nothing = spark.read.parquet(f"{empty}/documents.parquet")
+    for stage in stages.values():
+        assert stage(spark, nothing, empty).collect() == []
+    assert corpus_pipeline.run(spark, empty).collect() == []
+    for name in corpus_pipeline.BOUNDS:
+        spark.conf.unset(name)
+
+
+def test_padding_is_small_and_tails_are_powers_of_two(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    size = [r.n for r in packing.pack(docs, P.path(packing.TOKENIZER)).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
+    padding = sum(0 if n & (n - 1) == 0 else 4096 - n for n in size)
+    assert padding < 0.02 * sum(size)
