@@ -39,7 +39,7 @@ PATTERNS = {
     ),
 }
 #: What a text with a secret has at least.
-SECRET = r"A[KS]IA|gh[pousr]_|sk[-_]|xox[abops]-|eyJ|[=:]"
+SECRET = r"A[KS]IA|gh[pousr]_|sk[-_]|xox[abops]-|eyJ|(?i:password|passwd|token|secret|api[_-]?key)[\x22']? ?[=:]"
 PRIOR = {"card_short": 0.2, "iban": 0.4, "ssn": 0.3, "secret": 0.9}
 CHECKED = {"card_short", "iban"}
 CONTEXT = {
