@@ -48,13 +48,13 @@ STAR = 6
 #: Most candidate documents that are broadcast by id (16 bytes each); beyond it, texts are shuffled to them.
 MOST_BROADCAST = 1 << 20
 #: Prefix tokens of one slice of the index, and most partitions that slices are dealt to (each works on its slices in turn).
-SLICE, PARTITIONS = 600_000, 1 << 14
+SLICE, PARTITIONS = 400_000, 1 << 14
 #: A token of more sets than that is dealt to as many slices as needed.
 PART = 200_000
 #: Stars go on while the pairs left are so many times the entries, for so many rounds at most.
 PAIRS, ROUNDS = 8, 8
 #: Tokens that are counted, and that are dealt to slices, at a time.
-_COUNT, _FLUSH = 5_000_000, 1_500_000
+_COUNT, _FLUSH = 4_000_000, 1_000_000
 
 
 def sets_of(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
@@ -332,7 +332,7 @@ def _stars(live: DataFrame, members: DataFrame, nodes: DataFrame, docs: DataFram
     for turn in range(ROUNDS):
         hub = F.min(F.struct("place", "grp", "n"))
         hubs = left.groupBy("token", "step").agg(hub.alias("hub"), F.count("*").alias("size")).filter(F.col("size") >= STAR)
-        hubs = hubs.select("token", "step", F.col("hub.grp").alias("hub"), F.col("hub.n").alias("m"), F.col("hub.place").alias("place2"))
+        hubs = scratch.saved(hubs.select("token", "step", F.col("hub.grp").alias("hub"), F.col("hub.n").alias("m"), F.col("hub.place").alias("place2")), "hubs")
         near = left.join(hubs, ["token", "step"]).filter(F.col("grp") != F.col("hub"))
         spokes = near.filter(_room(percent)).select("grp", "hub").distinct()
         pairs = spokes.join(heads.withColumnRenamed("head", "a"), "grp").join(heads.select(F.col("grp").alias("hub"), F.col("head").alias("b")), "hub").select("a", "b")
@@ -346,7 +346,8 @@ def _stars(live: DataFrame, members: DataFrame, nodes: DataFrame, docs: DataFram
         # what a round leaves: entries and members that are not in their centre's component
         named = lambda c, out: label.select(F.col("node").alias(c), F.col("label").alias(out))  # noqa: B023, E731
         by_group = heads.join(named("head", "of"), "head", "left").select("grp", F.coalesce("of", "head").alias("of"))
-        near = near.join(by_group, "grp").join(by_group.select(F.col("grp").alias("hub"), F.col("of").alias("of2")), "hub").filter("of <> of2")
+        centres = hubs.join(by_group.select(F.col("grp").alias("hub"), F.col("of").alias("of2")), "hub").select("token", "step", "hub", "of2")  # one for each bucket
+        near = left.join(centres, ["token", "step"]).filter(F.col("grp") != F.col("hub")).join(by_group, "grp").filter("of <> of2")
         left = scratch.saved(near.select("token", "grp", "n", "place", "step"), "left")
         side = crowd.join(first, "grp").filter("node <> low").join(named("node", "of"), "node", "left").join(named("low", "of2"), "low", "left")
         crowd = scratch.saved(side.filter(F.coalesce("of", "node") != F.coalesce("of2", "low")).select("grp", "node"), "crowd")
