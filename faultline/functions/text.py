@@ -58,8 +58,8 @@ def _plain_letters() -> tuple[str, str]:
 
 
 def strip_accents(text: Column) -> Column:
-    """Latin letters without their marks; free-standing marks go too."""
-    return F.regexp_replace(F.translate(text, *_plain_letters()), r"\p{Mn}", "")
+    """Latin letters without their marks; free-standing marks go too.  Plain ASCII, most texts, is passed on as it is."""
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(F.translate(text, *_plain_letters()), r"\p{Mn}", ""))
 
 
 def _useful(words: Column) -> Column:
@@ -81,15 +81,57 @@ def document_text(*parts: Column) -> Column:
     return F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts])
 
 
+def _any(text: Column, *parts: str) -> Column:
+    out = F.lit(False)
+    for p in parts:
+        out = out | text.contains(p)
+    return out
+
+
+#: What a text has at least where a pattern of `SCRUB` matches, by tests that are cheaper than the pattern.
+ABLE = {
+    "jwts": lambda t: t.contains("eyJ"), "bearer": lambda t: F.lower(t).contains("bearer"), "aws_keys": lambda t: _any(t, "AKIA", "ASIA"),
+    "api_keys": lambda t: _any(t, "sk-", "sk_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "pat-", "dop_v1_"), "emails": lambda t: t.contains("@"),
+    "credit_cards": lambda t: t.rlike(r"\d(?:[ -]*+\d){12}"), "ssns": lambda t: t.rlike(r"\d{3}-\d\d-\d{4}"), "ips": lambda t: t.rlike(r"\d\.\d"), "phones": lambda t: t.rlike(r"\d{3}\)?[-.\s]?\d{4}"),
+}
+
+
+def scrubbed(text: Column, kind: str, pattern: str, instead: str) -> tuple[Column, Column]:
+    """(matches, text without them) of one pattern; texts that cannot match are passed on."""
+    able = ABLE[kind](text)
+    return F.when(able, F.regexp_count(text, F.lit(pattern)).cast("long")).otherwise(F.lit(0).cast("long")), F.when(able, F.regexp_replace(text, pattern, instead)).otherwise(text)
+
+
 def scrub(df, column: str, keep: str | None = None):
     """The rows with the column scrubbed, and a count n_<kind> of each kind; every pattern sees what the ones before it left."""
     out = keep or column
     df = df.withColumn(out, F.coalesce(F.col(column), F.lit("")))
     for kind, pattern, instead in SCRUB:
-        df = df.withColumn(f"n_{kind}", F.regexp_count(F.col(out), F.lit(pattern)).cast("long")).withColumn(out, F.regexp_replace(out, pattern, instead))
+        n, text = scrubbed(F.col(out), kind, pattern, instead)
+        df = df.withColumns({f"n_{kind}": n, out: text})
     return df
 
 
+def scrub_json(df, column: str, keep: str | None = None):
+    """The rows with every string value of a JSON text scrubbed, at any depth, and the counts n_<kind>; keys, numbers and the
+    text between stay as they are.  A text that is no JSON is scrubbed as a whole, null is the empty text.
+
+    The text is cut into its strings and what stands between; a string that a colon follows is a key.
+    """
+    out = keep or column
+    raw = F.coalesce(F.col(column), F.lit(""))
+    token = r'"(?:[^"\\]|\\.)*+"(?:\s*+:)?|[^"]++'
+    parts = F.when(F.try_parse_json(raw).isNotNull(), F.regexp_extract_all(raw, F.lit(token), F.lit(0)))
+    value = lambda p: p.startswith('"') & ~p.endswith(":")
+    read = lambda p: F.get(F.from_json(F.concat(F.lit("["), p, F.lit("]")), "array<string>"), F.lit(0))
+    df = df.withColumns({"_raw": raw, "_parts": parts}).withColumn("_texts", F.coalesce(F.transform("_parts", lambda p: F.when(value(p), read(p))), F.array("_raw")))
+    for kind, pattern, instead in SCRUB:
+        n = F.aggregate("_texts", F.lit(0).cast("long"), lambda a, t: a + F.coalesce(scrubbed(t, kind, pattern, instead)[0], F.lit(0)))  # noqa: B023
+        df = df.withColumns({f"n_{kind}": n, "_texts": F.transform("_texts", lambda t: scrubbed(t, kind, pattern, instead)[1])})  # noqa: B023
+    written = F.zip_with("_parts", "_texts", lambda p, t: F.when(t.isNull(), p).otherwise(F.regexp_extract(F.to_json(F.array(t)), r"(?s)^\[(.*)\]$", 1)))
+    return df.withColumn(out, F.when(F.col("_parts").isNull(), F.get("_texts", F.lit(0))).otherwise(F.array_join(written, ""))).drop("_raw", "_parts", "_texts")
+
+
 def sanitise(text: Column, vendors: tuple[str, ...] = (), marker: str | None = None) -> Column:
     """Invisible characters go first, then each pattern is replaced in turn; then at most 20,000 characters stay.
 

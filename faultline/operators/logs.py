@@ -36,24 +36,48 @@ CLASSES = [
 SPAN = r"(?i)[Ss]pan\s*(\d+)\s*\|\s*([^|]+?)\s*\|\s*([^|]+?)\s*\|\s*(\d+)\s*ms?\s*\|\s*(OK|ERROR|TIMEOUT)(?:\s*→\s*(.+))?$"
 
 
-def blocks(lines: DataFrame, keys: list[str], order: str, line: str) -> DataFrame:
-    """One row for each entry of a log: lines that start with no timestamp, level or "[20" belong to the entry above."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    begins = F.col(line).rlike(f"^(?:{TIMESTAMP})") | F.col(line).rlike(r"^(?i:ERROR|WARN|INFO|DEBUG|FATAL|CRITICAL|TRACE)\b") | F.col(line).startswith("[20")
-    marked = lines.withColumn("block", F.sum(begins.cast("long")).over(w))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("l")))), lambda x: x["l"]), "\n")
-    return marked.groupBy(*keys, "block").agg(text.alias("raw"), F.count("*").alias("n_lines"))
+#: Line numbers of one stretch of a log, which one task numbers.
+STRETCH = 1 << 13
 
 
-def _first(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+def blocks(lines: DataFrame, keys: list[str], order: str, line: str, stretch: int = STRETCH) -> DataFrame:
+    """One row for each entry of a log: lines that start with no timestamp, level or "[20" belong to the entry above.
+
+    A log is numbered in stretches of its line numbers: the entries that begin before a stretch are counted first, so the
+    lines of one service are not sorted in one task.
+    """
+    begins = F.col(line).rlike(rf"^(?:{TIMESTAMP}|(?i:ERROR|WARN|INFO|DEBUG|FATAL|CRITICAL|TRACE)\b|\[20)")
+    marked = lines.select(*keys, F.col(order).alias("_o"), F.col(line).alias("_l"), F.floor(F.col(order) / stretch).alias("_s"), begins.cast("long").alias("_b"))
+    w = Window.partitionBy(*keys).orderBy("_s")
+    before = marked.groupBy(*keys, "_s").agg(F.sum("_b").alias("_n")).withColumn("_before", F.sum("_n").over(w) - F.col("_n")).drop("_n")
+    within = F.sum("_b").over(Window.partitionBy(*keys, "_s").orderBy("_o"))
+    numbered = marked.withColumn("_k", within).join(before, [*keys, "_s"]).withColumn("block", F.col("_before") + F.col("_k"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.col("_l").alias("l")))), lambda x: x["l"]), "\n")
+    return numbered.groupBy(*keys, "block").agg(text.alias("raw"), F.count("*").alias("n_lines"))
+
+
+def _has(text: Column, *parts: str) -> Column:
+    out = F.lit(False)
+    for p in parts:
+        out = out | text.contains(p)
+    return out
+
+
+def _first(text: Column, pattern: str, group: int = 1, needed: Column | None = None) -> Column:
+    found = F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return found if needed is None else F.when(needed, found)
+
+
+#: Of each class, lower-case parts of which a text that matches has at least one.
+CLASS_PARTS = (("keyerror", "missing", "missingfield"), ("cast", "mismatch"), ("stored",), ("400",), ("stock", "off"), ('"percent"',), ("0.1",), ("null",), ("connection", "timeout"))
 
 
 def classified(text: Column) -> tuple[Column, Column]:
     """(type, severity) of the first class that matches; null if none does."""
     kind = severity = None
-    for pattern, name, level in CLASSES:
-        test = text.rlike(pattern)
+    low = F.lower(text)
+    for (pattern, name, level), parts in zip(CLASSES, CLASS_PARTS, strict=True):
+        test = _has(low, *parts) & text.rlike(pattern)
         kind = F.when(test, name) if kind is None else kind.when(test, name)
         severity = F.when(test, level) if severity is None else severity.when(test, level)
     return kind, severity
@@ -62,15 +86,17 @@ def classified(text: Column) -> tuple[Column, Column]:
 def parsed(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds the fields of each entry.  The status is the last three-digit number from 100 to 599, whatever it stands for."""
     t = F.col(raw)
-    every = lambda p, g=1: F.regexp_extract_all(t, F.lit(p), F.lit(g))
+    none = F.array().cast("array<string>")
+    every = lambda p, needed, g=1: F.when(needed, F.regexp_extract_all(t, F.lit(p), F.lit(g))).otherwise(none)
+    has = lambda *parts: _has(t, *parts)
     kind, severity = classified(t)
-    missing = F.concat(every(MISSING), every(KEY_ERROR))
-    received = F.transform(F.split(_first(t, RECEIVED), ","), lambda x: F.regexp_replace(F.trim(x), "^['\"]|['\"]$", ""))
-    status = F.try_element_at(every(STATUS), F.lit(-1)).cast("int")
+    missing = F.concat(every(MISSING, has("issing")), every(KEY_ERROR, has("KeyError")))
+    received = F.transform(F.split(_first(t, RECEIVED, needed=has("[")), ","), lambda x: F.regexp_replace(F.trim(x), "^['\"]|['\"]$", ""))
+    status = F.try_element_at(F.regexp_extract_all(t, F.lit(STATUS), F.lit(1)), F.lit(-1)).cast("int")
     out = df.withColumns({
-        "log_ts": _first(t, TIMESTAMP, 0), "level": F.upper(_first(t, LEVEL)), "method": _first(t, METHOD), "status": status, "url": _first(t, URL),
-        "bodies": every(BODY, 0), "missing_fields": missing, "received_keys": F.coalesce(received, F.array().cast("array<string>")), "exceptions": every(EXCEPTION),
-        "amounts": F.transform(every(AMOUNT), lambda x: x.cast("double")), "latencies": F.transform(every(LATENCY), lambda x: x.cast("long")), "anomaly_type": kind, "anomaly_severity": severity,
+        "log_ts": _first(t, TIMESTAMP, 0), "level": F.upper(_first(t, LEVEL)), "method": _first(t, METHOD), "status": status, "url": _first(t, URL, needed=has("/")),
+        "bodies": every(BODY, has("{"), 0), "missing_fields": missing, "received_keys": F.coalesce(received, F.array().cast("array<string>")), "exceptions": every(EXCEPTION, has("Exception", "Error", "Failure")),
+        "amounts": F.transform(every(AMOUNT, has(".")), lambda x: x.cast("double")), "latencies": F.transform(every(LATENCY, has("ms")), lambda x: x.cast("long")), "anomaly_type": kind, "anomaly_severity": severity,
     })
     parts = [
         F.when(F.size("missing_fields") > 0, F.concat(F.lit("Missing fields: "), F.array_join(F.array_sort(F.array_distinct("missing_fields")), ", "))),

@@ -23,11 +23,11 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str, query_key: str, t
     Only postings of query terms go on from the scan, which the term table filters.
     """
     terms = queries.select(query_key, F.explode(F.array_distinct(bm25_tokens(F.col(text)))).alias("term"))
-    own = postings(docs, key, text)
     # lengths and the document count come from a pass of their own that keeps no terms
     stats = docs.select(F.size(bm25_tokens(F.col(text))).alias("n")).agg(F.count("*").cast("double").alias("n_docs"), F.greatest(F.sum("n") / F.greatest(F.count("*"), F.lit(1)), F.lit(1e-10)).alias("avg_len"))
     asked = terms.select("term").distinct()
-    used = own.join(asked, "term", "left_semi")
+    cut = docs.select(key, bm25_tokens(F.col(text)).alias("_t"))
+    used = cut.select(key, F.size("_t").cast("double").alias("len"), F.explode("_t").alias("term")).join(asked, "term", "left_semi").groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
     df = used.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     weighed = used.join(df, "term").crossJoin(F.broadcast(stats))  # one row
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))

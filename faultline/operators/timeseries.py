@@ -1,11 +1,13 @@
 """Sequential operators on metric series: change points, trends, streaks, rate limits and ledgers.
 
-Folds run over one key's points in time order.  A key's points are those of one pre-aggregated series (an hour or a day
-each), so a key's array is bounded by the time span, however many events there are.
+Folds read one key's rows in time order and carry a small state from row to row, so a key's history is never gathered and
+a step costs the same however long it is.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,30 +22,44 @@ def baseline(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(value).alias("mu"), F.greatest(F.stddev_pop(value), F.lit(TINY)).alias("sigma"))
 
 
+def _in_order(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Each key's rows together and in order, in partitions that hold whole keys."""
+    return df.repartition(*[F.col(k) for k in key]).sortWithinPartitions(*key, *order)
+
+
 def cusum(df: DataFrame, keys: list[str], order: str, value: str, base: DataFrame, k: float = 0.5, h: float = 5.0) -> DataFrame:
     """Two-sided CUSUM alarms of each key: index, order column, value, direction, magnitude (in sigmas) and severity.
 
-    An alarm sets back the sum of its own side only, and an upward alarm at a point hides a downward one.
+    An alarm sets back the sum of its own side only, and an upward alarm at a point hides a downward one.  The two sums are
+    carried from point to point, so a key's points are never gathered.
     """
-    points = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), F.col(value).cast("double").alias("v")))).alias("points")).join(base, keys)
-    t = dict(df.dtypes)[order]
-    alarm = f"array<struct<i:bigint,t:{t},v:double,direction:string,magnitude:double>>"
-    start = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.lit(0).cast("bigint").alias("i"), F.array().cast(alarm).alias("out"))
-
-    def step(a: Column, p: Column) -> Column:
-        slack, bar = k * F.col("sigma"), h * F.col("sigma")
-        up = F.greatest(F.lit(0.0), a["up"] + (p["v"] - F.col("mu") - slack))
-        down = F.least(F.lit(0.0), a["down"] + (p["v"] - F.col("mu") + slack))
-        is_up = up > bar
-        is_down = ~is_up & (F.abs(down) > bar)
-        found = F.array(F.struct(a["i"].alias("i"), p["t"].alias("t"), p["v"].alias("v"), F.when(is_up, "up").otherwise("down").alias("direction"), (F.abs(p["v"] - F.col("mu")) / F.col("sigma")).alias("magnitude")))
-        return F.struct(
-            F.when(is_up, 0.0).otherwise(up).alias("up"), F.when(is_down, 0.0).otherwise(down).alias("down"), (a["i"] + 1).alias("i"),
-            F.when(is_up | is_down, F.concat(a["out"], found)).otherwise(a["out"]).alias("out"),
-        )
-
-    alarms = points.select(*keys, F.explode(F.aggregate("points", start, step)["out"]).alias("c"))
-    return alarms.select(*keys, F.col("c.i").alias("idx"), F.col("c.t").alias(order), F.col("c.v").alias(value), F.col("c.direction").alias("direction"), F.col("c.magnitude").alias("magnitude"), sigma_severity(F.col("c.magnitude")).alias("severity"))
+    kinds = dict(df.dtypes)
+    points = df.select(*keys, F.col(order), F.col(value).cast("double").alias("_v")).join(base.select(*keys, "mu", "sigma"), keys)
+
+    def run(batches):
+        now, up, down, i = None, 0.0, 0.0, 0
+        for batch in batches:
+            rows, alarms = zip(*[c.to_pylist() for c in batch.columns], strict=True) if batch.num_rows else [], []
+            for at, row in enumerate(rows):
+                *key, _, v, mu, sigma = row
+                if key != now:
+                    now, up, down, i = key, 0.0, 0.0, 0
+                if v is not None and mu is not None:
+                    up, down = max(0.0, up + (v - mu - k * sigma)), min(0.0, down + (v - mu + k * sigma))
+                    if up > h * sigma:
+                        alarms.append((at, i, "up", abs(v - mu) / sigma))
+                        up = 0.0
+                    elif abs(down) > h * sigma:
+                        alarms.append((at, i, "down", abs(v - mu) / sigma))
+                        down = 0.0
+                i += 1
+            if alarms:
+                at, idx, direction, magnitude = zip(*alarms, strict=True)
+                kept = batch.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns[: len(keys)], pa.array(idx, pa.int64()), *kept.columns[len(keys) : len(keys) + 2], pa.array(direction), pa.array(magnitude)], [*keys, "idx", order, value, "direction", "magnitude"])
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "idx long", f"{order} {kinds[order]}", f"{value} double", "direction string", "magnitude double"])
+    return _in_order(points, keys, [order]).mapInArrow(run, schema).withColumn("severity", sigma_severity(F.col("magnitude")))
 
 
 def first_change(alarms: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,17 +110,23 @@ def rate_limit(hits: DataFrame, key: str, at: str, most: int = 30, seconds: int
 
     The state of a key is its last `most` allowed times, so a step costs the same however long the key's history is.
     """
-    points = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.col(at))).alias("ts"))
-    t = dict(hits.dtypes)[at]
-    start = F.struct(F.array().cast(f"array<{t}>").alias("held"), F.array().cast("array<boolean>").alias("ok"))
+    kinds = dict(hits.dtypes)
 
-    def step(a: Column, x: Column) -> Column:
-        held = F.filter(a["held"], lambda y: x - y < seconds)
-        ok = F.size(held) < most
-        return F.struct(F.when(ok, F.concat(held, F.array(x))).otherwise(held).alias("held"), F.concat(a["ok"], F.array(ok)).alias("ok"))
+    def run(batches):
+        now, started, held = None, False, deque()
+        for batch in batches:
+            allowed = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not started or k != now:
+                    now, started, held = k, True, deque()
+                while held and t - held[0] >= seconds:
+                    held.popleft()
+                allowed.append(len(held) < most)
+                if allowed[-1]:
+                    held.append(t)
+            yield pa.record_batch([*batch.columns, pa.array(allowed, pa.bool_())], [key, at, "allowed"])
 
-    out = points.select(key, F.explode(F.arrays_zip("ts", F.aggregate("ts", start, step)["ok"].alias("ok"))).alias("c"))
-    return out.select(key, F.col("c.ts").alias(at), F.col("c.ok").alias("allowed"))
+    return _in_order(hits.select(key, at).filter(F.col(at).isNotNull()), [key], [at]).mapInArrow(run, f"{key} {kinds[key]}, {at} {kinds[at]}, allowed boolean")
 
 
 def _moved(stock: int | None, kind: str | None, quantity: int | None) -> tuple[bool | None, int | None]:
@@ -137,4 +159,4 @@ def stock_ledger(moves: DataFrame, key: str, order: str, kind: str, quantity: st
                 left.append(stock)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(accepted, pa.bool_()), pa.array(left, pa.int64())], [key, order, "accepted", "stock"])
 
-    return rows.repartition(F.col(key)).sortWithinPartitions(key, order, "_k", "_q").mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, accepted boolean, stock long")
+    return _in_order(rows, [key], [order, "_k", "_q"]).mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, accepted boolean, stock long")

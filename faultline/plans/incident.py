@@ -124,7 +124,7 @@ def outlier_hours(t: Tables) -> DataFrame:
 
 STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 BM25 = f"""WITH tok AS (SELECT doc_id, list_filter(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 2 AND w NOT IN ({STOPS})) AS ts FROM documents),
-q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_extract_all(strip_accents(lower(array_to_string(string_split(text, ' ')[1:8], ' '))), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 2 AND w NOT IN ({STOPS}))) AS term FROM benchmark),
+q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 2 AND w NOT IN ({STOPS}))) AS term FROM benchmark),
 st AS (SELECT CAST(count(*) AS DOUBLE) AS n, greatest(sum(len(ts)) / greatest(count(*), 1), 1e-10) AS al FROM tok),
 p AS (SELECT doc_id, term, count(*) AS tf, any_value(l) AS l FROM (SELECT doc_id, CAST(len(ts) AS DOUBLE) AS l, unnest(ts) AS term FROM tok) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
 df AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM p GROUP BY term),
@@ -155,7 +155,7 @@ def bm25_multi(t: Tables) -> DataFrame:
 _ASCII = lambda c: f"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ({STOPS}))"
 
 
-@query(f"""WITH q0 AS (SELECT item_id, {_ASCII("array_to_string(string_split(text, ' ')[1:8], ' ')")} AS ts FROM benchmark), d0 AS (SELECT doc_id, {_ASCII('text')} AS ts FROM documents),
+@query(f"""WITH q0 AS (SELECT item_id, {_ASCII('text')} AS ts FROM benchmark), d0 AS (SELECT doc_id, {_ASCII('text')} AS ts FROM documents),
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM d0), d AS (SELECT doc_id, term, count(*) / any_value(l) AS tf FROM (SELECT doc_id, CAST(len(ts) AS DOUBLE) AS l, unnest(ts) AS term FROM d0) GROUP BY doc_id, term),
 f AS (SELECT term, ln((SELECT n FROM n) / (1 + count(*))) + 1 AS idf FROM d GROUP BY term), dw AS (SELECT doc_id, term, tf * idf AS w FROM d JOIN f USING (term)), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS nd FROM dw GROUP BY doc_id),
 q AS (SELECT item_id, term, count(*) / any_value(l) AS tf FROM (SELECT item_id, CAST(len(ts) AS DOUBLE) AS l, unnest(ts) AS term FROM q0) GROUP BY item_id, term),
@@ -366,7 +366,7 @@ HYPOTHESES = [(0, "python_field_mismatch", 0.4), (1, "java_config_error", 0.35),
 
 
 @query(r"""WITH RECURSIVE h AS (SELECT * FROM (VALUES (0, 'python_field_mismatch', 0.4::DOUBLE), (1, 'java_config_error', 0.35::DOUBLE), (2, 'network_issue', 0.25::DOUBLE)) v(ord, hypothesis, prior)),
-e AS (SELECT user_id AS case_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, CASE event_type WHEN 'error' THEN 'python_anomaly_signal' WHEN 'click' THEN 'recent_deployment' WHEN 'view' THEN 'network_anomaly' ELSE 'resource_anomaly' END AS name FROM events WHERE event_id % 11 = 0),
+e AS (SELECT user_id AS case_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, CASE event_type WHEN 'error' THEN 'python_anomaly_signal' WHEN 'click' THEN 'recent_deployment' WHEN 'view' THEN 'network_anomaly' ELSE 'resource_anomaly' END AS name FROM events),
 r AS (SELECT DISTINCT case_id, CAST(0 AS BIGINT) AS seq, [0.4::DOUBLE, 0.35::DOUBLE, 0.25::DOUBLE] AS p FROM e UNION ALL
  SELECT case_id, seq, list_transform(q, lambda v: v / list_sum(q)) FROM (SELECT e.case_id, e.seq, CASE e.name WHEN 'python_anomaly_signal' THEN [greatest(1e-10, p[1] * 0.8::DOUBLE), greatest(1e-10, p[2] * 0.2::DOUBLE), greatest(1e-10, p[3] * 0.2::DOUBLE)]
   WHEN 'recent_deployment' THEN [greatest(1e-10, p[1] * 0.3::DOUBLE), greatest(1e-10, p[2] * 0.7::DOUBLE), greatest(1e-10, p[3] * 0.3::DOUBLE)] WHEN 'network_anomaly' THEN [greatest(1e-10, p[1] * 0.2::DOUBLE), greatest(1e-10, p[2] * 0.2::DOUBLE), greatest(1e-10, p[3] * 0.75::DOUBLE)]
@@ -384,7 +384,7 @@ def bayes_rank(t: Tables) -> DataFrame:
     return ranking.rank_hypotheses(e, h, "case_id").select("case_id", "n_evidence", "hypothesis", r6(F.col("posterior")).alias("posterior"), "rank")
 
 
-INCIDENTS = f"""i AS (SELECT user_id, epoch(min(ts)) AS s0, CAST(floor(epoch(min(ts) FILTER (event_type = 'error'))) AS BIGINT) AS page, CAST(floor(epoch(max(ts) FILTER (event_type = 'signup' AND event_id % 7 = 0))) AS BIGINT) AS deploy,
+INCIDENTS = f"""i AS (SELECT user_id, epoch(min(ts)) AS s0, CAST(floor(epoch(min(ts) FILTER (event_type = 'error'))) AS BIGINT) AS page, CAST(floor(epoch(max(ts) FILTER (event_type = 'signup'))) AS BIGINT) AS deploy,
 CAST(floor(epoch(min(ts) FILTER (event_type = 'view'))) AS BIGINT) AS v, CAST(floor(epoch(min(ts) FILTER (event_type = 'purchase'))) AS BIGINT) AS truth FROM events GROUP BY user_id)"""
 
 
@@ -473,7 +473,7 @@ def pricing(t: Tables) -> DataFrame:
     return o.select("o_orderkey", F.round(records.order_total(F.col("u"), F.col("kind"), value), 2).alias("total"), records.coupon_valid(F.lit(True), F.col("kind"), value, F.lit(1000.0), F.col("u")).alias("coupon_ok"))
 
 
-@query("""WITH RECURSIVE m AS (SELECT l_suppkey AS sku, CAST(l_quantity AS BIGINT) AS q, CASE WHEN l_returnflag = 'R' THEN 'release' ELSE 'reserve' END AS k, l_orderkey * 10 + l_linenumber AS o, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS i FROM lineitem WHERE l_partkey % 20 = 0),
+@query("""WITH RECURSIVE m AS (SELECT l_suppkey AS sku, CAST(l_quantity AS BIGINT) AS q, CASE WHEN l_returnflag = 'R' THEN 'release' ELSE 'reserve' END AS k, l_orderkey * 10 + l_linenumber AS o, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'release' ELSE 'reserve' END, l_quantity) AS i FROM lineitem),
 r AS (SELECT DISTINCT sku, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS o, true AS ok, CAST(50 AS BIGINT) AS stock FROM m UNION ALL SELECT m.sku, m.i, m.o, m.k <> 'reserve' OR r.stock >= m.q, CASE WHEN m.k <> 'reserve' THEN r.stock + m.q WHEN r.stock >= m.q THEN r.stock - m.q ELSE r.stock END FROM r JOIN m ON m.sku = r.sku AND m.i = r.i + 1)
 SELECT sku, o, ok AS accepted, stock FROM r WHERE i > 0""")
 def stock_ledger(t: Tables) -> DataFrame:

@@ -37,8 +37,9 @@ def recent(events: DataFrame, at: str, now, seconds: int) -> DataFrame:
 
 
 def json_or_text(text):
-    """(is_json, value): whether a text parses as JSON."""
-    return F.try_parse_json(text).isNotNull()
+    """(is_json, value): whether a text parses as JSON, and what it holds; a text that does not is a JSON string itself."""
+    parsed = F.try_parse_json(text)
+    return parsed.isNotNull(), F.coalesce(parsed, F.try_parse_json(F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)))
 
 
 def write_checkpoint(checkpoints: DataFrame | None, new: DataFrame) -> DataFrame:
