@@ -137,6 +137,12 @@ def forest_scores(df: DataFrame, forest: IsolationForest) -> DataFrame:
     return out.withColumn("is_anomaly", flag).withColumn("severity", forest_severity(F.col("score"), flag))
 
 
+def calibrated_threshold(healthy: DataFrame, model: Ensemble) -> float:
+    """The 99th percentile of the scores of healthy snapshots; the model's own threshold if there are none."""
+    found = ensemble_scores(healthy, model).agg(F.expr("percentile(score, 0.99)")).first()[0]
+    return model.threshold if found is None else found
+
+
 def ensemble_scores(df: DataFrame, model: Ensemble) -> DataFrame:
     """Adds score, error, forest score, confidence, the three features that are furthest off (with their values in natural
     units), is_anomaly and severity.  Features are taken as lying in [0, 1]; they are not rescaled."""

@@ -348,12 +348,6 @@ def articulation_points(t: Tables) -> DataFrame:
     return graph.articulation_points(e.select(F.concat(F.lit("c"), F.col("a").cast("string")).alias("src"), F.concat(F.lit("c"), F.col("b").cast("string")).alias("dst"), "ord"))
 
 
-@query()
-def chain_edges(t: Tables) -> DataFrame:
-    """Service edges of call chains."""
-    return graph.chain_edges(span_rows(t), "trace_id", "span_id", "service", "status", "duration_ms").withColumn("weight", r6(F.col("weight")))
-
-
 @query()
 def dbscan_alerts(t: Tables) -> DataFrame:
     """Clusters of each day's errors of high value."""

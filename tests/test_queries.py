@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
-import faultline.plans.contracts  # noqa: F401
+import faultline.plans.contracts
+import faultline.plans.signals
+import faultline.plans.stores  # noqa: F401
 from faultline.plans.incident import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
