@@ -1,9 +1,7 @@
-"""Hypothesis ranking by Bayes' rule, clustering of alerts, and scoring of predicted windows."""
+"""Hypothesis ranking by Bayes' rule, and scoring of predicted windows."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,70 +46,6 @@ def rank_hypotheses(evidence: DataFrame, hypotheses: DataFrame, case: str) -> Da
     return rows.withColumn("rank", F.row_number().over(w)).withColumn("low", low).withColumn("high", high)
 
 
-WEIGHTS = (0.4, 0.3, 0.2, 0.1)
-
-
-def dbscan(vectors: np.ndarray, eps: float = 0.5, least: int = 2) -> np.ndarray:
-    """Density clusters of rows scaled to [0, 1], distance sqrt(sum (weight * difference)^2); -1 is noise.
-
-    A point that starts a cluster takes all its neighbours, also those of an earlier cluster; points met later only join
-    if they have no cluster yet.
-    """
-    n = len(vectors)
-    scaled = vectors.astype(float)
-    low, high = (scaled.min(0), scaled.max(0)) if n else (0, 0)
-    span = np.where(high > low, high - low, 1.0) if n else 1.0
-    x = (scaled - low) / span * np.array(WEIGHTS)
-    near = [np.flatnonzero(((x - x[i]) ** 2).sum(1) <= eps * eps + 1e-15) for i in range(n)]
-    label, done, cluster = np.full(n, -1), np.zeros(n, bool), -1
-    for i in range(n):
-        if done[i]:
-            continue
-        done[i] = True
-        if len(near[i]) < least:
-            continue
-        cluster += 1
-        label[near[i]] = cluster
-        label[i] = cluster
-        queue = list(near[i])
-        while queue:
-            j = queue.pop(0)
-            if not done[j]:
-                done[j] = True
-                if len(near[j]) >= least:
-                    queue += list(near[j])
-            if label[j] == -1:
-                label[j] = cluster
-    return label
-
-
-SEVERITY = {"low": 0, "medium": 1, "high": 2, "critical": 3}
-
-
-def cluster_alerts(alerts: DataFrame, group: str, eps: float = 0.5, least: int = 2) -> DataFrame:
-    """alert_id, cluster of the alerts (ord, ts in seconds, service, anomaly_type, severity) of each group, a short span of time."""
-    kind = dict(alerts.dtypes)[group]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        code = lambda c: pdf[c].map({v: k for k, v in enumerate(dict.fromkeys(pdf[c]))})
-        v = np.stack([pdf["ts"], code("service"), code("anomaly_type"), pdf["severity"].str.lower().map(SEVERITY).fillna(1)], 1)
-        return pd.DataFrame({group: key[0], "alert_id": pdf["alert_id"], "cluster": dbscan(v, eps, least).astype("int64")})
-
-    return alerts.groupBy(group).applyInPandas(run, f"{group} {kind}, alert_id long, cluster long")
-
-
-def cluster_summary(clustered: DataFrame, group: str) -> DataFrame:
-    """Size, commonest service and type (ties: the first seen) and span of each cluster; noise is left out."""
-    real = clustered.filter("cluster >= 0")
-    keys = [group, "cluster"]
-    out = real.groupBy(*keys).agg(F.count("*").alias("size"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    for c in ("service", "anomaly_type"):
-        n = real.groupBy(*keys, c).agg(F.count("*").alias("n"), F.min("ord").alias("o"))
-        out = out.join(n.groupBy(*keys).agg(F.min_by(c, F.struct(-F.col("n"), F.col("o"))).alias(f"top_{c}")), keys)
-    return out
-
-
 def score_windows(predictions: DataFrame) -> DataFrame:
     """Of each row (start, end predicted; truth_start, truth_end; all in seconds): whether the truth's middle was hit, the
     overlap over the hull, and the distance of the middles in minutes.  Without a prediction, applicable is false."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import graph, logs, models, ranking, records, retrieval, timeseries
+from ..operators import clusters, graph, logs, models, ranking, records, retrieval, timeseries
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -348,12 +348,24 @@ def articulation_points(t: Tables) -> DataFrame:
     return graph.articulation_points(e.select(F.concat(F.lit("c"), F.col("a").cast("string")).alias("src"), F.concat(F.lit("c"), F.col("b").cast("string")).alias("dst"), "ord"))
 
 
+#: Radius of a cluster of alerts, where the largest distance is 0.55.
+ALERT_EPS = 0.05
+
+
 @query()
 def dbscan_alerts(t: Tables) -> DataFrame:
-    """Clusters of each day's errors of high value."""
-    a = t.events.filter("event_type = 'error' and value > 60").select(F.col("event_id").alias("alert_id"), F.col("event_id").alias("ord"), seconds().cast("double").alias("ts"), F.concat(F.lit("svc"), (F.col("user_id") % 8).cast("string")).alias("service"), F.when(F.col("value") > 100, "latency").otherwise("http_error").alias("anomaly_type"), F.when(F.col("value") > 120, "critical").otherwise("high").alias("severity"))
-    a = a.withColumn("day", F.floor(F.col("ts") / 86400))
-    return ranking.cluster_summary(a.join(ranking.cluster_alerts(a, "day").drop("day"), "alert_id"), "day")
+    """Clusters of all error events, as one batch of alerts."""
+    value = F.col("value")
+    a = t.events.filter("event_type = 'error'").select(
+        F.lit(0).alias("batch"),
+        F.col("event_id").alias("alert_id"),
+        F.col("event_id").alias("ord"),
+        seconds().cast("double").alias("ts"),
+        F.concat(F.lit("svc"), (F.col("user_id") % 8).cast("string")).alias("service"),
+        F.when(value > 100, "latency").otherwise("http_error").alias("anomaly_type"),
+        F.when(value > 120, "critical").when(value > 60, "high").when(value > 20, "medium").otherwise("low").alias("severity"),
+    )
+    return clusters.cluster_summary(clusters.cluster_alerts(a, "batch", ALERT_EPS), "batch")
 
 
 HYPOTHESES = [(0, "python_field_mismatch", 0.4), (1, "java_config_error", 0.35), (2, "network_issue", 0.25)]

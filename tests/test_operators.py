@@ -101,11 +101,6 @@ def test_articulation_points(spark):
     assert [r.service for r in graph.articulation_points(e).collect()] == ["b"]
 
 
-def test_dbscan():
-    v = np.array([[0, 0, 0, 0], [0.01, 0, 0, 0], [1, 1, 1, 1], [1, 1, 1, 0.9]])
-    assert ranking.dbscan(v, 0.2).tolist() == [0, 0, 1, 1] and ranking.dbscan(np.zeros((0, 4))).tolist() == []
-
-
 def test_models_find_the_anomaly(spark):
     x = models.healthy_snapshots(600)
     m = models.Ensemble(x, epochs=20)
