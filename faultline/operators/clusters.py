@@ -8,12 +8,13 @@ with enough of them is one piece of a cluster, and only the few alerts of thin c
 from __future__ import annotations
 
 import functools
-import tempfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 #: Weights of time, service, anomaly type and severity, and the severities' numbers (1 if unknown).
 WEIGHTS = (0.4, 0.3, 0.2, 0.1)
 SEVERITY = {"low": 0, "medium": 1, "high": 2, "critical": 3}
@@ -24,20 +25,6 @@ SLACK = 1e-15
 LEAST_EPS = 0.02
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """The rows, written below spark.checkpoint.dir, so that plans stay small and a lost executor costs no earlier step."""
-    spark = rows.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir is not set")
-            folder = tempfile.mkdtemp(prefix="clusters-")
-        context.setCheckpointDir(folder)
-    return rows.checkpoint()
-
-
 def _key(*columns: str) -> Column:
     """A string that is equal for equal values, nulls included."""
     return F.to_json(F.struct(*columns))
@@ -146,21 +133,21 @@ def cluster_alerts(alerts: DataFrame, group: str, eps: float = 0.5, least: int =
     if eps < LEAST_EPS:
         raise ValueError(f"eps {eps}; the grid needs {LEAST_EPS} or more")
     side = eps / 2 * (1 - 1e-9)
-    placed = _kept(_positions(alerts, group, side))
+    placed = kept(_positions(alerts, group, side))
     points = placed.groupBy(F.col("_g").alias("g"), F.col("_cell").alias("cell"), F.col("_x").alias("x")).agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
-    points = _kept(points)
-    cells = _kept(points.groupBy("g", "cell").agg((F.sum("n") >= least).alias("full")))
-    near = _kept(_near(cells.select("g", "cell")))
+    points = kept(points)
+    cells = kept(points.groupBy("g", "cell").agg((F.sum("n") >= least).alias("full")))
+    near = kept(_near(cells.select("g", "cell")))
     points = points.join(cells, ["g", "cell"])
     thin = points.filter("not full").select("g", "cell", "x").join(near, ["g", "cell"])
     others = points.select("g", F.col("cell").alias("to"), F.col("x").alias("y"), F.col("n").alias("m"), F.col("ord").alias("o"), "full")
-    touch = _kept(thin.join(others, ["g", "to"]).filter(_square("x", "y") <= eps * eps + SLACK))
+    touch = kept(thin.join(others, ["g", "to"]).filter(_square("x", "y") <= eps * eps + SLACK))
     lone = touch.groupBy("g", "x").agg(F.sum("m").alias("m")).filter(F.col("m") >= least).select("g", "x")
-    core = _kept(points.filter("full").unionByName(points.filter("not full").join(lone, ["g", "x"], "left_semi")).select("g", "cell", "x", "ord"))
+    core = kept(points.filter("full").unionByName(points.filter("not full").join(lone, ["g", "x"], "left_semi")).select("g", "cell", "x", "ord"))
 
     nodes = core.groupBy("g", "cell").agg(F.min("ord").cast("long").alias("ord")).withColumn("to", F.col("cell"))
     links = _links(core, near, eps, side).withColumn("ord", F.lit(None).cast("long"))
-    pieces = _kept(nodes.unionByName(links).groupBy("g").applyInPandas(_pieces, "g string, cell array<int>, cluster long, start long"))
+    pieces = kept(nodes.unionByName(links).groupBy("g").applyInPandas(_pieces, "g string, cell array<int>, cluster long, start long"))
 
     of = touch.join(lone.withColumnRenamed("x", "y").withColumn("sure", F.lit(True)), ["g", "y"], "left").filter("full or sure")
     of = of.join(pieces.withColumnRenamed("cell", "to"), ["g", "to"])

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import edge_weight
+from ..session import kept
 
 #: Most distinct edges that one task iterates over.
 MOST_EDGES = 2_000_000
@@ -79,26 +80,30 @@ def pagerank(edges: DataFrame, errors: DataFrame | None = None, damping: float =
 def blast_radius(edges: DataFrame, root: str, most_hops: int = 64) -> DataFrame:
     """service, hops of every service reachable from the root, itself at 0; nothing for an unknown root.
 
-    A frontier join for each hop; each service is reached once, so cycles end.
+    A frontier join for each hop, written each time; each service is reached once, so cycles end.
     """
-    spark = edges.sparkSession
-    pairs = edges.select("src", "dst").distinct().persist()
-    known = pairs.filter((F.col("src") == root) | (F.col("dst") == root)).limit(1).count()
-    seen = {root: 0} if known else {}
-    frontier = [root] if known else []
+    pairs = kept(edges.select("src", "dst").distinct())
+    start = pairs.filter((F.col("src") == root) | (F.col("dst") == root)).limit(1)
+    frontier = kept(start.select(F.lit(root).alias("service"), F.lit(0).cast("long").alias("hops")))
+    seen = frontier
     for hop in range(1, most_hops + 1):
-        # a service graph's nodes are few; each hop asks for the successors of the last one
-        found = [r[0] for r in pairs.filter(F.col("src").isin(frontier)).select("dst").distinct().collect()] if frontier else []
-        frontier = [s for s in found if s not in seen]
-        seen |= dict.fromkeys(frontier, hop)
-        if not frontier:
+        found = frontier.join(pairs, F.col("service") == F.col("src")).select(F.col("dst").alias("service"), F.lit(hop).cast("long").alias("hops")).distinct()
+        frontier = kept(found.filter("service is not null").join(seen.select("service"), "service", "left_anti"))
+        if frontier.isEmpty():
             break
-    pairs.unpersist()
-    return spark.createDataFrame(sorted(seen.items()), "service string, hops long")
+        seen = seen.union(frontier)
+    return seen
 
 
 def articulation_points(edges: DataFrame, order: str = "ord") -> DataFrame:
-    """Cut vertices by a depth-first search over outgoing edges, nodes and edges in order of first appearance."""
+    """Cut vertices by a depth-first search over outgoing edges, nodes and edges in order of first appearance.
+
+    Parallel edges count once, at their first appearance; more than MOST_EDGES distinct ones are an error.
+    """
+    edges = edges.groupBy("src", "dst").agg(F.min(order).alias(order))
+    n_edges = edges.count()
+    if n_edges > MOST_EDGES:
+        raise ValueError(f"{n_edges} edges; a service graph has at most {MOST_EDGES}")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
@@ -106,8 +111,7 @@ def articulation_points(edges: DataFrame, order: str = "ord") -> DataFrame:
         for s, d in pdf[["src", "dst"]].itertuples(index=False):
             after.setdefault(s, [])
             after.setdefault(d, [])
-            if d not in after[s]:
-                after[s].append(d)
+            after[s].append(d)
         when, low, cut, clock = {}, {}, set(), 0
         for root in after:
             if root in when:

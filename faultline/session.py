@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -42,3 +42,17 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(path)
     _shipped.add(context.applicationId)
     return spark
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows, written below spark.checkpoint.dir, so that plans stay small and a lost executor costs no earlier step."""
+    spark = rows.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is not set")
+            folder = tempfile.mkdtemp(prefix="faultline-")
+        context.setCheckpointDir(folder)
+    return rows.checkpoint()
