@@ -1,8 +1,8 @@
 """Service graphs and traces.
 
 A service graph has a node for each service, so after aggregation it is small whatever the traffic; its iterations run in
-one task behind a check of the edge count, and beyond that as joins with a table written each round.  Traces are worked
-off one by one, in parallel.
+one task behind a check of the edge count, beyond which they are refused; reachability is a join for each hop.  Traces are
+worked off one by one, in parallel.
 """
 
 from __future__ import annotations
@@ -32,6 +32,14 @@ def merged(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
+def issue_edges(issues: DataFrame, service: str, called: str, kind: str) -> DataFrame:
+    """src, dst, weight, call_type of calls that code issues name: an issue whose kind speaks of an error counts twice.  An
+    issue without either service is left out, and a null kind is no error."""
+    named = issues.filter((F.col(service) != "") & (F.col(called) != ""))
+    weight = F.when(F.lower(kind).contains("error"), 2.0).otherwise(1.0)
+    return merged(named.select(F.col(service).alias("src"), F.col(called).alias("dst"), weight.alias("weight"))).withColumn("call_type", F.lit("rpc"))
+
+
 def _rank(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int, restart: np.ndarray, damping: float, tol: float, rounds: int) -> np.ndarray:
     """Power iteration; weight that leaves through no edge is lost, and on convergence the iterate before it counts."""
     out = np.bincount(src, weights=weight, minlength=n)

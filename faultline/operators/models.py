@@ -8,7 +8,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import ensemble_severity, forest_severity, path_norm
@@ -125,6 +125,11 @@ def default_ensemble() -> Ensemble:
     return Ensemble(healthy_snapshots())
 
 
+def filled(df: DataFrame) -> list[Column]:
+    """The six features in their order, as doubles; a missing column or value is 0."""
+    return [(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) if f in df.columns else F.lit(0.0)).alias(f) for f in FEATURES]
+
+
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     return pdf[list(FEATURES)].fillna(0.0).to_numpy(float)
 

@@ -50,6 +50,16 @@ def best_of_queries(scores: DataFrame, key: str) -> DataFrame:
     return scores.groupBy(key).agg(F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("terms"))
 
 
+def best_of_searches(found: DataFrame, key: str, query_key: str, score: str, k: int = 5) -> DataFrame:
+    """The k best documents over all queries, each with its best query: of every query only the first 2k come into question.
+    Scores are compared to nine digits; ties go to the first key, of a document's queries to the first one."""
+    w = Window.partitionBy(query_key).orderBy(F.desc(F.round(score, 9)), key)
+    first = found.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= 2 * k).drop("_rank")
+    rest = [c for c in found.columns if c not in (key, query_key, score)]
+    best = first.groupBy(key).agg(F.min(F.struct((-F.round(score, 9)).alias("_low"), query_key, score, *rest)).alias("best"))
+    return best.select(key, "best.*").orderBy("_low", key).limit(k).drop("_low")
+
+
 def tfidf_cosine(docs: DataFrame, queries: DataFrame, key: str, query_key: str, text: str = "text", least: float = 0.05, exact: bool = False) -> DataFrame:
     """query_key, key, score (cosine of weights tf * idf, 4 digits) of pairs of at least `least` before rounding, and overlap:
     the share, in percent, of the query's distinct terms that the document has."""

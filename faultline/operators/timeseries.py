@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.scores import sigma_severity
 
 TINY = 1e-10
+#: Slope from which a series climbs or falls, and spread of its steps from which it swings.
+STEEP, SWING = 0.02, 0.15
 
 
 def baseline(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -73,6 +75,13 @@ def slope(value: str, index: str) -> Column:
     return F.regr_slope(F.col(value), F.col(index))
 
 
+def trend_label(n: Column, latency_slope: Column, throughput_slope: Column, swings: Column) -> tuple[Column, Column, Column]:
+    """Ramp (latency climbs while throughput falls), oscillation and the label, each only from three points on."""
+    ramp = F.coalesce((n >= 3) & (latency_slope > STEEP) & (throughput_slope < -STEEP), F.lit(False))
+    oscillating = (n >= 3) & swings
+    return ramp, oscillating, F.when(ramp, "degrading").when(oscillating, "oscillating").otherwise("stable")
+
+
 def trend_rules(df: DataFrame, keys: list[str], order: str, latency: str, throughput: str, others: list[str] = ()) -> DataFrame:
     """Slopes, whether latency rises while throughput falls (ramp), whether a series swings (oscillation), and the label."""
     w = Window.partitionBy(*keys).orderBy(order)
@@ -85,10 +94,10 @@ def trend_rules(df: DataFrame, keys: list[str], order: str, latency: str, throug
     )
     swings = F.lit(False)
     for c in swinging:
-        swings = swings | F.coalesce(F.col(f"_s_{c}") > 0.15, F.lit(False))
-    ramp = F.coalesce((F.col("n") >= 3) & (F.col("latency_slope") > 0.02) & (F.col("throughput_slope") < -0.02), F.lit(False))
-    out = out.withColumn("ramp", ramp).withColumn("oscillating", (F.col("n") >= 3) & swings)
-    return out.withColumn("trend", F.when(F.col("ramp"), "degrading").when(F.col("oscillating"), "oscillating").otherwise("stable")).drop(*[f"_s_{c}" for c in swinging])
+        swings = swings | F.coalesce(F.col(f"_s_{c}") > SWING, F.lit(False))
+    ramp, oscillating, trend = trend_label(F.col("n"), F.col("latency_slope"), F.col("throughput_slope"), swings)
+    out = out.withColumn("ramp", ramp).withColumn("oscillating", oscillating)
+    return out.withColumn("trend", trend).drop(*[f"_s_{c}" for c in swinging])
 
 
 def incident_start(df: DataFrame, keys: list[str], order: str, flag: str, window: int) -> DataFrame:

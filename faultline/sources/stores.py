@@ -20,6 +20,17 @@ def read_json_records(spark: SparkSession, path: str, schema: StructType | str,
     return df.filter(good).drop("_corrupt_record")
 
 
+def read_comments(spark: SparkSession, path: str) -> DataFrame:
+    """Comments (id, created_at, body) of an issue from files that each hold one page, a JSON array, of the tracker's answer."""
+    return spark.read.schema("id long, created_at string, body string").option("multiLine", True).json(path).filter("id is not null")
+
+
+def read_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """path, body of text files, each whole; one that is no UTF-8 has an empty body, and an empty one no row."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.lit("")).alias("body"))
+
+
 def append_events(events: DataFrame, path: str, key: str) -> None:
     """Append to an event log that has a folder for each incident."""
     events.write.mode("append").partitionBy(key).json(path)
