@@ -29,7 +29,7 @@ SHARE = "count(*) FILTER (event_type = '{}') / CAST(count(*) AS DOUBLE)"
 SNAPSHOTS = f"""p AS (SELECT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, {SHARE.format('click')} AS cpu_pct, {SHARE.format('error')} AS error_rate, least(1.0, max(value) / 300) AS latency_p99,
  least(1.0, count(*) / 10.0::DOUBLE) AS throughput, {SHARE.format('view')} AS mem_pct, least(1.0, avg(value) / 100) AS db_query_ms FROM events GROUP BY ALL)"""
 _STEP = ", ".join(f"abs({f} - lag({f}) OVER w) AS d_{f}" for f in ("cpu_pct", "error_rate", "latency_p99"))
-_SLOPES = ", ".join(f"coalesce(regr_slope({f}, i), 0) AS {f}_slope" for f in models.FEATURES)
+_SLOPES = ", ".join(f"CASE WHEN count(*) > 1 THEN regr_slope({f}, i) ELSE 0 END AS {f}_slope" for f in models.FEATURES)
 
 
 @query(f"""WITH {SNAPSHOTS}, n AS (SELECT *, CAST(floor(day / {DAYS}.0) AS BIGINT) AS stretch FROM p), s AS (SELECT *, CAST(row_number() OVER w AS DOUBLE) AS i, {_STEP} FROM n WINDOW w AS (PARTITION BY user_id, stretch ORDER BY day)),
