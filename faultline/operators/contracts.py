@@ -41,27 +41,6 @@ def repaired_matches(matches: Column, lessons: Column) -> tuple[Column, Column]:
     return F.coalesce(matches, F.array()), F.coalesce(lessons, F.array())
 
 
-def repaired_trace(text: Column) -> tuple[Column, Column]:
-    """(result, warning) of a trace result in JSON: a map of its fields, nested ones as JSON text, and what was wrong.
-
-    What is no object becomes an empty map, and a root failure that is neither empty nor an object becomes {}.
-    """
-    kind = F.schema_of_variant(F.try_parse_json(text))
-    is_map = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
-    root = F.try_variant_get(F.try_parse_json(text), "$.root_failure", "variant")
-    nothing = F.coalesce(root.cast("string"), F.lit("")).isin("", "null", "false", "0", "0.0", "[]")
-    bad = is_map & ~nothing & ~F.coalesce(F.schema_of_variant(root).startswith("OBJECT"), F.lit(False))
-    fields = F.from_json(text, "map<string,string>")
-    mended = F.when(bad, F.map_concat(F.map_filter(fields, lambda k, _: k != "root_failure"), F.create_map(F.lit("root_failure"), F.lit("{}")))).otherwise(fields)
-    result = F.when(is_map, mended).otherwise(F.create_map().cast("map<string,string>"))
-    return result, F.when(~is_map, "result is no object").when(bad, "root_failure is no object")
-
-
-def missing_keys(text: Column, required: list[str]) -> Column:
-    """The required keys that a JSON object lacks, in their order; all of them for what is no object."""
-    return F.array_except(F.array(*[F.lit(k) for k in required]), F.coalesce(F.json_object_keys(text), F.array().cast("array<string>")))
-
-
 def routed(tickets: DataFrame, terms: DataFrame, key: str, text: str, margin: float = 0.1) -> DataFrame:
     """The best service of each ticket: key, service, score, needs_disambiguation.
 

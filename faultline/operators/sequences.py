@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.metrics import filled
 from ..functions.scores import reconstruction_severity
-from .models import FEATURES, HEALTHY, filled
+from .models import FEATURES, HEALTHY
 from .timeseries import SWING, trend_label
 
 # fixed values: spread of a healthy feature from step to step, and what throughput adds to processor load and latency
@@ -146,7 +147,7 @@ def sequence_scores(df: DataFrame, keys: list[str], order: str, model: SequenceC
     """
     model = model or default_coder()
     kinds = dict(df.dtypes)
-    points = df.select(*keys, F.struct(F.col(order).alias("at"), *filled(df)).alias("step"))
+    points = filled(df, list(FEATURES)).select(*keys, F.struct(F.col(order).alias("at"), *FEATURES).alias("step"))
     whole = points.groupBy(*keys).agg(F.array_sort(F.collect_list("step")).alias("steps"))
     numbers = ", ".join(f"{f}_slope double" for f in FEATURES)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n long, error double, _swings boolean, far_steps array<long>", numbers])

@@ -16,6 +16,8 @@ def query(sql: str | None = None):
     """Registers a function (tables) -> DataFrame under its name."""
 
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are called {f.__name__}")
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         QUERIES[f.__name__].__name__ = f.__name__
         QUERIES[f.__name__].__doc__ = f.__doc__

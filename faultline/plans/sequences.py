@@ -1,11 +1,12 @@
-"""Queries of sequence models, rankings by iteration, repaired traces and searches by several texts; added to those of `incident`."""
+"""Queries of sequence models, searches by several texts and edges of code issues; added to those of `incident`."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import contracts, graph, models, retrieval, sequences
+from ..functions import metrics
+from ..operators import graph, models, retrieval, sequences
 from .incident import Tables, query, r6, snapshots
 
 DAYS = 10
@@ -52,7 +53,7 @@ def sequence_trends(t: Tables) -> DataFrame:
 def sparse_snapshots(t: Tables) -> DataFrame:
     """Snapshots without throughput and with latency on every other day, filled up."""
     sparse = snapshots(t).withColumn("latency_p99", F.expr("case when day % 2 = 0 then latency_p99 end")).drop("throughput")
-    return sparse.select("user_id", "day", *models.filled(sparse)).withColumns({f: r6(F.col(f)) for f in models.FEATURES})
+    return metrics.filled(sparse, list(models.FEATURES)).select("user_id", "day", *models.FEATURES).withColumns({f: r6(F.col(f)) for f in models.FEATURES})
 
 
 def _multi_sql() -> str:
@@ -78,21 +79,3 @@ def issue_edges(t: Tables) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "R", "TypeError").when(F.col("l_returnflag") == "A", "style")
     issues = t.lineitem.select(name("l_suppkey").alias("service"), F.when(F.col("l_partkey") % 5 > 0, name("l_partkey")).otherwise("").alias("called"), kind.alias("kind"))
     return graph.issue_edges(issues, "service", "called", "kind")
-
-
-TRACES = """CASE event_id % 6 WHEN 0 THEN '{"root_failure": {"service": "s' || user_id || '"}, "n": 1}' WHEN 1 THEN '{"root_failure": "s' || user_id || '", "n": 2}' WHEN 2 THEN '[1, 2]' WHEN 3 THEN 'not json' WHEN 4 THEN '{"root_failure": null}' ELSE '{"root_failure": [1], "a": "b"}' END"""
-
-
-@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"service":"s' || user_id || '"}' WHEN 1 THEN '{}' WHEN 5 THEN '{}' END AS root_failure, CAST([2, 2, 0, 0, 1, 2][event_id % 6 + 1] AS BIGINT) AS n_fields,
-CASE event_id % 6 WHEN 1 THEN 'root_failure is no object' WHEN 5 THEN 'root_failure is no object' WHEN 2 THEN 'result is no object' WHEN 3 THEN 'result is no object' END AS warning FROM events""")
-def trace_repair(t: Tables) -> DataFrame:
-    """Results of a trace phase, right and wrong ones, repaired."""
-    result, warning = contracts.repaired_trace(F.expr(TRACES))
-    return t.events.select("event_id", result.alias("r"), warning.alias("warning")).select("event_id", F.col("r")["root_failure"].alias("root_failure"), F.size("r").cast("long").alias("n_fields"), "warning")
-
-
-@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'model' WHEN 1 THEN 'name,model,tools' ELSE '' END AS missing FROM events""")
-def missing_config(t: Tables) -> DataFrame:
-    """Required keys that a configuration lacks."""
-    given = F.expr("""CASE event_id % 3 WHEN 0 THEN '{"tools": [], "name": "a", "more": 1}' WHEN 1 THEN 'none' ELSE '{"name": "b", "model": "m", "tools": null}' END""")
-    return t.events.select("event_id", F.array_join(contracts.missing_keys(given, ["name", "model", "tools"]), ",").alias("missing"))

@@ -1,13 +1,12 @@
-"""The sequence model against a step-by-step form, searches by several texts, repairs and sources."""
+"""The sequence model against a step-by-step form, searches by several texts, issue edges and sources."""
 
 import json
 import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from faultline.operators import contracts, graph, models, retrieval, sequences
+from faultline.operators import graph, models, retrieval, sequences
 from faultline.sources import stores
 
 
@@ -116,15 +115,6 @@ def test_best_of_searches(spark):
     assert [(r.d, r.q, r.s) for r in got.collect()] == want
 
 
-def test_repairs(spark):
-    texts = ['{"root_failure": 7}', '{"root_failure": ""}', '{"root_failure": 0, "x": [1]}', '{"root_failure": {}}', "{}", "", None, '"text"', '{"root_failure": true}']
-    result, warning = contracts.repaired_trace(F.col("t"))
-    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", result.alias("r"), warning.alias("w"), contracts.missing_keys(F.col("t"), ["x", "root_failure"]).alias("m")).orderBy("k").collect()
-    assert [r.r for r in rows] == [{"root_failure": "{}"}, {"root_failure": ""}, {"root_failure": "0", "x": "[1]"}, {"root_failure": "{}"}, {}, {}, {}, {}, {"root_failure": "{}"}]
-    assert [bool(r.w) for r in rows] == [True, False, False, False, False, True, True, True, True]
-    assert [r.m for r in rows][2] == [] and rows[0].m == ["x"] and rows[6].m == ["x", "root_failure"]
-
-
 def test_issue_edges(spark):
     rows = [("a", "b", "TypeError"), ("a", "b", None), ("b", "", "error"), (None, "c", "error"), ("b", "c", "style")]
     got = {(r.src, r.dst): (r.weight, r.call_type) for r in graph.issue_edges(spark.createDataFrame(rows, "s string, c string, k string"), "s", "c", "k").collect()}
