@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bestfit import op13_best_fit_packing
 from .html_text import op7_html_text
 from .jaccard import op4_jaccard_join
 from .language import op6_language_id
@@ -18,7 +19,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_token_counts, op3_sentencepiece, op4_jaccard_join, op5_media_columns, op6_language_id,
-        op7_html_text, op8_pii, op9_quality_rules, op10_packing, op12_merkle_manifest,
+        op7_html_text, op8_pii, op9_quality_rules, op10_packing, op12_merkle_manifest, op13_best_fit_packing,
     )
 }
 
