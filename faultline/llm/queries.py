@@ -8,6 +8,7 @@ from .jaccard import op4_jaccard_join
 from .language import op6_language_id
 from .media import op5_media_columns
 from .merkle import OP12_SQL, op12_merkle_manifest
+from .negatives import OP11_SQL, op11_hard_negatives
 from .packing import op10_packing
 from .pii import OP8_SQL, op8_pii
 from .quality import op1_quality_classifier
@@ -19,7 +20,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_token_counts, op3_sentencepiece, op4_jaccard_join, op5_media_columns, op6_language_id,
-        op7_html_text, op8_pii, op9_quality_rules, op10_packing, op12_merkle_manifest, op13_best_fit_packing,
+        op7_html_text, op8_pii, op9_quality_rules, op10_packing, op11_hard_negatives, op12_merkle_manifest, op13_best_fit_packing,
     )
 }
 
@@ -35,4 +36,4 @@ k AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id
 FROM s LEFT JOIN c ON list_sort(s.sh) = c.sh LEFT JOIN k ON k.a = c.rep"""
 
-SQL = {"op4_jaccard_join": OP4_SQL, "op8_pii": OP8_SQL, "op12_merkle_manifest": OP12_SQL}
+SQL = {"op4_jaccard_join": OP4_SQL, "op8_pii": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
