@@ -11,8 +11,10 @@ or main element goes before others unless its sum is below `OWN` of theirs.  Eac
 threshold: the least density from the best node up to it.  If the path holds an article or main element, the text is that of
 the outermost one, and of others of at least `LIKE` times its threshold.  If not, it is the best node and, at every step of
 the path, of the children beside it those that reach the threshold, containers of running paragraphs that reach `LIKE` times
-the threshold, text elements next to these, and what stands between them; a heading ahead of the text belongs to it.  A
-block that is mostly links, or has such a name, is left out wherever it is below the threshold.
+the threshold (`BOX` times, where they begin with a heading, as boxes beside the text do), text elements next to these, and
+what stands between them; a heading ahead of the text belongs to it.  A block that is mostly links, or has such a name, is
+left out wherever it is below the threshold.  Without an h1 in the text, the last one ahead of it is its title, unless that
+stands in a box apart and either the text begins with a heading or the box is named as the site's head (`SITE`).
 
 Time is in proportion to the page's length, whatever it holds.  Defined results: null and empty pages, and pages without
 text outside the parts left out, give the empty text; unclosed and misnested tags are closed as their parents end; a tag
@@ -54,13 +56,14 @@ SCOPE = frozenset("html body table ul ol dl div section article main aside nav t
 CONTAINERS = frozenset("article main".split())
 # names that lower a block's density, as the first or last part of a class or id, and parts that take the name back
 NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe share sharing pagination pager toolbar".split())
-COMMENTS = frozenset("comment comments commentlist disqus respond".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies response responses".split())
+SITE = frozenset("top topbar head header site sitename logo brand branding masthead banner".split())
 BACK = frozenset("no not non without has have with free enabled disabled open closed on off is layout page main content".split())
 PENALTY, COMMENT_PENALTY = 0.1, 0.02
 #: Share of the greatest sum of all that the greatest in an article or main element needs to go before it.
 OWN = 0.1
-#: Share of the threshold that a second container of running text has at least.
-LIKE = 0.1
+#: Share of the threshold that a second container of running text has at least, and one that begins with a heading of its own.
+LIKE, BOX = 0.1, 0.5
 #: Characters of a paragraph that counts as running text.
 LONG = 80
 
@@ -83,6 +86,8 @@ class Node:
     total: float = 0.0
     children: int = 0
     prose: bool = False
+    #: whether a class or id names it as the site's head
+    site: bool = False
 
 
 @dataclass
@@ -103,6 +108,11 @@ def _named(value: str) -> float:
     return least
 
 
+def _site(raw: str) -> bool:
+    """Whether a class or id is one of the site's head."""
+    return any(m[1].lower() in ("class", "id") and any(p[0].lower() in SITE or p[-1].lower() in SITE for w in (m[2] or m[3] or m[4] or "").split() if (p := WORDS.findall(w))) for m in ATTRIBUTE.finditer(raw))
+
+
 def _judged(tag: str, raw: str, in_article: bool) -> tuple[bool, float]:
     """Whether an element is left out, and the factor of its names."""
     if tag in NEVER or (tag == "header" and not in_article):
@@ -115,6 +125,9 @@ def _judged(tag: str, raw: str, in_article: bool) -> tuple[bool, float]:
         if name in ("class", "id"):
             if tag not in INLINE and tag not in HEADINGS and tag not in ("html", "body", "main"):
                 factor = min(factor, _named(value))
+        elif name in ("itemprop", "itemtype"):
+            if value.rstrip("/").rpartition("/")[2].lower() == "comment":
+                factor = min(factor, COMMENT_PENALTY)
         elif name == "role":
             if value.lower() in ROLES:
                 return True, 1.0
@@ -162,7 +175,7 @@ def parse(source: str) -> Page:
     def close_text() -> None:
         nonlocal part_links
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 page.stretches.append((stack[-1][1], text, min(part_links, len(text))))
             parts.clear()
@@ -186,7 +199,7 @@ def parse(source: str) -> Page:
     at, end = 0, len(source)
     while at < end:
         m = OPENS.search(source, at)
-        text = source[at : m.start() if m else end]
+        text = html.unescape(source[at : m.start() if m else end])  # each stretch by itself, as references end with it
         if text and not nodes[stack[-1][1]].out:
             parts.append(text)
             if links:
@@ -242,7 +255,7 @@ def parse(source: str) -> Page:
                     links += tag == "a"
             continue
         close_text()
-        nodes.append(Node(block, tag, nodes[block].out or out, factor, len(nodes) + 1))
+        nodes.append(Node(block, tag, nodes[block].out or out, factor, len(nodes) + 1, site=nodes[block].site or tag not in ("html", "body") and _site(raw)))
         if tag in VOID or raw.endswith("/") and tag in RAW:
             continue
         if tag in RAW:
@@ -347,13 +360,21 @@ def _kept(page: Page) -> list[bool]:
                 k += 1
     else:
         take(path[0], thresholds[0])
+        headed, seen = set(), -1  # nodes whose first text is a heading
+        for k, _, _ in stretches:
+            at = k
+            while at > seen:
+                if nodes[k].tag in HEADINGS:
+                    headed.add(at)
+                at = nodes[at].parent
+            seen = max(seen, k)
         kids: dict[int, list[int]] = {k: [] for k in path[1:]}
         for k, n in enumerate(nodes):
             if n.parent in kids:
                 kids[n.parent].append(k)
         for here, parent, least in zip(path, path[1:], thresholds, strict=False):
             row = [k for k in kids[parent] if k == here or nodes[k].chars and not weak(nodes[k], least)]
-            sure = [k == here or nodes[k].density >= least or (nodes[k].prose and nodes[k].density >= LIKE * least) for k in row]
+            sure = [k == here or nodes[k].density >= least or (nodes[k].prose and nodes[k].density >= (BOX if k in headed else LIKE) * least) for k in row]
             first, last = sure.index(True), len(sure) - 1 - sure[::-1].index(True)
             while last + 1 < len(row) and nodes[row[last + 1]].tag in TEXT:
                 last += 1
@@ -368,7 +389,13 @@ def _kept(page: Page) -> list[bool]:
     kept = [bool(inside[k]) for k, _, _ in stretches]
     if True in kept and not any(x and nodes[k].tag == "h1" for x, (k, _, _) in zip(kept, stretches, strict=True)):
         first = kept.index(True)
-        title = next((i for i in range(first - 1, -1, -1) if nodes[stretches[i][0]].tag == "h1" and 2 * stretches[i][2] <= len(stretches[i][1])), None)
+        begins = nodes[stretches[first][0]].tag in HEADINGS
+
+        def names_text(i: int) -> bool:
+            n = nodes[stretches[i][0]]
+            return n.tag == "h1" and 2 * stretches[i][2] <= len(stretches[i][1]) and (n.parent in up or not (begins or n.site))
+
+        title = next((i for i in range(first - 1, -1, -1) if names_text(i)), None)
         if title is not None:
             kept[title] = True
     return kept
