@@ -165,13 +165,14 @@ def viterbi(score: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float) ->
     first = np.cumsum(n) - n
     order = np.argsort(-n, kind="stable")
     n_desc = n[order]
-    best = np.empty(score.shape, np.int8)  # predecessor of each label
+    kind = np.min_scalar_type(score.shape[1])  # holds every label
+    best = np.empty(score.shape, kind)  # predecessor of each label
     label = np.empty(len(score), np.int64)
     live = int((n_desc > 0).sum())
     if not live:
         return label
     v = score[first[order[:live]]].astype(np.float64)
-    ids = np.arange(score.shape[1], dtype=np.int8)
+    ids = np.arange(score.shape[1], dtype=kind)
     longest = int(n_desc[0])
     alive = np.searchsorted(-n_desc, -np.arange(1, longest + 1), "right")  # documents with at least t words
     for t in range(1, longest):
@@ -181,7 +182,7 @@ def viterbi(score: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float) ->
         jump = v[np.arange(m), top] - penalty
         stay = v[:m] >= jump[:, None]
         at = first[order[:m]] + t
-        best[at] = np.where(stay, ids, top[:, None].astype(np.int8))
+        best[at] = np.where(stay, ids, top[:, None].astype(kind))
         v[:m] = np.where(stay, v[:m], jump[:, None]) + score[at]
     now = v.argmax(1)
     for t in range(longest - 1, -1, -1):
