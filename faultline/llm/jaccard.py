@@ -10,7 +10,8 @@ Equal sets are one node from the start.  Rounds of stars come first: each compar
 bucket's most central group of like size only (the one in whose prefix the token stands first, so that fewest tokens are
 its own), and the members of a group with its least member; what is not yet connected to that centre goes on to the next
 round, as long as the pairs that are left are many more than the entries.  At last every remaining candidate pair is taken
-whose two sides are not yet in one component.  No candidate is dropped unless it is already connected, so the components
+whose two sides are not yet in one component, so that in each bucket only what is outside the largest component is compared
+with the rest.  No candidate is dropped unless it is already connected, so the components
 are those of all links, while a group of thousands of near copies costs little more than its size.
 
 A bucket that stays large has groups that are all unlike its centres although their rarest shared token is that frequent,
@@ -386,12 +387,18 @@ def _rows_with_class(docs: DataFrame, percent: int, scratch: Scratch) -> DataFra
     # all candidates between components
     named = members.join(label, "node", "left").select("grp", "node", "n", F.coalesce("label", "node").alias("label"))
     whole = named.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    side = live.join(whole, "grp")
-    x, y = side.alias("x"), side.select("token", F.col("grp").alias("grp2"), F.col("n").alias("m"), F.col("place").alias("place2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    one = (F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2"))
+    # of a bucket's groups those in its largest component need only meet the others
+    side = live.join(whole, "grp").withColumn("of", F.when(F.col("low") == F.col("high"), F.col("low")))
+    largest = side.filter("of is not null").groupBy("token", "of").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("of", F.struct("k", "of")).alias("big"))
+    side = scratch.saved(side.join(largest, "token", "left").select("token", "grp", "n", "place", "of", (F.col("of").isNull() | (F.col("of") != F.col("big"))).alias("apart")), "sides")
+    x, y = side.filter("apart").drop("apart"), side.select("token", F.col("grp").alias("grp2"), F.col("n").alias("m"), F.col("place").alias("place2"), F.col("of").alias("of2"), F.col("apart").alias("apart2"))
+    once = (F.col("grp") < F.col("grp2")) | ((F.col("grp") > F.col("grp2")) & ~F.col("apart2"))
+    one = F.coalesce(F.col("of") == F.col("of2"), F.lit(False))
     like = F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")
-    met_pairs = x.join(y, "token").filter((F.col("grp") < F.col("grp2")) & ~one & like & _room(percent))
-    found = scratch.saved(met_pairs.groupBy("grp", "grp2").agg(F.first("n").alias("n"), F.first("m").alias("m")), "found")
+    met_pairs = x.join(y, "token").filter(once & ~one & like & _room(percent))
+    a_first = F.col("grp") < F.col("grp2")
+    ordered = met_pairs.select(F.least("grp", "grp2").alias("grp"), F.greatest("grp", "grp2").alias("grp2"), F.when(a_first, F.col("n")).otherwise(F.col("m")).alias("n"), F.when(a_first, F.col("m")).otherwise(F.col("n")).alias("m"))
+    found = scratch.saved(ordered.groupBy("grp", "grp2").agg(F.first("n").alias("n"), F.first("m").alias("m")), "found")
     asked = found.select("grp").union(found.select("grp2")).distinct()
     shared_tokens = shared.join(asked, "grp", "left_semi").groupBy("grp").agg(F.collect_list("token").alias("tokens"))  # no more than a prefix each
     both = found.join(shared_tokens, "grp").join(shared_tokens.select(F.col("grp").alias("grp2"), F.col("tokens").alias("tokens2")), "grp2")
