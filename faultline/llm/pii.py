@@ -25,21 +25,29 @@ from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
 LEAST = 0.5
+# fixed values: characters of an IBAN by country
+IBAN = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 # fixed values: the patterns, each with what must be in a text for it to match at all
 PATTERNS = {
     "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
     "ip": (r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", "."),
     "card": (r"[0-9](?:[ -]?+[0-9])++", ""),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "+"),
-    "iban": (r"[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9]){11,30}", ""),
+    "iban": (r"(?=[A-Z][A-Z][0-9][0-9])(?:" + "|".join(rf"(?:{codes.replace(' ', '|')})[0-9][0-9](?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN.items()) + ")", ""),
     "ssn": (r"[0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9][0-9][0-9]", "-"),
     "secret": (
         r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk[-_][A-Za-z0-9_]{20,}|xox[abops]-[A-Za-z0-9-]{12,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
         r"|(?i:password|passwd|token|secret|api[_-]?key)[\x22']? ?[=:] ?[\x22']?[A-Za-z0-9+/_.-]{8,}", "",
     ),
 }
-#: What a text with a secret has at least.
-SECRET = r"A[KS]IA|gh[pousr]_|sk[-_]|xox[abops]-|eyJ|[=:]"
+#: What a text has at least for a match of the kind to pass its checks; most numbers are too short.
+LEAST_OF = {"card": "[0-9](?:[ -]?+[0-9]){12}", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "phone": r"\+[0-9][ ().0-9-]{6}", "ssn": "[0-9]-[0-9][0-9]-[0-9]", "iban": "[A-Z][A-Z][0-9][0-9] ?[A-Z0-9]"}
+#: What a text with a secret has at least: one of these, or a sign of assignment and one of the words.
+SECRET, ASSIGNED = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "sk_", "xox", "eyJ"), "(?i)passw|token|secret|api[_-]?key"
 PRIOR = {"card_short": 0.2, "iban": 0.4, "ssn": 0.3, "secret": 0.9}
 CHECKED = {"card_short", "iban"}
 CONTEXT = {
@@ -128,11 +136,11 @@ def _confirmed(kind: str, text: Column, m: Column) -> Column:
     if kind == "card":
         return F.when(F.length(digits).between(16, 19), luhn(digits)).otherwise(False)
     if kind == "card_short":
-        return F.when(F.length(digits).between(13, 15) & _apart(text, m), luhn(digits)).otherwise(False)
+        return F.when(F.length(digits).between(13, 15), luhn(digits)).otherwise(False) & _apart(text, m)
     if kind == "phone":
         return F.length(digits).between(8, 15)
     if kind == "iban":
-        return _apart(text, m) & (mod97(F.translate(m["text"], " ", "")) == 1)
+        return (mod97(F.translate(m["text"], " ", "")) == 1) & _apart(text, m)
     if kind == "secret":
         return m["text"].rlike("[0-9]|^A[KS]IA") & _apart(text, m)
     return _apart(text, m) if kind == "ssn" else F.lit(True)
@@ -146,43 +154,61 @@ def _scored(kind: str, text: Column, m: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), (m["start"] + F.length(m["text"])).cast("long").alias("end"), score.alias("score"))
 
 
+def _own(df: DataFrame) -> str:
+    """What names of helping columns begin with, so that none is one of the table's."""
+    stem = "_"
+    while any(c.lower().startswith(stem) for c in df.columns):
+        stem += "_"
+    return stem
+
+
 def with_spans(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
-    """Adds the array of all spans: the base kinds in their order, then the added ones, each by start."""
+    """Adds the array of all spans (a column of that name is replaced): the base kinds in their order, then the added ones,
+    each by start.  Other columns stay, whatever their names."""
+    own = _own(df)
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<string>")
     digit = t.rlike("[0-9]")
-    secret = t.rlike(SECRET)
+    secret = (t.contains("=") | t.contains(":")) & t.rlike(ASSIGNED)
+    for form in SECRET:
+        secret = secret | t.contains(form)
     for kind, (pattern, needed) in PATTERNS.items():
         able = secret if kind == "secret" else (digit & t.contains(needed)) if needed and kind != "email" else t.contains(needed) if needed else digit
-        df = df.withColumn(f"_m_{kind}", F.when(able, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none))
+        able = able & t.rlike(LEAST_OF[kind]) if kind in LEAST_OF else able
+        df = df.withColumn(f"{own}m_{kind}", F.when(able, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none))
     for kind, (pattern, _) in PATTERNS.items():
-        m = F.col(f"_m_{kind}")
-        df = df.withColumn(f"_p_{kind}", F.when(F.size(m) > 0, _place(t, m, pattern)).otherwise(F.array().cast("array<struct<start:bigint,text:string>>")))
-    df = df.withColumn("_pieces", _pieces(t))
-    found = []
+        m = F.col(f"{own}m_{kind}")
+        df = df.withColumn(f"{own}p_{kind}", F.when(F.size(m) > 0, _place(t, m, pattern)).otherwise(F.array().cast("array<struct<start:bigint,text:string>>")))
+    df = df.withColumn(f"{own}pieces", _pieces(t))
+    whole, found = F.col(f"{own}pieces"), []
     for kind in (*BASE, "card_short", "iban", "ssn", "secret"):
-        source = F.col("_p_" + ("card" if kind == "card_short" else kind))
-        spans = F.transform(F.filter(source, lambda m: _confirmed(kind, F.col("_pieces"), m)), lambda m: _scored(kind, F.col("_pieces"), m))
+        source = F.col(f"{own}p_" + ("card" if kind == "card_short" else kind))
+        spans = F.transform(F.filter(source, lambda m: _confirmed(kind, whole, m)), lambda m: _scored(kind, whole, m))
         found.append(spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= LEAST))
-    df = df.withColumn(out, F.when(digit | secret | t.contains("@"), F.concat(*found)).otherwise(F.array().cast(SPAN)))
-    return df.drop("_pieces", *[f"_{x}_{kind}" for kind in PATTERNS for x in "mp"])
+    some = F.lit(False)
+    for kind in PATTERNS:
+        some = some | (F.size(f"{own}p_{kind}") > 0)
+    df = df.withColumn(out, F.when(some, F.concat(*found)).otherwise(F.array().cast(SPAN)))
+    return df.drop(f"{own}pieces", *[f"{own}{x}_{kind}" for kind in PATTERNS for x in "mp"])
 
 
 def redacted(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with every span of the text replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    df = with_spans(df, text, "_spans")
-    by_start = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    df = df.withColumn("_order", by_start)
-    df = df.withColumn("_reach", _running(F.transform("_order", lambda s: -s["back"]), lambda a, x: F.greatest(a, x)))
-    first = F.filter(F.transform("_order", lambda s, i: F.when((i == 0) | (s["start"] >= F.get("_reach", i - 1)), i)), lambda i: i.isNotNull())
-    df = df.withColumn("_first", first).withColumn("_pieces", _pieces(F.col(text)))
-    at = lambda i: F.get("_order", i)
-    end = lambda j: F.get("_reach", F.coalesce(F.get("_first", j + 1), F.size("_order")) - 1)  # noqa: E731  (of the j-th stretch)
+    """The rows with every span of the text replaced by its kind in brackets; overlapping spans become one, named by the first.
+    A null text stays null; other columns stay, whatever their names."""
+    own = _own(df)
+    df = with_spans(df, text, own + "spans")
+    by_start = F.array_sort(F.transform(own + "spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    df = df.withColumn(own + "order", by_start)
+    df = df.withColumn(own + "reach", _running(F.transform(own + "order", lambda s: -s["back"]), lambda a, x: F.greatest(a, x)))
+    first = F.filter(F.transform(own + "order", lambda s, i: F.when((i == 0) | (s["start"] >= F.get(own + "reach", i - 1)), i)), lambda i: i.isNotNull())
+    df = df.withColumn(own + "first", first).withColumn(own + "pieces", _pieces(F.col(text)))
+    at = lambda i: F.get(own + "order", i)
+    end = lambda j: F.get(own + "reach", F.coalesce(F.get(own + "first", j + 1), F.size(own + "order")) - 1)  # noqa: E731  (of the j-th stretch)
     before = lambda j: F.when(j == 0, F.lit(0).cast("long")).otherwise(end(j - 1))
-    pieces = F.transform("_first", lambda i, j: F.concat(_part(F.col("_pieces"), before(j), at(i)["start"] - before(j)), F.lit("["), F.upper(at(i)["kind"]), F.lit("]")))
-    last = F.array_max("_reach")
-    new = F.when(F.size("_order") > 0, F.concat(F.array_join(pieces, ""), _part(F.col("_pieces"), last, F.length(text) - last))).otherwise(F.col(text))
-    return df.withColumn(text, new).drop("_spans", "_order", "_reach", "_first", "_pieces")
+    pieces = F.transform(own + "first", lambda i, j: F.concat(_part(F.col(own + "pieces"), before(j), at(i)["start"] - before(j)), F.lit("["), F.upper(at(i)["kind"]), F.lit("]")))
+    last = F.array_max(own + "reach")
+    new = F.when(F.size(own + "order") > 0, F.concat(F.array_join(pieces, ""), _part(F.col(own + "pieces"), last, F.length(text) - last))).otherwise(F.col(text))
+    return df.withColumn(text, new).drop(own + "spans", own + "order", own + "reach", own + "first", own + "pieces")
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
@@ -200,7 +226,7 @@ def _sql() -> str:
     """The same for DuckDB, whose engine needs no possessive repetitions and has no look-around."""
     plain = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[ -]?[0-9])+",
-        **{k: PATTERNS[k][0].replace("'", "''") for k in ("phone", "iban", "ssn", "secret")},
+        "iban": PATTERNS["iban"][0].replace("(?=[A-Z][A-Z][0-9][0-9])", ""), **{k: PATTERNS[k][0].replace("'", "''") for k in ("phone", "ssn", "secret")},
     }
     digits = "regexp_replace(m.x, '[^0-9]', '', 'g')"
     luhn_sql = f"(list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr({digits}, length({digits}) - i + 1, 1) AS INT) WHEN CAST(substr({digits}, length({digits}) - i + 1, 1) AS INT) > 4 THEN 2 * CAST(substr({digits}, length({digits}) - i + 1, 1) AS INT) - 9 ELSE 2 * CAST(substr({digits}, length({digits}) - i + 1, 1) AS INT) END)) % 10 = 0)"
