@@ -31,13 +31,15 @@ def odd(spark, tmp_path_factory):
     spark.createDataFrame([(i, t, "en", None, None, 1.0, 2, 3, "t", None) for i, t in ODD], schema).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(4, 1, 0), (4, 0, 1), (9, 1, 0), (None, 1, 1), (7, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<p>Some text<p>more &amp; more"), (4, "u", "<div>" * 3000 + "deep")], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    vectors = [(50, [1.0, 0.5], 1), (51, [1.0, 0.5], 1), (51, [1.0, 0.5], 1), (52, [0.5, 0.5], 2), (53, [0.5, 0.5], 2), (54, None, 1), (55, [None, 1.0], 1), (56, [], None), (None, [1.0, 1.0], 1)]
+    spark.createDataFrame([(i, v, k, 1.0, 2, None) for i, v, k in vectors], "vec_id long, embedding array<float>, label int, score double, rank int, v string").write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
 @pytest.fixture(scope="module")
 def empty(spark, data, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "embeddings"):
         spark.read.parquet(f"{data}/{t}.parquet").limit(0).write.parquet(f"{folder}/{t}.parquet")
     return folder
 
@@ -46,8 +48,8 @@ def empty(spark, data, tmp_path_factory):
 def test_odd_and_empty_tables(spark, odd, empty, name):
     rows = queries.QUERIES[name](spark, odd).collect()
     assert rows
-    if name not in ("op2_token_counts", "op10_packing"):
-        assert len(rows) == (4 if name == "op7_html_text" else len(ODD))
+    if name not in ("op2_token_counts", "op10_packing", "op13_best_fit_packing"):
+        assert len(rows) == {"op7_html_text": 4, "op11_hard_negatives": 2}.get(name, len(ODD))
     assert queries.QUERIES[name](spark, empty).collect() == []
 
 
@@ -415,7 +417,8 @@ def test_sql(spark, data):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     for name, sql in queries.SQL.items():
         rel = con.sql(sql)
         want = sorted(rel.fetchall(), key=str)
