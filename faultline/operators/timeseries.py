@@ -108,6 +108,18 @@ def incident_start(df: DataFrame, keys: list[str], order: str, flag: str, window
     return runs.filter(F.col("run") >= window).groupBy(*keys).agg(F.min_by(F.struct("start_idx", "start", "run"), "start_idx").alias("c")).select(*keys, F.col("c.start_idx").cast("long").alias("start_idx"), "c.start", F.col("c.run").alias("run_length"))
 
 
+def streaks(df: DataFrame, keys: list[str], order: str, flag: str, window: int = 3) -> DataFrame:
+    """Adds `streak`, the flagged points in a row up to each one (0 where the flag is false or null), `first`, the order of the
+    first of them, and `starts`, true where there are `window` of them."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    on = F.coalesce(F.col(flag), F.lit(False))
+    cut = df.withColumn("_on", on).withColumn("_g", F.count_if(~on).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = Window.partitionBy(*keys, "_g", "_on").orderBy(order)
+    out = cut.withColumn("streak", F.when(F.col("_on"), F.row_number().over(own)).otherwise(0).cast("long"))
+    first = F.when(F.col("_on"), F.min(order).over(own))
+    return out.withColumn("first", first).withColumn("starts", F.col("streak") == window).drop("_on", "_g")
+
+
 def outliers_in_window(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows above their key's mean plus one population standard deviation."""
     w = Window.partitionBy(*keys)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -44,15 +45,31 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def kept(rows: DataFrame) -> DataFrame:
-    """The rows, written below spark.checkpoint.dir, so that plans stay small and a lost executor costs no earlier step."""
-    spark = rows.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; made once where that is unset on one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local["):
                 raise ValueError("spark.checkpoint.dir is not set")
-            folder = tempfile.mkdtemp(prefix="faultline-")
+            folder = "file://" + tempfile.mkdtemp(prefix="faultline-")
         context.setCheckpointDir(folder)
+    return (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()).rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder, whatever kind of storage it is in."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows, written below spark.checkpoint.dir, so that plans stay small and a lost executor costs no earlier step."""
+    shared_dir(rows.sparkSession)
     return rows.checkpoint()

@@ -77,6 +77,58 @@ def write_checkpoints(checkpoints: DataFrame, path: str) -> int:
     return checkpoints.select(*NAMES).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def read_some(incidents: DataFrame, path: str) -> DataFrame:
+    """The accepted checkpoints of these incidents (incident_id); only their own files are opened."""
+
+    def run(batches):
+        system, root = _at(path)
+        for batch in batches:
+            texts = []
+            for i in batch.column(0).to_pylist():
+                try:
+                    with system.open_input_stream(f"{root}/{i}.json") as f:
+                        texts.append(f.read().decode("utf-8", "replace"))
+                except FileNotFoundError:
+                    texts.append(None)
+            yield pa.record_batch({"_id": batch.column(0), "value": pa.array(texts, pa.string())})
+
+    return accepted(incidents.select(F.col("incident_id").cast("string")).mapInArrow(run, "_id string, value string"), "_id", "value")
+
+
+def phase_sink(path: str):
+    """A sink for foreachBatch that merges completed phases (incident_id, phase, output as JSON, rca_stage, seq, at) into the
+    incidents' documents, so a job that is started again finds how far each incident has come.
+
+    A batch that comes again changes nothing: one that was finished has left a mark with its number, and one that was cut off
+    merges the same phases into what it had written, with the batch's greatest `at` as the time of writing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        system, root = _at(path)
+        mark = f"{root}/_batches/{number}"
+        if system.get_file_info(mark).type == fs.FileType.File:
+            return
+        phases = batch.persist()
+        try:
+            now = phases.agg(F.max("at")).first()[0]
+            if now is not None:
+                before = read_some(phases.select("incident_id").distinct(), path)
+                write_checkpoints(merged(before, phases.drop("at"), F.lit(now)), path)
+        finally:
+            phases.unpersist()
+        system.create_dir(f"{root}/_batches", recursive=True)
+        with system.open_output_stream(mark):
+            pass
+
+    return write
+
+
+def next_phase(checkpoints: DataFrame) -> DataFrame:
+    """incident_id, next_phase: the first phase in order that has no output yet; null if all have one."""
+    open_ = F.filter(F.array(*[F.lit(p) for p in PHASES]), lambda p: ~F.map_contains_key(F.col("phase_outputs"), p))
+    return checkpoints.select("incident_id", F.get(open_, F.lit(0)).alias("next_phase"))
+
+
 def clear_checkpoints(incidents: DataFrame, path: str) -> DataFrame:
     """incident_id, existed: whether there was a checkpoint, which is gone then."""
 

@@ -56,7 +56,7 @@ def stock_stream(moves: DataFrame, key: str) -> DataFrame:
     def run(name, frames, state):
         stock = state.get[0] if state.exists else 0
         rows = []
-        for o, kind, q in pd.concat(list(frames)).sort_values("o")[["o", "kind", "quantity"]].itertuples(index=False):
+        for o, kind, q in pd.concat(list(frames)).sort_values(["o", "kind", "quantity"])[["o", "kind", "quantity"]].itertuples(index=False):
             ok = kind != "reserve" or stock >= q
             stock += -q if kind == "reserve" and ok else q if kind != "reserve" else 0
             rows.append((*name, o, ok, stock))
