@@ -1,8 +1,8 @@
 """Service graphs and traces.
 
 A service graph has a node for each service, so after aggregation it is small whatever the traffic; its iterations run in
-one task behind a check of the edge count, beyond which they are refused; reachability is a join for each hop.  Traces are
-worked off one by one, in parallel.
+one task behind a check of the edge count, beyond which they are refused; reachability is joins whose reach doubles.  Traces
+are worked off one by one, in parallel.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import edge_weight
-from ..session import kept
+from ..session import Written, kept
 
 #: Most distinct edges that one task iterates over.
 MOST_EDGES = 2_000_000
@@ -85,22 +85,38 @@ def pagerank(edges: DataFrame, errors: DataFrame | None = None, damping: float =
     return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 12)), "service")))
 
 
-def blast_radius(edges: DataFrame, root: str, most_hops: int = 64) -> DataFrame:
-    """service, hops of every service reachable from the root, itself at 0; nothing for an unknown root.
+def blast_radius(edges: DataFrame, root: str, most_pairs: int = 20_000_000) -> DataFrame:
+    """service, hops of every service reachable from the root, itself at 0; nothing for an unknown root, which no edge names.
 
-    A frontier join for each hop, written each time; each service is reached once, so cycles end.
+    Runs to the fixpoint.  `reach` holds the least distance of all pairs up to a span, at first the edges with span 1; a
+    round joins the services at the greatest distance so far with it, which gives all that lie up to one span further, and
+    then joins it with itself, which doubles the span.  So the rounds are logarithmic in the greatest distance.  The pairs
+    that a doubling would make are counted beforehand, from the degrees; beyond `most_pairs` the span stays as it is, which
+    costs rounds only.  Every table is written, so plans keep their size.
     """
-    pairs = kept(edges.select("src", "dst").distinct())
-    start = pairs.filter((F.col("src") == root) | (F.col("dst") == root)).limit(1)
-    frontier = kept(start.select(F.lit(root).alias("service"), F.lit(0).cast("long").alias("hops")))
-    seen = frontier
-    for hop in range(1, most_hops + 1):
-        found = frontier.join(pairs, F.col("service") == F.col("src")).select(F.col("dst").alias("service"), F.lit(hop).cast("long").alias("hops")).distinct()
-        frontier = kept(found.filter("service is not null").join(seen.select("service"), "service", "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = seen.union(frontier)
-    return seen
+    spark = edges.sparkSession
+    hop = F.lit(1).cast("long")
+    with Written(spark) as written:
+        reach = written.kept(edges.filter("src is not null and dst is not null and src <> dst").select("src", "dst", hop.alias("d")).distinct())
+        known = not edges.filter((F.col("src") == root) | (F.col("dst") == root)).isEmpty()
+        start = spark.createDataFrame([(root, 0)] if known else [], "service string, hops long")
+        seen, last, span = start, 0, 1
+        while known:
+            edge = seen.filter(F.col("hops") == last).select("service")
+            found = edge.join(reach, F.col("service") == F.col("src")).groupBy(F.col("dst").alias("service")).agg((F.min("d") + last).alias("hops"))
+            both = written.kept(seen.unionByName(found).groupBy("service").agg(F.min("hops").alias("hops")))
+            furthest = both.agg(F.max("hops")).first()[0]
+            if furthest < last + span:  # nothing lies a whole span further, so nothing lies beyond
+                seen = both
+                break
+            seen, last = both, last + span
+            ways = reach.groupBy("dst").agg(F.count("*").alias("i")).join(reach.groupBy("src").agg(F.count("*").alias("o")), F.col("dst") == F.col("src"))
+            if (ways.agg(F.sum(F.col("i") * F.col("o"))).first()[0] or 0) <= most_pairs:
+                further = reach.select(F.col("src").alias("a"), F.col("dst").alias("via"), F.col("d").alias("d1")).join(reach.select(F.col("src").alias("via"), F.col("dst").alias("b"), F.col("d").alias("d2")), "via")
+                pairs = reach.unionByName(further.select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("d1") + F.col("d2")).alias("d")).filter("src <> dst"))
+                reach = written.kept(pairs.groupBy("src", "dst").agg(F.min("d").alias("d")))
+                span *= 2
+        return kept(seen)
 
 
 def articulation_points(edges: DataFrame, order: str = "ord") -> DataFrame:

@@ -73,3 +73,24 @@ def kept(rows: DataFrame) -> DataFrame:
     """The rows, written below spark.checkpoint.dir, so that plans stay small and a lost executor costs no earlier step."""
     shared_dir(rows.sparkSession)
     return rows.checkpoint()
+
+
+class Written:
+    """Tables of one computation, written to the shared folder; they are deleted when the block ends, so its result must
+    have been written by then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def kept(self, rows: DataFrame) -> DataFrame:
+        """The rows, written and read back: lineage is cut, and lost executors lose nothing."""
+        self.paths.append(shared_path(self.spark, "step"))
+        rows.write.parquet(self.paths[-1])
+        return self.spark.read.schema(rows.schema).parquet(self.paths[-1])
+
+    def __enter__(self) -> Written:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            delete(self.spark, path)

@@ -159,3 +159,29 @@ def test_cusum_stream(spark, tmp_path):
     q = cusum_stream(stream, "k", 0.0, 1.0).writeStream.format("memory").queryName("alarms").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("alarms").agg(F.min("idx")).first()[0] >= 50
+
+
+def reached(edges, root):
+    """Hops by a plain breadth-first search."""
+    after, hops, queue = {}, {}, []
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+    if any(root in e for e in edges):
+        hops, queue = {root: 0}, [root]
+    for a in queue:
+        for b in after.get(a, []):
+            if b not in hops:
+                hops[b] = hops[a] + 1
+                queue.append(b)
+    return hops
+
+
+def test_blast_radius_reaches_everything(spark):
+    rng = np.random.RandomState(4)
+    graphs = [
+        ([(f"s{k}", f"s{k + 1}") for k in range(1000)], "s0", {}), ([(f"s{k}", f"s{(k + 1) % 37}") for k in range(37)], "s5", {}), ([("a", "b"), ("b", "b")], "zz", {}), ([("a", "b")], "b", {}),
+        ([(f"s{a}", f"s{b}") for a, b in rng.randint(0, 200, (300, 2))], "s3", {}), ([(f"s{k}", f"s{k + 1}") for k in range(20)], "s0", {"most_pairs": 50}),
+    ]
+    for edges, root, limit in graphs:
+        got = graph.blast_radius(spark.createDataFrame(edges, "src string, dst string"), root, **limit)
+        assert {r.service: r.hops for r in got.collect()} == reached(edges, root)
