@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import bm25_idf, tfidf_idf
 from ..functions.text import ascii_tokens, bm25_tokens
+from ..session import kept
 
 
 def postings(docs: DataFrame, key: str, text: str, tokens: Callable[[Column], Column] = bm25_tokens) -> DataFrame:
@@ -77,3 +78,32 @@ def tfidf_cosine(docs: DataFrame, queries: DataFrame, key: str, query_key: str,
     if exact:  # unrounded
         return out.select(query_key, key, "cosine", "share")
     return out.select(query_key, key, F.bround("cosine", 4).alias("score"), F.bround("share", 1).alias("overlap"))
+
+
+def matching_terms(terms: Column, found: Column) -> Column:
+    """The words of a query that a document has, in the query's order and as often as the query repeats them."""
+    return F.filter(terms, lambda w: F.array_contains(found, w))
+
+
+def rerank(candidates: DataFrame, queries: DataFrame, key: str, query_key: str, text: str = "text", k: int = 5, least: float = 0.0, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """rank, query_key, key, score, terms of each query's k best candidates (query_key, key, text), judged by BM25 with the
+    document counts and the mean length of that query's own list.  Candidates without a shared word score 0; ties go in key
+    order, and a query without words has no result.
+
+    Everything is grouped by query: lengths and counts are partial sums before any shuffle, and only postings of the query's
+    own words leave the scan's stage.
+    """
+    asked = queries.select(query_key, bm25_tokens(F.col(text)).alias("_asked")).filter(F.size("_asked") > 0)
+    cut = candidates.select(query_key, key, bm25_tokens(F.col(text)).alias("_t")).join(asked, query_key)
+    cut = cut.select(query_key, key, "_asked", F.size("_t").cast("double").alias("len"), F.filter("_t", lambda w: F.array_contains("_asked", w)).alias("_t"))
+    cut = kept(cut)
+    stats = cut.groupBy(query_key).agg(F.count("*").cast("double").alias("n_docs"), F.greatest(F.avg("len"), F.lit(1e-10)).alias("avg_len"))
+    post = cut.select(query_key, key, "len", F.explode("_t").alias("term")).groupBy(query_key, key, "len", "term").agg(F.count("*").alias("tf"))
+    df = post.groupBy(query_key, "term").agg(F.count("*").cast("double").alias("df"))
+    weighed = post.join(df, [query_key, "term"]).join(stats, query_key)
+    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    scores = weighed.groupBy(query_key, key).agg(F.sum(bm25_idf(F.col("n_docs"), F.col("df")) * tf).alias("_s"))
+    every = cut.select(query_key, key, "_asked", F.array_distinct("_t").alias("_t")).join(scores, [query_key, key], "left")
+    every = every.select(query_key, key, F.round(F.coalesce("_s", F.lit(0.0)), 9).alias("score"), matching_terms(F.col("_asked"), F.col("_t")).alias("terms")).filter(F.col("score") >= least)
+    w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
+    return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

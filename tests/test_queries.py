@@ -7,7 +7,8 @@ import faultline.plans.contracts
 import faultline.plans.sequences
 import faultline.plans.signals
 import faultline.plans.stores
-import faultline.plans.streams  # noqa: F401
+import faultline.plans.streams
+import faultline.plans.windows  # noqa: F401
 from faultline.plans.incident import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
