@@ -42,8 +42,8 @@ def judged(docs: DataFrame, file: str, text: str) -> DataFrame:
 
 
 def load_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """judged() of every *.json file of a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)  # an empty file is a row as well
+    """judged() of every *.json file of a folder; an empty file, which Spark's scan passes over, has no row."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
     return judged(files.select(F.col("_metadata.file_name").alias("_file"), F.try_validate_utf8(F.col("content").cast("string")).alias("_text")), "_file", "_text")
 
 
