@@ -59,6 +59,13 @@ class IsolationForest:
                 break
         return k
 
+    def nodes(self) -> list[tuple]:
+        """The trees as rows (tree, node, feature, cut, left, right, value); the nodes of a tree follow its root, and a leaf has
+        feature -1."""
+        tree = np.searchsorted(np.array(self.roots), np.arange(len(self.feature)), "right") - 1
+        columns = (tree, np.arange(len(self.feature)), self.feature, self.cut, self.left, self.right, self.value)
+        return list(zip(*(np.asarray(c).tolist() for c in columns), strict=True))
+
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
         feature, cut, left, right, value = (np.asarray(v) for v in (self.feature, self.cut, self.left, self.right, self.value))
@@ -125,6 +132,12 @@ def default_ensemble() -> Ensemble:
     return Ensemble(healthy_snapshots())
 
 
+@functools.cache
+def default_forest() -> IsolationForest:
+    """The forest of the default ensemble, without the rest of it."""
+    return IsolationForest(healthy_snapshots(), contamination=0.01)
+
+
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     return pdf[list(FEATURES)].fillna(0.0).to_numpy(float)
 

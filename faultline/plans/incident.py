@@ -9,11 +9,16 @@ from ..functions import scores, text
 from ..operators import clusters, graph, logs, models, ranking, records, retrieval, timeseries
 
 QUERIES: dict = {}
-SQL: dict[str, str] = {}
+SQL: dict = {}
 
 
-def query(sql: str | None = None):
-    """Registers a function (tables) -> DataFrame under its name."""
+def texts() -> dict[str, str]:
+    """The SQL of every query that has some; long texts are made when they are asked for."""
+    return {k: v() if callable(v) else v for k, v in SQL.items()}
+
+
+def query(sql=None):
+    """Registers a function (tables) -> DataFrame under its name, with its SQL or a function that makes it."""
 
     def add(f):
         if f.__name__ in QUERIES:
@@ -586,9 +591,28 @@ def snapshots(t: Tables) -> DataFrame:
     )
 
 
-@query()
+SNAPSHOTS = f"""snap AS (SELECT user_id, {S} // 86400 AS day, count(*) FILTER (event_type = 'click') / count(*) AS cpu_pct, count(*) FILTER (event_type = 'error') / count(*) AS error_rate, least(1.0::DOUBLE, max(value) / 300) AS latency_p99,
+ least(1.0::DOUBLE, count(*) / 10) AS throughput, count(*) FILTER (event_type = 'view') / count(*) AS mem_pct, least(1.0::DOUBLE, avg(value) / 100) AS db_query_ms FROM events GROUP BY ALL)"""
+
+
+def _forest_sql() -> str:
+    """Every snapshot goes down every tree by recursion; the trees are literals."""
+    forest = models.default_forest()
+    columns = [f"unnest([{', '.join(map(repr, c))}]) AS {name}" for name, c in zip(("tree", "node", "feature", "cut", "l", "r", "value"), zip(*forest.nodes(), strict=True), strict=True)]
+    features = ", ".join(models.FEATURES)
+    return f"""WITH RECURSIVE node AS MATERIALIZED (SELECT {', '.join(columns)}), {SNAPSHOTS}, rows_ AS MATERIALIZED (SELECT *, [{features}] AS f, row_number() OVER () AS id FROM snap),
+w AS (SELECT id, f, n.* FROM rows_ CROSS JOIN (SELECT * FROM node WHERE node IN (SELECT min(node) FROM node GROUP BY tree)) n
+ UNION ALL SELECT w.id, w.f, n.* FROM w JOIN node n ON n.node = CASE WHEN w.f[w.feature + 1] < w.cut THEN w.l ELSE w.r END WHERE w.feature >= 0),
+s AS (SELECT id, pow(2.0::DOUBLE, -(sum(value) / {len(forest.roots)}) / {models.path_norm(forest.sample)!r}::DOUBLE) AS score FROM w WHERE feature < 0 GROUP BY id)
+SELECT user_id, day, {', '.join(f"round({c}, 6)::DOUBLE AS {c}" for c in models.FEATURES)}, round(score, 6) AS score, score > {forest.threshold!r}::DOUBLE AS is_anomaly,
+ CASE WHEN score > 0.80 THEN 'CRITICAL' WHEN score > 0.65 THEN 'HIGH' WHEN score > 0.55 THEN 'MEDIUM' WHEN score > {forest.threshold!r}::DOUBLE THEN 'LOW' ELSE 'NORMAL' END AS severity FROM rows_ JOIN s USING (id)"""
+
+
+@query(_forest_sql)
 def iforest_score(t: Tables) -> DataFrame:
-    return models.forest_scores(snapshots(t), models.default_ensemble().forest)
+    """Forest scores of each user and day."""
+    out = models.forest_scores(snapshots(t), models.default_forest())
+    return out.withColumns({c: r6(F.col(c)) for c in (*models.FEATURES, "score")})
 
 
 @query()

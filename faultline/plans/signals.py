@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import metrics, text
+from ..functions import metrics, tables, text
 from ..functions.scores import beta_interval
 from ..operators import evidence, graph, traces
 from .incident import Tables, query, r6, span_rows
@@ -43,17 +43,32 @@ SELECT event_id, block, 'baseline' AS label, {", ".join(f"round(coalesce(a_{m},
 UNION ALL SELECT event_id, block, 'incident', {", ".join(f"round(coalesce(b_{m}, a_{m}, 0), 6)::DOUBLE" for m in metrics.METRICS)} FROM x WHERE {count('b')} > 0 AND {merged} >= 3"""
 
 
-@query(_apm_sql())
-def metric_snapshots(t: Tables) -> DataFrame:
-    """Snapshots of the metrics in a text of each event."""
+def apm_texts(t: Tables) -> DataFrame:
+    """event_id, text: metrics of an event in prose."""
     e, u = F.col("event_id"), F.col("user_id")
     first = F.concat(F.lit("CPU usage: "), s(u % 100), F.lit("% → "), s(e % 130), F.lit("%\nError rate: "), s(e % 4), F.lit(".5% → 12%\nlatency p99: "), s(u * 7), F.lit(" ms\n\nmemory: 40\ndb time: 9 ms"))
     second = F.concat(F.lit("cpu: "), s(u % 90), F.lit(" error rate: 0.2 throughput: "), s(e % 3000), F.lit("\nnothing of note"))
     third = F.concat(F.lit("  throughput: 900 → 300\nmem usage = "), s(u % 100), F.lit("%\nquery avg: "), s(e % 5000), F.lit(" ms\n\nthe end  "))
-    out = metrics.text_snapshots(t.events.select("event_id", F.when(e % 3 == 0, first).when(e % 3 == 1, second).otherwise(third).alias("text")), "text")
+    return t.events.select("event_id", F.when(e % 3 == 0, first).when(e % 3 == 1, second).otherwise(third).alias("text"))
+
+
+def _snapshots(out: DataFrame) -> DataFrame:
     return out.select("event_id", F.col("block").cast("long").alias("block"), "label", *[r6(F.col(m)).alias(m) for m in metrics.METRICS])
 
 
+@query(_apm_sql())
+def metric_snapshots(t: Tables) -> DataFrame:
+    """Snapshots of the metrics in a text of each event."""
+    return _snapshots(metrics.text_snapshots(apm_texts(t), "text"))
+
+
+@query(_apm_sql())
+def metric_snapshots_lateral(t: Tables) -> DataFrame:
+    """The same by a table function in SQL."""
+    tables.register(t.spark)
+    return _snapshots(t.spark.sql("SELECT t.event_id, s.* FROM {texts} t, LATERAL parse_apm_text(t.text) s", texts=apm_texts(t)))
+
+
 LINES = """x AS (SELECT user_id AS trace_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS span_id, event_id, event_type, CAST(round(value) AS BIGINT) AS ms FROM events),
 y AS (SELECT *, [0, 1, 2, 1, 2, 3, 3, 1][span_id % 8 + 1] AS level FROM x)"""
 
@@ -70,15 +85,27 @@ def trace_lines(t: Tables) -> DataFrame:
     return rows.select("trace_id", "no", line.alias("line"))
 
 
-@query(f"""WITH {LINES}, p AS (SELECT c.trace_id, c.span_id, max(u.span_id) AS parent_id FROM y c LEFT JOIN y u ON u.trace_id = c.trace_id AND u.span_id < c.span_id AND u.level < c.level GROUP BY ALL)
+SPAN_ROWS = f"""WITH {LINES}, p AS (SELECT c.trace_id, c.span_id, max(u.span_id) AS parent_id FROM y c LEFT JOIN y u ON u.trace_id = c.trace_id AND u.span_id < c.span_id AND u.level < c.level GROUP BY ALL)
 SELECT y.trace_id, y.span_id, p.parent_id, 'svc-' || event_type AS service, 'call' AS operation, ms AS duration_ms, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'timeout' ELSE 'ok' END AS status,
-CASE WHEN event_type = 'error' THEN 500 END AS http_status, event_type = 'view' AS silent FROM y JOIN p USING (trace_id, span_id)""")
+CASE WHEN event_type = 'error' THEN 500 END AS http_status, event_type = 'view' AS silent FROM y JOIN p USING (trace_id, span_id)"""
+
+
+@query(SPAN_ROWS)
 def trace_spans(t: Tables) -> DataFrame:
     """Spans from lines, with the parent of each by indentation, and those that are ok with a wrong result."""
     out = traces.parsed_traces(trace_lines(t), "trace_id", "no", "line")
     return out.select("trace_id", "span_id", "parent_id", "service", "operation", "duration_ms", "status", "http_status", traces.is_silent(F.col("status"), F.col("detail")).alias("silent"))
 
 
+@query(SPAN_ROWS)
+def trace_spans_lateral(t: Tables) -> DataFrame:
+    """The same by a table function in SQL, over each trace as one text."""
+    tables.register(t.spark)
+    texts = trace_lines(t).groupBy("trace_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    out = t.spark.sql("SELECT t.trace_id, s.* FROM {texts} t, LATERAL parse_trace(t.text) s", texts=texts)
+    return out.select("trace_id", "span_id", "parent_id", "service", "operation", "duration_ms", "status", "http_status", traces.is_silent(F.col("status"), F.col("detail")).alias("silent"))
+
+
 EVIDENCE = """a AS (SELECT user_id AS c, 0 AS kind, event_id AS o, CASE event_type WHEN 'error' THEN 'Python-Inventory' ELSE 'node' END AS service, CASE event_id % 3 WHEN 0 THEN 'CPU high' WHEN 1 THEN 'network timeout' ELSE 'other' END AS ty FROM events WHERE event_type IN ('error', 'click')),
 r AS (SELECT c, kind, o, 0 AS rule, 'python_anomaly_signal' AS name, 0.8::DOUBLE AS if_true, 0.2::DOUBLE AS if_false FROM a WHERE service = 'Python-Inventory' UNION ALL SELECT c, kind, o, 1, 'resource_anomaly', 0.6, 0.3 FROM a WHERE ty = 'CPU high'
 UNION ALL SELECT c, kind, o, 2, 'network_anomaly', 0.75, 0.2 FROM a WHERE ty = 'network timeout' UNION ALL SELECT DISTINCT user_id, 1, 0, 0, 'trace_root_python', 0.9, 0.1 FROM events WHERE user_id % 3 = 0 UNION ALL SELECT DISTINCT user_id, 1, 0, 1, 'trace_root_java', 0.85, 0.15 FROM events WHERE user_id % 3 = 1

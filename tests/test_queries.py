@@ -38,7 +38,7 @@ def test_query(spark, data, duck, name):
     if name not in SQL:
         assert got
         return
-    rel = duck.sql(SQL[name])
+    rel = duck.sql(SQL[name]() if callable(SQL[name]) else SQL[name])
     assert sorted(rel.columns) == columns
     assert got == plain([dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()], columns)
 
