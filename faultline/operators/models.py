@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import ensemble_severity, forest_severity, path_norm
+from .timeseries import incident_start
 
 FEATURES = ("cpu_pct", "error_rate", "latency_p99", "throughput", "mem_pct", "db_query_ms")
 # fixed values: what 0 and 1 stand for in each feature
@@ -66,7 +67,8 @@ class IsolationForest:
         columns = (tree, np.arange(len(self.feature)), self.feature, self.cut, self.left, self.right, self.value)
         return list(zip(*(np.asarray(c).tolist() for c in columns), strict=True))
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def paths(self, x: np.ndarray) -> np.ndarray:
+        """Mean path of each row over the trees."""
         total = np.zeros(len(x))
         feature, cut, left, right, value = (np.asarray(v) for v in (self.feature, self.cut, self.left, self.right, self.value))
         for root in self.roots:
@@ -75,7 +77,13 @@ class IsolationForest:
                 node = at[inner]
                 at[inner] = np.where(x[inner, feature[node]] < cut[node], left[node], right[node])
             total += value[at]
-        return 2.0 ** (-(total / len(self.roots)) / max(path_norm(self.sample), 1e-10))
+        return total / len(self.roots)
+
+    def scored(self, paths: np.ndarray) -> np.ndarray:
+        return 2.0 ** (-paths / max(path_norm(self.sample), 1e-10))
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return self.scored(self.paths(x))
 
 
 class Autoencoder:
@@ -110,7 +118,10 @@ class Autoencoder:
 
     def errors(self, x: np.ndarray) -> np.ndarray:
         """Squared error of each row and feature."""
-        return (self._forward(x)[-1] - x) ** 2
+        return (self.rebuilt(x) - x) ** 2
+
+    def rebuilt(self, x: np.ndarray) -> np.ndarray:
+        return self._forward(x)[-1]
 
 
 class Ensemble:
@@ -157,19 +168,34 @@ def calibrated_threshold(healthy: DataFrame, model: Ensemble) -> float:
 
 
 def ensemble_scores(df: DataFrame, model: Ensemble) -> DataFrame:
-    """Adds score, error, forest score, confidence, the three features that are furthest off (with their values in natural
-    units), is_anomaly and severity.  Features are taken as lying in [0, 1]; they are not rescaled."""
-    schema = ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", score double, error double, forest_score double, confidence double, top_features array<string>, top_values array<double>"
+    """Adds the ensemble's whole result: score, is_anomaly, severity and confidence; of the coder the error, its threshold,
+    whether it is exceeded, each feature's error and what the features were taken for; of the forest score, mean path and
+    flag; and anomalous_features, the three that are furthest off, with what was seen and what would have been normal, in
+    natural units.  Features are taken as lying in [0, 1]; they are not rescaled, and a missing one counts as 0."""
+    schema = ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", score double, confidence double, error double, _e array<double>, _x array<double>, _r array<double>, forest_score double, forest_path double"
 
     def run(it):
+        low, high = np.array(RANGES, float).T
         for p in it:
             x = _matrix(p)
             score, mse, tree, errors = model.score(x)
-            top = np.argsort(errors, 1, kind="stable")[:, ::-1][:, :3]
-            low, high = np.array(RANGES, float).T
-            natural = low + x * (high - low)
-            yield p.assign(score=score, error=mse, forest_score=tree, confidence=np.minimum(1, score / model.threshold), top_features=[[FEATURES[j] for j in t] for t in top], top_values=[natural[i, t].tolist() for i, t in enumerate(top)])
+            yield p.assign(
+                score=score, confidence=np.minimum(1, score / max(model.threshold, 1e-9)), error=mse, _e=list(errors), _x=list(low + x * (high - low)), _r=list(low + model.coder.rebuilt(x) * (high - low)),
+                forest_score=tree, forest_path=model.forest.paths(x),
+            )
 
     out = df.mapInPandas(run, schema)
     flag = F.col("score") > F.lit(model.threshold)
-    return out.withColumn("is_anomaly", flag).withColumn("severity", ensemble_severity(F.col("score"), flag))
+    named = [F.struct(F.lit(f).alias("feature"), F.get("_e", F.lit(k)).alias("error"), F.get("_x", F.lit(k)).alias("observed"), F.get("_r", F.lit(k)).alias("reconstructed_as_normal")) for k, f in enumerate(FEATURES)]
+    # largest error first; of equal ones the later feature, as a reversed ascending sort has it
+    order = F.reverse(F.array_sort(F.array(*[F.struct(F.get("_e", F.lit(k)).alias("e"), F.lit(k).alias("k")) for k in range(len(FEATURES))])))
+    return out.withColumns({
+        "is_anomaly": flag, "severity": ensemble_severity(F.col("score"), flag), "error_threshold": F.lit(model.coder_threshold), "error_is_anomaly": F.col("error") > F.lit(model.coder_threshold),
+        "forest_is_anomaly": F.col("forest_score") > F.lit(model.forest.threshold), "feature_errors": F.transform(F.array(*named), lambda n: F.struct(n["feature"].alias("feature"), n["error"].alias("error"))),
+        "reconstructed": F.col("_r"), "anomalous_features": F.transform(F.slice(order, 1, 3), lambda o: F.get(F.array(*named), o["k"])),
+    }).drop("_e", "_x", "_r")
+
+
+def incident_starts(scored: DataFrame, keys: list[str], order: str, window: int = 3) -> DataFrame:
+    """The first of the first `window` anomalous snapshots in a row of each key."""
+    return incident_start(scored, keys, order, "is_anomaly", window)

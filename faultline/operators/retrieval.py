@@ -18,37 +18,61 @@ def postings(docs: DataFrame, key: str, text: str, tokens: Callable[[Column], Co
     return cut.select(key, F.size("_t").cast("double").alias("len"), F.explode("_t").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
 
 
+#: Distinct words of all queries up to which they go into the scan as a set.
+MOST_ASKED = 5_000
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, key: str, query_key: str, text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_key, key, score, terms of every document that shares a term with a query; a query's repeated terms count once.
+    """query_key, key, score, found (the shared words) of every document that shares a word with a query; a query's repeated
+    words count once.
 
-    Only postings of query terms go on from the scan, which the term table filters.
+    The documents are cut once: what is written and read again is each one's length and those of its words that some query
+    asks for, which the words' set picks out in the scan.  With more distinct words than `MOST_ASKED` a join does that.
     """
     terms = queries.select(query_key, F.explode(F.array_distinct(bm25_tokens(F.col(text)))).alias("term"))
-    # lengths and the document count come from a pass of their own that keeps no terms
-    stats = docs.select(F.size(bm25_tokens(F.col(text))).alias("n")).agg(F.count("*").cast("double").alias("n_docs"), F.greatest(F.sum("n") / F.greatest(F.count("*"), F.lit(1)), F.lit(1e-10)).alias("avg_len"))
     asked = terms.select("term").distinct()
+    few = [r.term for r in asked.limit(MOST_ASKED + 1).collect()]
     cut = docs.select(key, bm25_tokens(F.col(text)).alias("_t"))
-    used = cut.select(key, F.size("_t").cast("double").alias("len"), F.explode("_t").alias("term")).join(asked, "term", "left_semi").groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    own = F.filter("_t", lambda w: w.isin(few)) if len(few) <= MOST_ASKED else F.col("_t")
+    cut = kept(cut.select(key, F.size("_t").cast("double").alias("len"), own.alias("_t")))
+    stats = cut.agg(F.count("*").cast("double").alias("n_docs"), F.greatest(F.sum("len") / F.greatest(F.count("*"), F.lit(1)), F.lit(1e-10)).alias("avg_len"))
+    used = cut.select(key, "len", F.explode("_t").alias("term"))
+    used = used if len(few) <= MOST_ASKED else used.join(asked, "term", "left_semi")
+    used = used.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
     df = used.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     weighed = used.join(df, "term").crossJoin(F.broadcast(stats))  # one row
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     part = weighed.select(key, "term", (bm25_idf(F.col("n_docs"), F.col("df")) * tf).alias("part"))
-    return part.join(terms, "term").groupBy(query_key, key).agg(F.sum("part").alias("score"), F.array_sort(F.collect_set("term")).alias("terms"))
+    return part.join(terms, "term").groupBy(query_key, key).agg(F.sum("part").alias("score"), F.array_sort(F.collect_set("term")).alias("found"))
 
 
-def top_k(scores: DataFrame, docs: DataFrame, queries: DataFrame, key: str, query_key: str, k: int = 5, least: float = 0.0) -> DataFrame:
-    """The k best documents of each query with score `least` or more; ties in key order.  Documents without a shared term
-    have score 0 and fill up; of those, only the first 2k keys can come into question."""
-    none = queries.select(query_key).crossJoin(F.broadcast(docs.select(key).orderBy(key).limit(2 * k)))
-    zeros = none.join(scores.select(query_key, key), [query_key, key], "left_anti").withColumn("score", F.lit(0.0)).withColumn("terms", F.array().cast("array<string>"))
-    every = scores.unionByName(zeros).filter(F.col("score") >= least)
+def matching_terms(terms: Column, found: Column) -> Column:
+    """The words of a query that a document has, in the query's order and as often as the query repeats them."""
+    return F.filter(terms, lambda w: F.array_contains(found, w))
+
+
+def top_k(scores: DataFrame, docs: DataFrame, queries: DataFrame, key: str, query_key: str, k: int = 5, least: float = 0.0, text: str = "text") -> DataFrame:
+    """rank, query_key, key, score, terms (as the query has them) of the k best documents of each query with score `least` or
+    more.  Scores are compared to nine digits, ties go in key order.  Documents without a shared word have score 0 and fill up
+    where a query finds fewer than k; of those, only the first 2k keys can come into question."""
     w = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), key)
-    return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    best = kept(scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank"))
+    none = queries.select(query_key).crossJoin(F.broadcast(docs.select(key).orderBy(key).limit(2 * k)))
+    zeros = none.join(best.select(query_key, key), [query_key, key], "left_anti").withColumn("score", F.lit(0.0)).withColumn("found", F.array().cast("array<string>"))
+    every = best.unionByName(zeros).filter(F.col("score") >= least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    asked = queries.select(query_key, bm25_tokens(F.col(text)).alias("_asked"))
+    return every.join(asked, query_key).withColumn("terms", matching_terms(F.col("_asked"), F.col("found"))).drop("_asked", "found")
 
 
 def best_of_queries(scores: DataFrame, key: str) -> DataFrame:
-    """The greatest score of each document over all queries, and the union of the terms."""
-    return scores.groupBy(key).agg(F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("terms"))
+    """The greatest score of each document over all queries, and the sorted union of the words that it shares with any."""
+    return scores.groupBy(key).agg(F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("found")))).alias("terms"))
+
+
+def best_documents(merged: DataFrame, key: str, k: int = 5) -> DataFrame:
+    """The k best of best_of_queries, with `rank`; ties go in key order."""
+    first = merged.orderBy(F.desc(F.round("score", 9)), key).limit(k)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), key)))  # k rows
 
 
 def best_of_searches(found: DataFrame, key: str, query_key: str, score: str, k: int = 5) -> DataFrame:
@@ -61,28 +85,33 @@ def best_of_searches(found: DataFrame, key: str, query_key: str, score: str, k:
     return best.select(key, "best.*").orderBy("_low", key).limit(k).drop("_low")
 
 
-def tfidf_cosine(docs: DataFrame, queries: DataFrame, key: str, query_key: str, text: str = "text", least: float = 0.05, exact: bool = False) -> DataFrame:
-    """query_key, key, score (cosine of weights tf * idf, 4 digits) of pairs of at least `least` before rounding, and overlap:
-    the share, in percent, of the query's distinct terms that the document has."""
-    own = postings(docs, key, text, ascii_tokens)
+def tfidf_cosine(docs: DataFrame, queries: DataFrame, key: str, query_key: str, text: str = "text", least: float = 0.05) -> DataFrame:
+    """query_key, key, cosine of weights tf * idf, share (percent of the query's distinct words that the document has) and
+    terms (those words, sorted), of pairs with a cosine of at least `least`; nothing is rounded.
+
+    Postings are made once and written, as the counts, the norms and the products all read them."""
+    own = kept(postings(docs, key, text, ascii_tokens))
     n = docs.agg(F.count("*").cast("double").alias("n_docs"))
     df = own.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     weighed = own.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") / F.col("len") * tfidf_idf(F.col("n_docs"), F.col("df")))
     norm = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     asked = postings(queries, query_key, text, ascii_tokens).join(df, "term", "left").crossJoin(F.broadcast(n))
-    asked = asked.withColumn("qw", F.col("tf") / F.col("len") * F.when(F.col("df").isNull(), 0.0).otherwise(tfidf_idf(F.col("n_docs"), F.col("df")))).select(query_key, "term", "qw")
+    asked = asked.withColumn("qw", F.col("tf") / F.col("len") * F.when(F.col("df").isNull(), 0.0).otherwise(tfidf_idf(F.col("n_docs"), F.col("df")))).select(query_key, "term", "qw", "df")
+    asked = kept(asked)
     size = asked.groupBy(query_key).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"), F.count("*").alias("n_terms"))
-    dots = weighed.select(key, "term", "w").join(asked, "term").groupBy(query_key, key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.count("*").alias("shared"))
+    # the queries' words carry their counts, so the products need no weights of other words
+    hit = own.join(asked, "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") / F.col("len") * tfidf_idf(F.col("n_docs"), F.col("df")))
+    dots = hit.groupBy(query_key, key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.count("*").alias("shared"), F.array_sort(F.collect_list("term")).alias("terms"))
     out = dots.join(norm, key).join(size, query_key).withColumn("cosine", F.when((F.col("norm") > 0) & (F.col("qnorm") > 0), F.col("dot") / (F.col("norm") * F.col("qnorm"))).otherwise(0.0))
-    out = out.filter(F.col("cosine") >= least).withColumn("share", 100.0 * F.col("shared") / F.col("n_terms"))
-    if exact:  # unrounded
-        return out.select(query_key, key, "cosine", "share")
-    return out.select(query_key, key, F.bround("cosine", 4).alias("score"), F.bround("share", 1).alias("overlap"))
+    return out.filter(F.col("cosine") >= least).select(query_key, key, "cosine", (100.0 * F.col("shared") / F.col("n_terms")).alias("share"), "terms")
 
 
-def matching_terms(terms: Column, found: Column) -> Column:
-    """The words of a query that a document has, in the query's order and as often as the query repeats them."""
-    return F.filter(terms, lambda w: F.array_contains(found, w))
+def tfidf_top(found: DataFrame, key: str, query_key: str, k: int = 5) -> DataFrame:
+    """rank, score (4 digits), overlap (percent, 1 digit) and terms of each query's k best pairs of tfidf_cosine, by the
+    rounded score; halves are rounded to the even digit, ties go in key order."""
+    rounded = found.select(query_key, key, F.bround("cosine", 4).alias("score"), F.bround("share", 1).alias("overlap"), "terms")
+    w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
+    return rounded.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, key: str, query_key: str, text: str = "text", k: int = 5, least: float = 0.0, k1: float = 1.5, b: float = 0.75) -> DataFrame:

@@ -131,11 +131,11 @@ def outlier_hours(t: Tables) -> DataFrame:
 
 STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 BM25 = f"""WITH tok AS (SELECT doc_id, list_filter(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 2 AND w NOT IN ({STOPS})) AS ts FROM documents),
-q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 2 AND w NOT IN ({STOPS}))) AS term FROM benchmark),
+asked AS (SELECT item_id, list_filter(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 2 AND w NOT IN ({STOPS})) AS ws FROM benchmark), q AS (SELECT DISTINCT item_id, unnest(ws) AS term FROM asked),
 st AS (SELECT CAST(count(*) AS DOUBLE) AS n, greatest(sum(len(ts)) / greatest(count(*), 1), 1e-10) AS al FROM tok),
 p AS (SELECT doc_id, term, count(*) AS tf, any_value(l) AS l FROM (SELECT doc_id, CAST(len(ts) AS DOUBLE) AS l, unnest(ts) AS term FROM tok) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
 df AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM p GROUP BY term),
-s AS (SELECT item_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / al))) AS score FROM p JOIN df USING (term) JOIN q USING (term), st GROUP BY item_id, doc_id)"""
+s AS (SELECT item_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / al))) AS score, list(term) AS found FROM p JOIN df USING (term) JOIN q USING (term), st GROUP BY item_id, doc_id)"""
 
 
 def _queries(t: Tables) -> DataFrame:
@@ -143,13 +143,13 @@ def _queries(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", "text")
 
 
-@query(BM25 + """, a AS (SELECT i.item_id, d.doc_id, coalesce(s.score, 0) AS score FROM (SELECT DISTINCT item_id FROM benchmark) i CROSS JOIN (SELECT doc_id FROM documents) d LEFT JOIN s ON s.item_id = i.item_id AND s.doc_id = d.doc_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM a) SELECT item_id, doc_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
+@query(BM25 + """, a AS (SELECT i.item_id, d.doc_id, coalesce(s.score, 0) AS score, coalesce(s.found, []) AS found FROM (SELECT DISTINCT item_id FROM benchmark) i CROSS JOIN (SELECT doc_id FROM documents) d LEFT JOIN s ON s.item_id = i.item_id AND s.doc_id = d.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM a) SELECT item_id, doc_id, rank, round(score, 6) AS score, array_to_string(list_filter(ws, lambda w: list_contains(found, w)), ' ') AS terms FROM r JOIN asked USING (item_id) WHERE rank <= 5""")
 def bm25_search(t: Tables) -> DataFrame:
-    """The five best documents for each benchmark item."""
+    """The five best documents for each benchmark item, and the item's words that each has, in the item's order."""
     docs, q = t.documents.select("doc_id", "text"), _queries(t)
     best = retrieval.top_k(retrieval.bm25_scores(docs, q, "doc_id", "item_id"), docs, q, "doc_id", "item_id")
-    return best.select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), r6(F.col("score")).alias("score"))
+    return best.select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), r6(F.col("score")).alias("score"), F.array_join("terms", " ").alias("terms"))
 
 
 @query(BM25 + " SELECT doc_id, round(max(score), 6) AS score FROM s GROUP BY doc_id")
@@ -159,22 +159,41 @@ def bm25_multi(t: Tables) -> DataFrame:
     return best.select("doc_id", r6(F.col("score")).alias("score"))
 
 
+@query(BM25 + """, m AS (SELECT doc_id, max(score) AS score FROM s GROUP BY doc_id), w AS (SELECT doc_id, string_agg(t, ' ' ORDER BY t) AS terms FROM (SELECT DISTINCT doc_id, unnest(found) AS t FROM s) GROUP BY doc_id)
+SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank, round(score, 6) AS score, terms FROM m JOIN w USING (doc_id) QUALIFY rank <= 5""")
+def bm25_multi_top(t: Tables) -> DataFrame:
+    """The five best documents over all benchmark items, with every word that they share with any of them."""
+    merged = retrieval.best_of_queries(retrieval.bm25_scores(t.documents.select("doc_id", "text"), _queries(t), "doc_id", "item_id"), "doc_id")
+    return retrieval.best_documents(merged, "doc_id").select("doc_id", F.col("rank").cast("long").alias("rank"), r6(F.col("score")).alias("score"), F.array_join("terms", " ").alias("terms"))
+
+
 _ASCII = lambda c: f"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ({STOPS}))"
 
 
-@query(f"""WITH q0 AS (SELECT item_id, {_ASCII('text')} AS ts FROM benchmark), d0 AS (SELECT doc_id, {_ASCII('text')} AS ts FROM documents),
+TFIDF = f"""WITH q0 AS (SELECT item_id, {_ASCII('text')} AS ts FROM benchmark), d0 AS (SELECT doc_id, {_ASCII('text')} AS ts FROM documents),
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM d0), d AS (SELECT doc_id, term, count(*) / any_value(l) AS tf FROM (SELECT doc_id, CAST(len(ts) AS DOUBLE) AS l, unnest(ts) AS term FROM d0) GROUP BY doc_id, term),
 f AS (SELECT term, ln((SELECT n FROM n) / (1 + count(*))) + 1 AS idf FROM d GROUP BY term), dw AS (SELECT doc_id, term, tf * idf AS w FROM d JOIN f USING (term)), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS nd FROM dw GROUP BY doc_id),
 q AS (SELECT item_id, term, count(*) / any_value(l) AS tf FROM (SELECT item_id, CAST(len(ts) AS DOUBLE) AS l, unnest(ts) AS term FROM q0) GROUP BY item_id, term),
 qw AS (SELECT item_id, term, tf * coalesce(idf, 0) AS w FROM q LEFT JOIN f USING (term)), qn AS (SELECT item_id, sqrt(sum(w * w)) AS nq, count(*) AS k FROM qw GROUP BY item_id),
-c AS (SELECT item_id, doc_id, sum(dw.w * qw.w) / (any_value(nd) * any_value(nq)) AS s, count(*) AS c, any_value(k) AS k FROM dw JOIN qw USING (term) JOIN dn USING (doc_id) JOIN qn USING (item_id) GROUP BY item_id, doc_id HAVING any_value(nd) > 0 AND any_value(nq) > 0)
-SELECT item_id, doc_id, round(s, 3) AS score, round(100.0 * c / k, 0) AS overlap FROM c WHERE s >= 0.05""")
+c AS (SELECT item_id, doc_id, sum(dw.w * qw.w) / (any_value(nd) * any_value(nq)) AS s, count(*) AS c, any_value(k) AS k, string_agg(term, ' ' ORDER BY term) AS terms FROM dw JOIN qw USING (term) JOIN dn USING (doc_id) JOIN qn USING (item_id) GROUP BY item_id, doc_id HAVING any_value(nd) > 0 AND any_value(nq) > 0)"""
+
+
+@query(TFIDF + " SELECT item_id, doc_id, round(s, 3) AS score, round(100.0 * c / k, 0) AS overlap FROM c WHERE s >= 0.05")
 def tfidf_search(t: Tables) -> DataFrame:
     """Cosine similarities of 0.05 or more between benchmark items and documents."""
-    out = retrieval.tfidf_cosine(t.documents.select("doc_id", "text"), _queries(t), "doc_id", "item_id", exact=True)
+    out = retrieval.tfidf_cosine(t.documents.select("doc_id", "text"), _queries(t), "doc_id", "item_id")
     return out.select("item_id", "doc_id", F.round("cosine", 3).alias("score"), F.round("share", 0).alias("overlap"))
 
 
+@query(TFIDF + """, o AS (SELECT item_id, doc_id, round_even(s, 4) AS score, round_even(100.0::DOUBLE * c / k, 1) AS overlap, terms FROM c WHERE s >= 0.05)
+SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM o QUALIFY rank <= 5""")
+def tfidf_top(t: Tables) -> DataFrame:
+    """The five most similar documents of each benchmark item, by the rounded cosine."""
+    found = retrieval.tfidf_cosine(t.documents.select("doc_id", "text"), _queries(t), "doc_id", "item_id")
+    out = retrieval.tfidf_top(found, "doc_id", "item_id")
+    return out.select("item_id", "doc_id", "score", "overlap", F.array_join("terms", " ").alias("terms"), F.col("rank").cast("long").alias("rank"))
+
+
 def _scrub_sql(select: str, where: str = "documents", key: str = "doc_id") -> str:
     steps, last = [f"t0 AS (SELECT {key}, coalesce(text, '') AS t FROM {where})"], "t0"
     counts: list[str] = []
@@ -595,19 +614,54 @@ SNAPSHOTS = f"""snap AS (SELECT user_id, {S} // 86400 AS day, count(*) FILTER (e
  least(1.0::DOUBLE, count(*) / 10) AS throughput, count(*) FILTER (event_type = 'view') / count(*) AS mem_pct, least(1.0::DOUBLE, avg(value) / 100) AS db_query_ms FROM events GROUP BY ALL)"""
 
 
-def _forest_sql() -> str:
-    """Every snapshot goes down every tree by recursion; the trees are literals."""
-    forest = models.default_forest()
+def _forest_ctes(forest: models.IsolationForest) -> str:
+    """Every snapshot goes down every tree by recursion; the trees are literals.  s has the mean path and the score by id."""
     columns = [f"unnest([{', '.join(map(repr, c))}]) AS {name}" for name, c in zip(("tree", "node", "feature", "cut", "l", "r", "value"), zip(*forest.nodes(), strict=True), strict=True)]
-    features = ", ".join(models.FEATURES)
-    return f"""WITH RECURSIVE node AS MATERIALIZED (SELECT {', '.join(columns)}), {SNAPSHOTS}, rows_ AS MATERIALIZED (SELECT *, [{features}] AS f, row_number() OVER () AS id FROM snap),
+    return f"""node AS MATERIALIZED (SELECT {', '.join(columns)}), {SNAPSHOTS}, rows_ AS MATERIALIZED (SELECT *, [{", ".join(models.FEATURES)}] AS f, row_number() OVER () AS id FROM snap),
 w AS (SELECT id, f, n.* FROM rows_ CROSS JOIN (SELECT * FROM node WHERE node IN (SELECT min(node) FROM node GROUP BY tree)) n
  UNION ALL SELECT w.id, w.f, n.* FROM w JOIN node n ON n.node = CASE WHEN w.f[w.feature + 1] < w.cut THEN w.l ELSE w.r END WHERE w.feature >= 0),
-s AS (SELECT id, pow(2.0::DOUBLE, -(sum(value) / {len(forest.roots)}) / {models.path_norm(forest.sample)!r}::DOUBLE) AS score FROM w WHERE feature < 0 GROUP BY id)
+s AS (SELECT id, sum(value) / {len(forest.roots)} AS path, pow(2.0::DOUBLE, -(sum(value) / {len(forest.roots)}) / {models.path_norm(forest.sample)!r}::DOUBLE) AS score FROM w WHERE feature < 0 GROUP BY id)"""
+
+
+def _forest_sql() -> str:
+    forest = models.default_forest()
+    return f"""WITH RECURSIVE {_forest_ctes(forest)}
 SELECT user_id, day, {', '.join(f"round({c}, 6)::DOUBLE AS {c}" for c in models.FEATURES)}, round(score, 6) AS score, score > {forest.threshold!r}::DOUBLE AS is_anomaly,
  CASE WHEN score > 0.80 THEN 'CRITICAL' WHEN score > 0.65 THEN 'HIGH' WHEN score > 0.55 THEN 'MEDIUM' WHEN score > {forest.threshold!r}::DOUBLE THEN 'LOW' ELSE 'NORMAL' END AS severity FROM rows_ JOIN s USING (id)"""
 
 
+def _ensemble_ctes() -> str:
+    """The coder layer by layer with literal weights, beside the forest; x has the whole result by id."""
+    m = models.default_ensemble()
+    layers, last = [], "rows_"
+    for k, (w, b) in enumerate(zip(m.coder.w, m.coder.b, strict=True), 1):
+        source = "f" if k == 1 else f"h{k - 1}"
+        z = [f"list_inner_product({source}, {w[:, j].tolist()}::DOUBLE[]) + {float(b[j])!r}::DOUBLE" for j in range(w.shape[1])]
+        z = [f"greatest(0::DOUBLE, {v})" if k < len(m.coder.w) else f"1 / (1 + exp(-least(20::DOUBLE, greatest(-20::DOUBLE, {v}))))" for v in z]
+        layers.append(f"y{k} AS MATERIALIZED (SELECT {last}.*, [{', '.join(z)}] AS h{k} FROM {last})")
+        last = f"y{k}"
+    top = f"h{len(m.coder.w)}"
+    errors = ", ".join(f"pow({top}[{j + 1}] - f[{j + 1}], 2)" for j in range(len(models.FEATURES)))
+    return f"""{_forest_ctes(m.forest)}, {', '.join(layers)}, er AS (SELECT id, user_id, day, f, {top} AS rec, [{errors}] AS e FROM {last}),
+g AS (SELECT *, list_sum(e) / {len(models.FEATURES)} AS mse FROM er), x AS (SELECT g.*, path, s.score AS tree, 0.55::DOUBLE * least(1::DOUBLE, greatest(0::DOUBLE, mse / {3 * m.coder_threshold!r}::DOUBLE)) + 0.45::DOUBLE * s.score AS score FROM g JOIN s USING (id))"""
+
+
+def _ensemble_sql() -> str:
+    m = models.default_ensemble()
+    names = ", ".join(f"'{f}'" for f in models.FEATURES)
+    natural = ", ".join(f"round({a} + rec[{j}] * {b - a}, 6)::DOUBLE AS normal_{f}, round(e[{j}], 6) AS error_{f}" for j, (f, (a, b)) in enumerate(zip(models.FEATURES, models.RANGES, strict=True), 1))
+    return f"""WITH RECURSIVE {_ensemble_ctes()}
+SELECT user_id, day, round(score, 6) AS score, score > {m.threshold!r}::DOUBLE AS is_anomaly, CASE WHEN score > 0.80 THEN 'CRITICAL' WHEN score > 0.60 THEN 'HIGH' WHEN score > 0.45 THEN 'MEDIUM' WHEN score > {m.threshold!r}::DOUBLE THEN 'LOW' ELSE 'NORMAL' END AS severity,
+ round(least(1::DOUBLE, score / {m.threshold!r}::DOUBLE), 6) AS confidence, round(mse, 6) AS error, mse > {m.coder_threshold!r}::DOUBLE AS error_is_anomaly, round(tree, 6) AS forest_score, round(path, 6) AS forest_path, tree > {m.forest.threshold!r}::DOUBLE AS forest_is_anomaly, {natural},
+ array_to_string(list_transform(list_reverse_sort(list_zip(e, range(6)))[1:3], lambda p: [{names}][p[2] + 1]), ',') AS worst FROM x"""
+
+
+def _incidents_sql() -> str:
+    return f"""WITH RECURSIVE {_ensemble_ctes()}, o AS (SELECT user_id, day, score > {models.default_ensemble().threshold!r}::DOUBLE AS flag, row_number() OVER (PARTITION BY user_id ORDER BY day) - 1 AS i FROM x),
+k AS (SELECT *, i - row_number() OVER (PARTITION BY user_id ORDER BY day) AS k FROM o WHERE flag), r AS (SELECT user_id, k, count(*) AS run, min(i) AS start_idx, min(day) AS start FROM k GROUP BY ALL HAVING count(*) >= 3)
+SELECT user_id, min(start_idx) AS start_idx, min_by(start, start_idx) AS start, min_by(run, start_idx) AS run_length FROM r GROUP BY user_id"""
+
+
 @query(_forest_sql)
 def iforest_score(t: Tables) -> DataFrame:
     """Forest scores of each user and day."""
@@ -615,6 +669,21 @@ def iforest_score(t: Tables) -> DataFrame:
     return out.withColumns({c: r6(F.col(c)) for c in (*models.FEATURES, "score")})
 
 
-@query()
-def ensemble_score(t: Tables) -> DataFrame:
+def _scored(t: Tables) -> DataFrame:
     return models.ensemble_scores(snapshots(t), models.default_ensemble())
+
+
+@query(_ensemble_sql)
+def ensemble_score(t: Tables) -> DataFrame:
+    """The ensemble's result for each user and day."""
+    out, each = _scored(t), []
+    for k, f in enumerate(models.FEATURES):
+        each += [r6(F.get("reconstructed", F.lit(k))).alias(f"normal_{f}"), r6(F.get("feature_errors.error", F.lit(k))).alias(f"error_{f}")]
+    plain = [r6(F.col(c)).alias(c) for c in ("score", "confidence", "error", "forest_score", "forest_path")]
+    return out.select("user_id", "day", *plain, "is_anomaly", "severity", "error_is_anomaly", "forest_is_anomaly", *each, F.array_join("anomalous_features.feature", ",").alias("worst"))
+
+
+@query(_incidents_sql)
+def ensemble_incidents(t: Tables) -> DataFrame:
+    """Where each user's first three anomalous days in a row begin."""
+    return models.incident_starts(_scored(t), ["user_id"], "day")

@@ -68,8 +68,8 @@ SELECT doc_id, item_id, round(s, 3) AS score FROM b WHERE k1 = 1 ORDER BY round(
 @query(_multi_sql())
 def tfidf_multi(t: Tables) -> DataFrame:
     """The five documents nearest to any benchmark item."""
-    found = retrieval.tfidf_cosine(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", "text"), "doc_id", "item_id", exact=True)
-    return retrieval.best_of_searches(found, "doc_id", "item_id", "cosine").select("doc_id", "item_id", F.round("cosine", 3).alias("score"))
+    found = retrieval.tfidf_cosine(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", "text"), "doc_id", "item_id")
+    return retrieval.best_of_searches(found.drop("terms"), "doc_id", "item_id", "cosine").select("doc_id", "item_id", F.round("cosine", 3).alias("score"))
 
 
 @query("""SELECT 's' || (l_suppkey % 40) AS src, 's' || (l_partkey % 40) AS dst, sum(CASE WHEN l_returnflag = 'R' THEN 2.0::DOUBLE ELSE 1.0 END) AS weight, 'rpc' AS call_type FROM lineitem WHERE l_partkey % 5 > 0 GROUP BY ALL""")

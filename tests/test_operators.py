@@ -107,7 +107,7 @@ def test_models_find_the_anomaly(spark):
     good, bad = np.array([[0.35, 0.005, 0.20, 0.75, 0.50, 0.15]]), np.array([[0.98, 0.45, 0.96, 0.06, 0.92, 0.97]])
     assert m.score(bad)[0][0] > m.score(good)[0][0] and m.forest.score(bad)[0] > m.forest.score(good)[0]
     df = spark.createDataFrame([(0.98, 0.45, 0.96, 0.06, 0.92, None)], ", ".join(f"{f} double" for f in models.FEATURES))
-    assert len(models.ensemble_scores(df, m).first().top_features) == 3
+    assert len(models.ensemble_scores(df, m).first().anomalous_features) == 3
 
 
 def test_rate_limit_ignores_refused_hits(spark):
