@@ -81,6 +81,12 @@ def document_text(*parts: Column) -> Column:
     return F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts])
 
 
+def incident_text(title: Column, symptoms: Column, root_cause: Column, fix: Column, services: Column) -> Column:
+    """The text of an incident that searches look at: title, symptoms, cause, fix and services (arrays by spaces), without the
+    empty ones."""
+    return document_text(title, F.array_join(symptoms, " "), root_cause, fix, F.array_join(services, " "))
+
+
 def _any(text: Column, *parts: str) -> Column:
     out = F.lit(False)
     for p in parts:

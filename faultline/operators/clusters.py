@@ -171,3 +171,8 @@ def cluster_summary(clustered: DataFrame, group: str) -> DataFrame:
         n = real.groupBy(*keys, c).agg(F.count("*").alias("n"), F.min("ord").alias("o"))
         out = out.join(n.groupBy(*keys).agg(F.min_by(c, F.struct(-F.col("n"), F.col("o"))).alias(f"top_{c}")), keys)
     return out
+
+
+def incident_groups(summary: DataFrame, group: str) -> DataFrame:
+    """The clusters of cluster_summary with `place` inside their batch: largest first, of equals the lower number."""
+    return summary.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("size"), "cluster"))).orderBy(group, "place")

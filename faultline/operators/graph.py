@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import edge_weight
 from ..session import Written, kept
+from .traces import is_silent
 
 #: Most distinct edges that one task iterates over.
 MOST_EDGES = 2_000_000
@@ -168,45 +170,116 @@ def articulation_points(edges: DataFrame, order: str = "ord") -> DataFrame:
 TRACE = "critical_path array<bigint>, critical_ms bigint, root_failure bigint, failure_path array<bigint>, n_failed bigint, n_cascaded bigint, root_ms bigint"
 
 
+def _walked(ids: list, parents: list, ms: list, bad: list) -> tuple:
+    """What `TRACE` names of one trace, whose spans come in order of their ids."""
+    at = {i: k for k, i in enumerate(ids)}
+    kids: list[list[int]] = [[] for _ in ids]
+    roots = []
+    for k, p in enumerate(parents):
+        up = at.get(p) if p is not None else None
+        roots.append(k) if up is None or up == k else kids[up].append(k)
+    order, stack = [], roots[:1]
+    while stack:
+        k = stack.pop()
+        order.append(k)
+        stack += reversed(kids[k])
+    best, down, link = list(ms), [-1] * len(ids), [-1] * len(ids)
+    for k in reversed(order):  # children before parents; pointers, so nothing is copied from level to level
+        if kids[k]:
+            down[k] = max(kids[k], key=best.__getitem__)
+            best[k] += best[down[k]]
+            link[k] = next((c for c in kids[k] if bad[c]), -1)
+
+    def along(k: int, pointer: list[int]) -> list:
+        out = []
+        while k >= 0:
+            out.append(ids[k])
+            k = pointer[k]
+        return out
+
+    first = next((k for k in order if bad[k]), -1)
+    source = next((k for k in order if bad[k] and link[k] < 0), -1)
+    n_failed = sum(bad)
+    top = order[0] if order else -1
+    return along(top, down), best[top] if order else 0, ids[source] if source >= 0 else None, along(first, link), n_failed, max(0, n_failed - (source >= 0)), ms[top] if order else 0
+
+
 def analyse_traces(spans: DataFrame, trace: str) -> DataFrame:
     """Of each trace (columns span_id, parent_id, duration_ms, status): the root-to-leaf path with the greatest sum of
     durations, the first failed span in pre-order without a failed child, the first chain of failures, and counts.
 
-    Children are in order of span_id; a parent that is missing counts as none; of several roots the first is walked.
+    Children are in order of span_id; a parent that is missing counts as none; of several roots the first is walked; a null
+    duration counts 0.  Traces come one after another, and a task holds one at a time.
     """
     kind = dict(spans.dtypes)[trace]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("span_id")
-        ids = [int(x) for x in pdf["span_id"]]
-        ms = dict(zip(ids, (int(x) for x in pdf["duration_ms"]), strict=True))
-        bad = {i for i, s in zip(ids, pdf["status"], strict=True) if s in ("error", "timeout")}
-        kids: dict[int, list[int]] = {i: [] for i in ids}
-        roots = []
-        for i, p in zip(ids, pdf["parent_id"], strict=True):
-            if pd.notna(p) and int(p) in kids and int(p) != i:
-                kids[int(p)].append(i)
-            else:
-                roots.append(i)
-        order, stack = [], roots[:1]
-        while stack:
-            i = stack.pop()
-            order.append(i)
-            stack += reversed(kids[i])
-        best: dict[int, tuple[int, list[int]]] = {}
-        for i in reversed(order):
-            down = max((best[k] for k in kids[i]), key=lambda x: x[0], default=(0, []))
-            best[i] = (ms[i] + down[0], [i, *down[1]])
-        chains: dict[int, list[int]] = {}
-        for i in reversed(order):
-            if i in bad:
-                chains[i] = [i, *next((chains[k] for k in kids[i] if k in chains), [])]
-        chain = next((chains[i] for i in order if i in chains), [])
-        root_failure = next((i for i in order if i in bad and not any(k in bad for k in kids[i])), None)
-        path = best[order[0]] if order else (0, [])
-        return pd.DataFrame([(*key, path[1], path[0], root_failure, chain, len(bad), max(0, len(bad) - (root_failure is not None)), ms[order[0]] if order else 0)], columns=[trace, "critical_path", "critical_ms", "root_failure", "failure_path", "n_failed", "n_cascaded", "root_ms"]).astype({"root_failure": "Int64"})
-
-    return spans.groupBy(trace).applyInPandas(run, f"{trace} {kind}, {TRACE}")
+    fields = pa.schema([(f.split(" ")[0], pa.list_(pa.int64()) if "array" in f else pa.int64()) for f in TRACE.split(", ")])
+    failed = F.coalesce(F.col("status").isin("error", "timeout"), F.lit(False))
+    rows = spans.select(F.col(trace).alias("t"), F.col("span_id").cast("long").alias("id"), F.col("parent_id").cast("long").alias("up"), F.coalesce(F.col("duration_ms").cast("long"), F.lit(0)).alias("ms"), failed.alias("bad"))
+
+    def run(batches):
+        names, out, own, now, of = [], [], ([], [], [], []), None, None
+
+        def take() -> None:
+            if own[0]:
+                names.append(now)
+                out.append(_walked(*own))
+
+        def made() -> pa.RecordBatch:
+            arrays = [pa.array(names, of), *(pa.array([r[k] for r in out], f.type) for k, f in enumerate(fields))]
+            return pa.RecordBatch.from_arrays(arrays, [trace, *fields.names])
+
+        for batch in batches:
+            of = batch.schema.field(0).type
+            t, *columns = (c.to_pylist() for c in batch.columns)
+            cuts = [0, *(k for k in range(1, len(t)) if t[k] != t[k - 1]), len(t)] if t else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if t[a] != now:
+                    take()
+                    own, now = ([], [], [], []), t[a]
+                for held, c in zip(own, columns, strict=True):
+                    held += c[a:b]
+            if len(out) > 1000:
+                yield made()
+                names, out = [], []
+        take()
+        if out:
+            yield made()
+
+    return rows.repartition("t").sortWithinPartitions("t", "id").mapInArrow(run, f"{trace} {kind}, {TRACE}")
+
+
+def trace_reports(spans: DataFrame, trace: str) -> DataFrame:
+    """The whole report of each trace (also columns service, operation, detail, http_status): analyse_traces, the call chain and
+    services in order, the root failure, how failures spread, silent corruptions, the critical path by name, and what to fix.
+    Spans are gathered by trace once more, as the report holds each of them."""
+    call = F.struct("span_id", "service", "operation", "duration_ms", "status", "http_status", "detail", is_silent(F.col("status"), F.col("detail")).alias("silent"))
+    calls = spans.groupBy(trace).agg(F.sort_array(F.collect_list(call)).alias("call_chain"))
+    out = analyse_traces(spans, trace).join(calls, trace)
+    out = out.withColumnRenamed("root_failure", "_root_id")
+    of = F.map_from_entries(F.transform("call_chain", lambda c: F.struct(c["span_id"], c)))
+    found = lambda c: F.transform(c, lambda i: F.try_element_at(F.col("_of"), i))
+    out = out.withColumn("_of", of).withColumn("_root", F.try_element_at("_of", "_root_id")).withColumn("_chain", found("failure_path"))
+    named = lambda c: F.struct(c["service"].alias("service"), c["operation"].alias("operation"))
+    problem = F.when(F.col("_root").isNotNull(), F.struct(F.col("_root.service").alias("service"), F.col("_root.operation").alias("operation"), F.coalesce("_root.detail", F.lit("error")).alias("what_to_fix")))
+    return out.select(
+        trace, F.col("root_ms").alias("total_ms"), F.size("call_chain").alias("n_spans"), "n_failed", "n_cascaded", F.array_distinct(F.transform("call_chain", lambda c: c["service"])).alias("services"), "call_chain",
+        F.when(F.col("_root").isNotNull(), F.struct(named(F.col("_root")).alias("at"), F.col("_root.detail").alias("error"))).alias("root_failure"),
+        F.transform("_chain", lambda c, k: F.struct((k + 1).alias("step"), c["service"].alias("service"), F.when(c["span_id"] == F.col("_root_id"), "root").otherwise("cascaded").alias("type"), F.concat(c["operation"], F.lit(" → "), F.coalesce(c["detail"], c["status"])).alias("description"))).alias("failure_propagation"),
+        F.transform(F.filter("call_chain", lambda c: c["silent"]), lambda c: F.struct(c["service"].alias("service"), c["operation"].alias("operation"), c["detail"].alias("description"))).alias("silent_corruptions"),
+        F.transform(found("critical_path"), lambda c: F.concat(c["service"], F.lit("/"), c["operation"], F.lit(" ("), c["duration_ms"].cast("string"), F.lit("ms)"))).alias("critical_path"),
+        F.array_compact(F.array(problem)).alias("fix_targets"),
+    )
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """The entries of the matrix A[i, j] = weight(j -> i) / sum of j's weights, as rows (i, j, to, from, share): services are
+    numbered in order of their names, and entries without an edge, which are 0, have no row.  A source whose weights sum to 0
+    is divided by 1."""
+    names = edges.select(F.col("src").alias("service")).union(edges.select("dst")).distinct()
+    numbered = names.withColumn("no", F.row_number().over(Window.orderBy("service")) - 1)  # one row for each service
+    total = edges.groupBy("src").agg(F.sum("weight").alias("_total"))
+    out = edges.join(total, "src").join(numbered.select(F.col("service").alias("src"), F.col("no").alias("j")), "src").join(numbered.select(F.col("service").alias("dst"), F.col("no").alias("i")), "dst")
+    return out.select("i", "j", F.col("dst").alias("to"), F.col("src").alias("from"), (F.col("weight") / F.when(F.col("_total") == 0, 1.0).otherwise(F.col("_total"))).alias("share"))
 
 
 def latency_breakdown(spans: DataFrame, trace: str) -> DataFrame:

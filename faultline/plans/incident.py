@@ -313,12 +313,14 @@ w AS (SELECT trace_id, span_id, duration_ms AS total, lpad(CAST(span_id AS VARCH
 leaf AS (SELECT w.* FROM w WHERE span_id NOT IN (SELECT parent_id FROM p WHERE parent_id IS NOT NULL)), best AS (SELECT trace_id, max(total) AS critical_ms FROM leaf GROUP BY trace_id),
 path AS (SELECT l.trace_id, min_by(array_to_string(l.path, ','), l.pre) AS critical_path FROM leaf l JOIN best b ON b.trace_id = l.trace_id AND b.critical_ms = l.total GROUP BY l.trace_id),
 rf AS (SELECT w.trace_id, min_by(w.span_id, w.pre) AS root_failure FROM w JOIN p USING (trace_id, span_id) WHERE p.status = 'error' AND w.span_id NOT IN (SELECT parent_id FROM p WHERE parent_id IS NOT NULL AND status = 'error') GROUP BY w.trace_id),
+bk AS (SELECT p.trace_id, p.parent_id, min(p.span_id) AS kid FROM p WHERE p.status = 'error' GROUP BY ALL), ch AS (SELECT w.trace_id, min_by(w.span_id, w.pre) AS span_id, 0 AS step FROM w JOIN p USING (trace_id, span_id) WHERE p.status = 'error' GROUP BY w.trace_id UNION ALL SELECT ch.trace_id, bk.kid, ch.step + 1 FROM ch JOIN bk ON bk.trace_id = ch.trace_id AND bk.parent_id = ch.span_id),
+fp AS (SELECT trace_id, string_agg(span_id, ',' ORDER BY step) AS failure_path FROM ch GROUP BY trace_id),
 f AS (SELECT trace_id, count(*) FILTER (status = 'error') AS n_failed, min_by(duration_ms, k) AS root_ms FROM x GROUP BY trace_id)
-SELECT f.trace_id, critical_path, CAST(critical_ms AS BIGINT) AS critical_ms, root_failure, n_failed, greatest(0, n_failed - CASE WHEN root_failure IS NULL THEN 0 ELSE 1 END) AS n_cascaded, root_ms FROM f JOIN best USING (trace_id) JOIN path USING (trace_id) LEFT JOIN rf USING (trace_id)""")
+SELECT f.trace_id, coalesce(failure_path, '') AS failure_path, critical_path, CAST(critical_ms AS BIGINT) AS critical_ms, root_failure, n_failed, greatest(0, n_failed - CASE WHEN root_failure IS NULL THEN 0 ELSE 1 END) AS n_cascaded, root_ms FROM f JOIN best USING (trace_id) JOIN path USING (trace_id) LEFT JOIN rf USING (trace_id) LEFT JOIN fp USING (trace_id)""")
 def trace_report(t: Tables) -> DataFrame:
-    """Critical path, root failure and counts of each trace."""
+    """Critical path, root failure, first chain of failures and counts of each trace."""
     out = graph.analyse_traces(span_rows(t), "trace_id")
-    return out.select("trace_id", F.array_join(F.col("critical_path").cast("array<string>"), ",").alias("critical_path"), "critical_ms", "root_failure", "n_failed", "n_cascaded", "root_ms")
+    return out.select("trace_id", F.array_join(F.col("failure_path").cast("array<string>"), ",").alias("failure_path"), F.array_join(F.col("critical_path").cast("array<string>"), ",").alias("critical_path"), "critical_ms", "root_failure", "n_failed", "n_cascaded", "root_ms")
 
 
 @query(f"""WITH {SPANS}, r AS (SELECT trace_id, min_by(duration_ms, k) AS root_ms FROM x GROUP BY trace_id), b AS (SELECT trace_id, service, CAST(sum(duration_ms) AS BIGINT) AS ms, count(*) AS n_spans FROM x GROUP BY ALL)
@@ -383,10 +385,16 @@ def blast_radius(t: Tables) -> DataFrame:
     return graph.blast_radius(edges, "c0")
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT o_custkey % 40 AS a, CASE WHEN o_orderkey % 5 = 0 AND o_custkey % 4 = 0 THEN (o_custkey % 40 + 2) % 40 ELSE o_custkey % 40 // 3 END AS b FROM orders), e AS (SELECT a, b FROM p WHERE a <> b UNION SELECT b, a FROM p WHERE a <> b), n AS (SELECT DISTINCT a AS v FROM e),
+r AS (SELECT n.v AS gone, min(o.v) AS v FROM n JOIN n o ON o.v <> n.v GROUP BY n.v UNION SELECT r.gone, e.b FROM r JOIN e ON e.a = r.v WHERE e.b <> r.gone)
+SELECT 'c' || gone AS service FROM r GROUP BY gone HAVING count(*) < (SELECT count(*) - 1 FROM n)""")
 def articulation_points(t: Tables) -> DataFrame:
-    e = t.orders.groupBy((F.col("o_custkey") % 40).alias("a"), (F.col("o_custkey") % 40 + 1 + F.col("o_orderkey") % 2 * 0).alias("b")).agg(F.min("o_orderkey").alias("ord"))
-    return graph.articulation_points(e.select(F.concat(F.lit("c"), F.col("a").cast("string")).alias("src"), F.concat(F.lit("c"), F.col("b").cast("string")).alias("dst"), "ord"))
+    """Services whose loss parts the graph: a tree with some cross edges, each edge in both directions."""
+    a, o = F.col("o_custkey") % 40, F.col("o_orderkey")
+    b = F.when((o % 5 == 0) & (F.col("o_custkey") % 4 == 0), (a + 2) % 40).otherwise(F.floor(a / 3))
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    e = t.orders.select(name(a).alias("src"), name(b).alias("dst"), o.alias("ord")).filter("src <> dst")
+    return graph.articulation_points(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "ord")))
 
 
 #: Radius of a cluster of alerts, where the largest distance is 0.55.

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import faultline.plans.contracts
+import faultline.plans.reports
 import faultline.plans.sequences
 import faultline.plans.signals
 import faultline.plans.stores
