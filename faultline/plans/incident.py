@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from ..operators import clusters, graph, logs, models, ranking, records, retrieval, timeseries
+from ..sources import stores
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -240,20 +241,25 @@ def sanitize_text(t: Tables) -> DataFrame:
     return own.unionByName(more).select("id", F.sha2(text.sanitise(F.col("text")), 256).alias("clean_sha256"))
 
 
-LINE = f"""CASE event_id % 5 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ERROR POST /api/' || event_type || ' failed with HTTP 400 KeyError: ''user_id'' in ' || (user_id % 300) || ' ms'
-WHEN 1 THEN '  at Handler.run NullPointerException {{"userId": ' || user_id || '}}' WHEN 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') || ' WARN Connection timed out after ' || (user_id % 900) || ' ms'
-WHEN 3 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') || ' INFO GET /health 200 total $' || (user_id % 90) || '.50' ELSE '  {{"user_id": ' || user_id || ', "k": "x"}}' END"""
+STAMP = "strftime(ts, '%Y-%m-%d %H:%M:%S')"
+LINE = f"""CASE event_id % 10 WHEN 0 THEN {STAMP} || ' ERROR POST /api/' || event_type || ' failed with HTTP 400 KeyError: ''user_id'' in ' || (user_id % 300) || ' ms'
+WHEN 1 THEN '  at Handler.run NullPointerException {{"userId": ' || user_id || '}}' WHEN 2 THEN {STAMP} || ' WARN Connection timed out after ' || (user_id % 900) || ' ms'
+WHEN 3 THEN {STAMP} || ' INFO GET /health 200 total $' || (user_id % 90) || '.50' WHEN 4 THEN '  {{"user_id": ' || user_id || ', "k": "x"}}'
+WHEN 5 THEN {STAMP} || ' ERROR ClassCastException: cannot cast ' || event_type || ' at item ' || user_id WHEN 6 THEN {STAMP} || ' DEBUG total stored 99 expected 99.' || (10 + user_id % 80)
+WHEN 7 THEN {STAMP} || ' WARN reserve: stock >= quantity, missing field: sku' || (user_id % 3) WHEN 8 THEN {STAMP} || ' FATAL coupon "PERCENT" HTTP 422' ELSE {STAMP} || ' INFO tax rate 0.1' || (10 + user_id % 80) || ' used' END"""
 
 
 def log_lines(t: Tables) -> DataFrame:
     """Log lines made from events: service, no, line."""
     stamp, u = F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("user_id")
     s = lambda c: c.cast("string")
-    kind = F.col("event_id") % 5
+    kind = F.col("event_id") % 10
     line = (
         F.when(kind == 0, F.concat(stamp, F.lit(" ERROR POST /api/"), "event_type", F.lit(" failed with HTTP 400 KeyError: 'user_id' in "), s(u % 300), F.lit(" ms")))
         .when(kind == 1, F.concat(F.lit('  at Handler.run NullPointerException {"userId": '), s(u), F.lit("}"))).when(kind == 2, F.concat(stamp, F.lit(" WARN Connection timed out after "), s(u % 900), F.lit(" ms")))
-        .when(kind == 3, F.concat(stamp, F.lit(" INFO GET /health 200 total $"), s(u % 90), F.lit(".50"))).otherwise(F.concat(F.lit('  {"user_id": '), s(u), F.lit(', "k": "x"}')))
+        .when(kind == 3, F.concat(stamp, F.lit(" INFO GET /health 200 total $"), s(u % 90), F.lit(".50"))).when(kind == 4, F.concat(F.lit('  {"user_id": '), s(u), F.lit(', "k": "x"}')))
+        .when(kind == 5, F.concat(stamp, F.lit(" ERROR ClassCastException: cannot cast "), "event_type", F.lit(" at item "), s(u))).when(kind == 6, F.concat(stamp, F.lit(" DEBUG total stored 99 expected 99."), s(u % 80 + 10)))
+        .when(kind == 7, F.concat(stamp, F.lit(" WARN reserve: stock >= quantity, missing field: sku"), s(u % 3))).when(kind == 8, F.concat(stamp, F.lit(' FATAL coupon "PERCENT" HTTP 422'))).otherwise(F.concat(stamp, F.lit(" INFO tax rate 0.1"), s(u % 80 + 10), F.lit(" used")))
     )
     return t.events.select(F.concat(F.lit("svc"), s(u % 8)).alias("service"), F.col("event_id").alias("no"), line.alias("line"))
 
@@ -268,17 +274,22 @@ def log_blocks(t: Tables) -> DataFrame:
     return logs.blocks(log_lines(t), ["service"], "no", "line").select("service", "block", F.sha2("raw", 256).alias("raw_sha256"), "n_lines")
 
 
-PARSED = r"""p AS (SELECT *, nullif(upper(regexp_extract(raw, '(?i)\b(ERROR|WARN(?:ING)?|INFO|DEBUG|FATAL|CRITICAL|TRACE)\b', 1)), '') AS level, CAST(regexp_extract_all(raw, '\b([1-5]\d{2})\b', 1)[-1] AS INT) AS status,
-CASE WHEN regexp_matches(raw, '(?i)KeyError|missing\s+(?:required\s+)?field|MissingField') THEN 'field_mismatch' WHEN regexp_matches(raw, '(?i)HTTP\s+400') THEN 'field_mismatch'
-WHEN regexp_matches(raw, '(?i)NullPointerException') THEN 'null_error' WHEN regexp_matches(raw, '(?i)Connection\s+(?:refused|timed?\s+out)|timeout') THEN 'connectivity' END AS anomaly_type FROM b)"""
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''").replace("(?!AGE)", "") + "'"  # a quote follows, so the look-ahead says nothing
 
 
-@query(f"WITH {BLOCKS}, {PARSED}" + r""" SELECT service, block, level, status, nullif(regexp_extract(raw, '\b(GET|POST)\b', 1), '') AS method, nullif(regexp_extract(raw, '(/[a-zA-Z0-9/_-]+)', 1), '') AS url, anomaly_type,
+PARSED = rf"""p0 AS (SELECT *, nullif(upper(regexp_extract(raw, {_quoted(logs.LEVEL)}, 1)), '') AS level, CAST(regexp_extract_all(raw, {_quoted(logs.STATUS)}, 1)[-1] AS INT) AS status,
+list_sort(list_distinct(list_concat(regexp_extract_all(raw, {_quoted(logs.MISSING)}, 1), regexp_extract_all(raw, {_quoted(logs.KEY_ERROR)}, 1)))) AS missing, regexp_extract_all(raw, {_quoted(logs.EXCEPTION)}, 1)[1] AS exception,
+CASE {' '.join(f"WHEN regexp_matches(raw, {_quoted(p)}) THEN '{name}'" for p, name, _ in logs.CLASSES)} END AS anomaly_type, CASE {' '.join(f"WHEN regexp_matches(raw, {_quoted(p)}) THEN '{level}'" for p, _, level in logs.CLASSES)} END AS severity FROM b),
+p AS (SELECT *, coalesce(nullif(concat_ws(' | ', CASE WHEN len(missing) > 0 THEN 'Missing fields: ' || array_to_string(missing, ', ') END, 'Exception: ' || exception, CASE WHEN status >= 400 THEN 'HTTP ' || status END), ''), substr(raw, 1, 120)) AS description FROM p0)"""
+
+
+@query(f"WITH {BLOCKS}, {PARSED}" + r""" SELECT service, block, level, status, nullif(regexp_extract(raw, '\b(GET|POST)\b', 1), '') AS method, nullif(regexp_extract(raw, '(/[a-zA-Z0-9/_-]+)', 1), '') AS url, anomaly_type, severity, description,
 coalesce(list_sum(list_transform(regexp_extract_all(raw, '(\d+)\s*ms\b', 1), lambda x: CAST(x AS BIGINT))), 0)::BIGINT AS ms, coalesce(list_sum(list_transform(regexp_extract_all(raw, '\$?(\d+\.\d{2})\b', 1), lambda x: CAST(x AS DOUBLE))), 0)::DOUBLE AS amount FROM p""")
 def log_parse(t: Tables) -> DataFrame:
     p = logs.parsed(logs.blocks(log_lines(t), ["service"], "no", "line"))
     total = lambda c, zero: F.aggregate(c, zero, lambda a, x: a + x)
-    return p.select("service", "block", "level", "status", "method", "url", "anomaly_type", total("latencies", F.lit(0).cast("long")).alias("ms"), total("amounts", F.lit(0.0)).alias("amount"))
+    return p.select("service", "block", "level", "status", "method", "url", "anomaly_type", F.col("anomaly_severity").alias("severity"), "description", total("latencies", F.lit(0).cast("long")).alias("ms"), total("amounts", F.lit(0.0)).alias("amount"))
 
 
 @query(f"""WITH {BLOCKS}, {PARSED} SELECT service, count(*) AS n_entries, count(*) FILTER (level = 'ERROR') AS n_errors, count(*) FILTER (level IN ('WARN', 'WARNING')) AS n_warnings,
@@ -287,7 +298,7 @@ def log_totals(t: Tables) -> DataFrame:
     return logs.totals(logs.parsed(logs.blocks(log_lines(t), ["service"], "no", "line")), ["service"])
 
 
-@query(f"""WITH {BLOCKS}, m2 AS (SELECT DISTINCT service AS r, unnest(regexp_extract_all(raw, 'KeyError:\\s*''([^'']+)''', 1)) AS f FROM b), s2 AS (SELECT DISTINCT service AS s, unnest(regexp_extract_all(raw, '"([a-zA-Z_][a-zA-Z0-9_]*)":', 1)) AS x FROM b),
+@query(f"""WITH {BLOCKS}, m2 AS (SELECT DISTINCT service AS r, unnest(list_concat(regexp_extract_all(raw, {_quoted(logs.KEY_ERROR)}, 1), regexp_extract_all(raw, {_quoted(logs.MISSING)}, 1))) AS f FROM b), s2 AS (SELECT DISTINCT service AS s, unnest(regexp_extract_all(raw, '"([a-zA-Z_][a-zA-Z0-9_]*)":', 1)) AS x FROM b),
 v AS (SELECT r, s, f, x, 'exact' AS kind, 0.95::DOUBLE AS confidence FROM m2 JOIN s2 ON f = x UNION ALL SELECT r, s, f, x, 'case', 0.97::DOUBLE FROM m2 JOIN s2 ON f = 'user_id' AND x = 'userId')
 SELECT f AS field, x AS sent, kind, confidence, array_to_string(list_sort(list(DISTINCT r)), ',') AS receivers, array_to_string(list_sort(list(DISTINCT s)), ',') AS senders FROM v GROUP BY f, x, kind, confidence""")
 def contract_violations(t: Tables) -> DataFrame:
@@ -514,8 +525,9 @@ def health_check(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-29 00:00:00'")
 def health_recent(t: Tables) -> DataFrame:
-    """Events of the two days before a given time; the filter reaches the scan."""
-    return t.events.filter(F.expr("ts >= TIMESTAMP_NTZ '2024-01-31 00:00:00' - INTERVAL 2 DAYS")).select("event_id", "event_type")
+    """Events of the two days before a given time, as the store reads them."""
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    return stores.recent(t.events, "ts", now, 2 * 86400).select("event_id", "event_type")
 
 
 @query("""SELECT o_orderkey, round(floor(greatest(0, CASE WHEN o_orderkey % 2 = 0 THEN u * 0.85 ELSE u - 50 END) * 100 + 0.5) / 100, 2) AS total, CASE WHEN o_orderkey % 2 = 0 THEN u >= 1000 ELSE u >= 1000 AND 50 < u END AS coupon_ok
@@ -566,12 +578,14 @@ def windows_session(t: Tables) -> DataFrame:
 
 
 @query(r"""SELECT event_id, regexp_full_match('p-' || user_id || CASE WHEN event_id % 9 = 0 THEN '!' ELSE '' END, '[a-zA-Z0-9\-]{1,50}') AS product_ok, CAST(value AS INT) BETWEEN 1 AND 10000 AS quantity_ok,
-CAST(CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS INT) AS n_errors FROM events""")
+concat_ws('; ', CASE WHEN event_id % 5 = 0 THEN 'orderId must have 1 to 50 characters' END, CASE WHEN event_id % 7 = 0 THEN 'a valid email is required' END, CASE WHEN event_id % 11 = 0 THEN 'message is longer than 5000 characters' END, CASE WHEN event_id % 13 = 0 THEN 'unknown type' END) AS errors FROM events""")
 def validators(t: Tables) -> DataFrame:
+    """Whether products and quantities are valid, and what is wrong with notifications."""
     e = F.col("event_id")
-    errors = records.notification_errors(F.when(e % 5 == 0, "").otherwise(e.cast("string")), F.when(e % 7 == 0, "no mail").otherwise("a@b.cd"), F.lit("hi"), F.lit("general"))
+    message = F.when(e % 11 == 0, F.repeat(F.lit("x"), 5001)).otherwise("hi")
+    errors = records.notification_errors(F.when(e % 5 == 0, "").otherwise(e.cast("string")), F.when(e % 7 == 0, "no mail").otherwise("a@b.cd"), message, F.when(e % 13 == 0, "letter").otherwise("general"))
     product = F.concat(F.lit("p-"), F.col("user_id").cast("string"), F.when(e % 9 == 0, "!").otherwise(""))
-    return t.events.select("event_id", records.valid_product(product).alias("product_ok"), records.valid_quantity(F.round("value").cast("int")).alias("quantity_ok"), F.size(errors).alias("n_errors"))
+    return t.events.select("event_id", records.valid_product(product).alias("product_ok"), records.valid_quantity(F.round("value").cast("int")).alias("quantity_ok"), F.array_join(errors, "; ").alias("errors"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE 'svc' END AS service, CASE event_type WHEN 'error' THEN 'http_error' WHEN 'click' THEN 'timeout' WHEN 'view' THEN 'latency' WHEN 'signup' THEN 'resource' ELSE 'unknown' END AS anomaly_type,

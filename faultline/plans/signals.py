@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics, tables, text
 from ..functions.scores import beta_interval
 from ..operators import evidence, graph, traces
-from .incident import Tables, query, r6, span_rows
+from .incident import Tables, _scrub_sql, query, r6, span_rows
 
 
 def s(c):
@@ -179,3 +179,13 @@ def posterior_intervals(t: Tables) -> DataFrame:
     return rows.select("case_id", r6(low).alias("low"), r6(high).alias("high"))
 
 
+
+
+@query(_scrub_sql("SELECT doc_id, sha256(t) AS scrubbed_sha256, " + ", ".join(f"n_{k}" for k, _, _ in text.SCRUB) + " FROM {last}"))
+def scrub_documents(t: Tables) -> DataFrame:
+    """Every document's text inside a nested JSON document that is scrubbed: the digest of what is then in its place."""
+    logs = F.array(F.struct(F.coalesce("text", F.lit("")).alias("message"), F.lit("INFO").alias("level")))
+    rows = t.documents.select("doc_id", F.to_json(F.struct("doc_id", F.struct(F.lit(1).alias("a@b.cc"), logs.alias("logs")).alias("inner"))).alias("raw"))
+    out = text.scrub_json(rows, "raw", "clean")
+    message = F.from_json("clean", "inner struct<logs: array<struct<message: string>>>")["inner"]["logs"][0]["message"]
+    return out.select("doc_id", F.sha2(message, 256).alias("scrubbed_sha256"), *[f"n_{k}" for k, _, _ in text.SCRUB])
