@@ -172,23 +172,24 @@ def with_spans(df: DataFrame, text: str = "text", out: str = "spans") -> DataFra
     secret = (t.contains("=") | t.contains(":")) & t.rlike(ASSIGNED)
     for form in SECRET:
         secret = secret | t.contains(form)
+    # a level of columns at a time, as each level is analysed anew
+    matches = {}
     for kind, (pattern, needed) in PATTERNS.items():
         able = secret if kind == "secret" else (digit & t.contains(needed)) if needed and kind != "email" else t.contains(needed) if needed else digit
         able = able & t.rlike(LEAST_OF[kind]) if kind in LEAST_OF else able
-        df = df.withColumn(f"{own}m_{kind}", F.when(able, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none))
+        matches[f"{own}m_{kind}"] = F.when(able, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none)
+    placed = {f"{own}pieces": _pieces(t)}
     for kind, (pattern, _) in PATTERNS.items():
         m = F.col(f"{own}m_{kind}")
-        df = df.withColumn(f"{own}p_{kind}", F.when(F.size(m) > 0, _place(t, m, pattern)).otherwise(F.array().cast("array<struct<start:bigint,text:string>>")))
-    df = df.withColumn(f"{own}pieces", _pieces(t))
-    whole, found = F.col(f"{own}pieces"), []
+        placed[f"{own}p_{kind}"] = F.when(F.size(m) > 0, _place(t, m, pattern)).otherwise(F.array().cast("array<struct<start:bigint,text:string>>"))
+    whole, found, some = F.col(f"{own}pieces"), [], F.lit(False)
     for kind in (*BASE, "card_short", "iban", "ssn", "secret"):
         source = F.col(f"{own}p_" + ("card" if kind == "card_short" else kind))
         spans = F.transform(F.filter(source, lambda m: _confirmed(kind, whole, m)), lambda m: _scored(kind, whole, m))
         found.append(spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= LEAST))
-    some = F.lit(False)
     for kind in PATTERNS:
         some = some | (F.size(f"{own}p_{kind}") > 0)
-    df = df.withColumn(out, F.when(some, F.concat(*found)).otherwise(F.array().cast(SPAN)))
+    df = df.withColumns(matches).withColumns(placed).withColumn(out, F.when(some, F.concat(*found)).otherwise(F.array().cast(SPAN)))
     return df.drop(f"{own}pieces", *[f"{own}{x}_{kind}" for kind in PATTERNS for x in "mp"])
 
 
