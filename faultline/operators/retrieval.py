@@ -23,8 +23,7 @@ MOST_ASKED = 5_000
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, key: str, query_key: str, text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_key, key, score, found (the shared words) of every document that shares a word with a query; a query's repeated
-    words count once.
+    """query_key, key, score of every document that shares a word with a query; a query's repeated words count once.
 
     The documents are cut once: what is written and read again is each one's length and those of its words that some query
     asks for, which the words' set picks out in the scan.  With more distinct words than `MOST_ASKED` a join does that.
@@ -43,7 +42,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str, query_key: str, t
     weighed = used.join(df, "term").crossJoin(F.broadcast(stats))  # one row
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     part = weighed.select(key, "term", (bm25_idf(F.col("n_docs"), F.col("df")) * tf).alias("part"))
-    return part.join(terms, "term").groupBy(query_key, key).agg(F.sum("part").alias("score"), F.array_sort(F.collect_set("term")).alias("found"))
+    return part.join(terms, "term").groupBy(query_key, key).agg(F.sum("part").alias("score"))
 
 
 def matching_terms(terms: Column, found: Column) -> Column:
@@ -58,21 +57,38 @@ def top_k(scores: DataFrame, docs: DataFrame, queries: DataFrame, key: str, quer
     w = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), key)
     best = kept(scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank"))
     none = queries.select(query_key).crossJoin(F.broadcast(docs.select(key).orderBy(key).limit(2 * k)))
-    zeros = none.join(best.select(query_key, key), [query_key, key], "left_anti").withColumn("score", F.lit(0.0)).withColumn("found", F.array().cast("array<string>"))
+    zeros = none.join(best.select(query_key, key), [query_key, key], "left_anti").withColumn("score", F.lit(0.0))
     every = best.unionByName(zeros).filter(F.col("score") >= least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    asked = queries.select(query_key, bm25_tokens(F.col(text)).alias("_asked"))
-    return every.join(asked, query_key).withColumn("terms", matching_terms(F.col("_asked"), F.col("found"))).drop("_asked", "found")
+    # words are looked up in the few documents that are left, each cut once
+    every = kept(every)
+    words = _of_few(every, docs.select(key, F.col(text).alias("_text")), key).select(key, bm25_tokens(F.col("_text")).alias("_t"))
+    out = every.join(queries.select(query_key, bm25_tokens(F.col(text)).alias("_asked")), query_key).join(words, key)
+    return out.withColumn("terms", matching_terms(F.col("_asked"), F.array_intersect("_asked", "_t"))).drop("_asked", "_t")
+
+
+#: Most keys that are broadcast to a scan of documents.
+MOST_KEYS = 200_000
+
+
+def _of_few(chosen: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """The documents whose key is among the chosen rows, which are broadcast if they are few enough."""
+    keys = chosen.select(key).distinct()
+    return docs.join(F.broadcast(keys) if chosen.count() <= MOST_KEYS else keys, key, "left_semi")
 
 
 def best_of_queries(scores: DataFrame, key: str) -> DataFrame:
-    """The greatest score of each document over all queries, and the sorted union of the words that it shares with any."""
-    return scores.groupBy(key).agg(F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("found")))).alias("terms"))
+    """The greatest score of each document over all queries."""
+    return scores.groupBy(key).agg(F.max("score").alias("score"))
 
 
-def best_documents(merged: DataFrame, key: str, k: int = 5) -> DataFrame:
-    """The k best of best_of_queries, with `rank`; ties go in key order."""
-    first = merged.orderBy(F.desc(F.round("score", 9)), key).limit(k)
-    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), key)))  # k rows
+def best_documents(merged: DataFrame, docs: DataFrame, queries: DataFrame, key: str, k: int = 5, text: str = "text") -> DataFrame:
+    """The k best of best_of_queries, with `rank` and the sorted words that each shares with any query; ties go in key order."""
+    order = [F.desc(F.round("score", 9)), key]
+    first = kept(merged.orderBy(*order).limit(k))
+    words = _of_few(first, docs.select(key, F.col(text).alias("_text")), key).select(key, F.explode(F.array_distinct(bm25_tokens(F.col("_text")))).alias("term"))
+    asked = queries.select(F.explode(bm25_tokens(F.col(text))).alias("term")).distinct()
+    terms = words.join(asked, "term", "left_semi").groupBy(key).agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(*order))).join(terms, key, "left")  # k rows
 
 
 def best_of_searches(found: DataFrame, key: str, query_key: str, score: str, k: int = 5) -> DataFrame:
@@ -86,8 +102,8 @@ def best_of_searches(found: DataFrame, key: str, query_key: str, score: str, k:
 
 
 def tfidf_cosine(docs: DataFrame, queries: DataFrame, key: str, query_key: str, text: str = "text", least: float = 0.05) -> DataFrame:
-    """query_key, key, cosine of weights tf * idf, share (percent of the query's distinct words that the document has) and
-    terms (those words, sorted), of pairs with a cosine of at least `least`; nothing is rounded.
+    """query_key, key, cosine of weights tf * idf and share (percent of the query's distinct words that the document has) of
+    pairs with a cosine of at least `least`; nothing is rounded.
 
     Postings are made once and written, as the counts, the norms and the products all read them."""
     own = kept(postings(docs, key, text, ascii_tokens))
@@ -101,17 +117,20 @@ def tfidf_cosine(docs: DataFrame, queries: DataFrame, key: str, query_key: str,
     size = asked.groupBy(query_key).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"), F.count("*").alias("n_terms"))
     # the queries' words carry their counts, so the products need no weights of other words
     hit = own.join(asked, "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") / F.col("len") * tfidf_idf(F.col("n_docs"), F.col("df")))
-    dots = hit.groupBy(query_key, key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.count("*").alias("shared"), F.array_sort(F.collect_list("term")).alias("terms"))
+    dots = hit.groupBy(query_key, key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.count("*").alias("shared"))
     out = dots.join(norm, key).join(size, query_key).withColumn("cosine", F.when((F.col("norm") > 0) & (F.col("qnorm") > 0), F.col("dot") / (F.col("norm") * F.col("qnorm"))).otherwise(0.0))
-    return out.filter(F.col("cosine") >= least).select(query_key, key, "cosine", (100.0 * F.col("shared") / F.col("n_terms")).alias("share"), "terms")
+    return out.filter(F.col("cosine") >= least).select(query_key, key, "cosine", (100.0 * F.col("shared") / F.col("n_terms")).alias("share"))
 
 
-def tfidf_top(found: DataFrame, key: str, query_key: str, k: int = 5) -> DataFrame:
-    """rank, score (4 digits), overlap (percent, 1 digit) and terms of each query's k best pairs of tfidf_cosine, by the
-    rounded score; halves are rounded to the even digit, ties go in key order."""
-    rounded = found.select(query_key, key, F.bround("cosine", 4).alias("score"), F.bround("share", 1).alias("overlap"), "terms")
+def tfidf_top(found: DataFrame, docs: DataFrame, queries: DataFrame, key: str, query_key: str, k: int = 5, text: str = "text") -> DataFrame:
+    """rank, score (4 digits), overlap (percent, 1 digit) and terms (the shared words, sorted) of each query's k best pairs of
+    tfidf_cosine, by the rounded score; halves are rounded to the even digit, ties go in key order."""
+    rounded = found.select(query_key, key, F.bround("cosine", 4).alias("score"), F.bround("share", 1).alias("overlap"))
     w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return rounded.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    first = kept(rounded.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
+    words = _of_few(first, docs.select(key, F.col(text).alias("_text")), key).select(key, ascii_tokens(F.col("_text")).alias("_t"))
+    both = first.join(queries.select(query_key, ascii_tokens(F.col(text)).alias("_asked")), query_key).join(words, key)
+    return both.withColumn("terms", F.array_sort(F.array_intersect("_asked", "_t"))).drop("_asked", "_t")
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, key: str, query_key: str, text: str = "text", k: int = 5, least: float = 0.0, k1: float = 1.5, b: float = 0.75) -> DataFrame:

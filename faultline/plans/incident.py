@@ -164,8 +164,9 @@ def bm25_multi(t: Tables) -> DataFrame:
 SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank, round(score, 6) AS score, terms FROM m JOIN w USING (doc_id) QUALIFY rank <= 5""")
 def bm25_multi_top(t: Tables) -> DataFrame:
     """The five best documents over all benchmark items, with every word that they share with any of them."""
-    merged = retrieval.best_of_queries(retrieval.bm25_scores(t.documents.select("doc_id", "text"), _queries(t), "doc_id", "item_id"), "doc_id")
-    return retrieval.best_documents(merged, "doc_id").select("doc_id", F.col("rank").cast("long").alias("rank"), r6(F.col("score")).alias("score"), F.array_join("terms", " ").alias("terms"))
+    docs, q = t.documents.select("doc_id", "text"), _queries(t)
+    merged = retrieval.best_of_queries(retrieval.bm25_scores(docs, q, "doc_id", "item_id"), "doc_id")
+    return retrieval.best_documents(merged, docs, q, "doc_id").select("doc_id", F.col("rank").cast("long").alias("rank"), r6(F.col("score")).alias("score"), F.array_join("terms", " ").alias("terms"))
 
 
 _ASCII = lambda c: f"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ({STOPS}))"
@@ -190,8 +191,8 @@ def tfidf_search(t: Tables) -> DataFrame:
 SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM o QUALIFY rank <= 5""")
 def tfidf_top(t: Tables) -> DataFrame:
     """The five most similar documents of each benchmark item, by the rounded cosine."""
-    found = retrieval.tfidf_cosine(t.documents.select("doc_id", "text"), _queries(t), "doc_id", "item_id")
-    out = retrieval.tfidf_top(found, "doc_id", "item_id")
+    docs, q = t.documents.select("doc_id", "text"), _queries(t)
+    out = retrieval.tfidf_top(retrieval.tfidf_cosine(docs, q, "doc_id", "item_id"), docs, q, "doc_id", "item_id")
     return out.select("item_id", "doc_id", "score", "overlap", F.array_join("terms", " ").alias("terms"), F.col("rank").cast("long").alias("rank"))
 
 
