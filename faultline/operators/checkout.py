@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import half_up
+from ..session import kept
 from . import records
 
 REASONS = ("Quantity must be positive", "SKU required", "Insufficient inventory for SKU: ", "Payment failed: ")
@@ -29,13 +30,29 @@ def priced(requests: DataFrame, coupons: DataFrame) -> DataFrame:
     return joined.withColumns({"discounted": valid, "total": half_up(total / rate)}).drop("_code", "kind", "value", "minimum", "active")
 
 
+def linked_skus(requests: DataFrame) -> DataFrame:
+    """sku, group: of the SKUs that requests with one key name, the least that is linked through any number of keys.  SKUs
+    whose keys are their own are not among them."""
+    shared = requests.filter("idempotency_key is not null").select("idempotency_key", "sku").distinct()
+    many = shared.groupBy("idempotency_key").agg(F.count("*").alias("n")).filter("n > 1").select("idempotency_key")
+    shared = kept(shared.join(many, "idempotency_key", "left_semi"))
+    label = shared.select("sku", F.col("sku").alias("group")).distinct()
+    while True:
+        least = shared.join(label, "sku").groupBy("idempotency_key").agg(F.min("group").alias("_g"))
+        new = kept(shared.join(least, "idempotency_key").groupBy("sku").agg(F.min("_g").alias("group")))
+        settled = new.join(label.withColumnRenamed("group", "_old"), "sku").filter(F.col("group") != F.col("_old")).isEmpty()
+        label = new
+        if settled:
+            return label
+
+
 def checkout(requests: DataFrame, coupons: DataFrame, stock: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """Of each request (request_id, at, customer_id, sku, quantity, unit_price, currency, coupon_code, idempotency_key):
     status (confirmed, repeated, failed), reason, order_id and total.
 
     Requests of a SKU are taken in order of `at` and request_id.  One whose key an order has already, stored or confirmed
-    before in the same SKU, is repeated and gets that order; a reservation needs enough stock; a payment that fails gives
-    the stock back.  The state of a SKU is its stock and the keys that it confirmed.
+    before, is repeated and gets that order; a reservation needs enough stock; a payment that fails gives the stock back.
+    The state of a SKU is its stock and the keys that it confirmed; SKUs that share a key are worked off together.
     """
     rows = priced(requests, coupons).join(stock.select("sku", F.col("qty").alias("_stock")), "sku", "left")
     if orders is not None:
@@ -43,30 +60,33 @@ def checkout(requests: DataFrame, coupons: DataFrame, stock: DataFrame, orders:
         rows = rows.join(old, "idempotency_key", "left")
     else:
         rows = rows.withColumn("_old", F.lit(None).cast("struct<order_id:string,total:double>"))
+    links = linked_skus(rows.filter("_old is null and quantity > 0 and trim(sku) <> ''")).withColumnRenamed("group", "_group")
+    rows = rows.join(links, "sku", "left").withColumn("_group", F.coalesce("_group", "sku"))
     guard = F.when(~F.coalesce(F.col("quantity") > 0, F.lit(False)), REASONS[0]).when(F.coalesce(F.trim("sku"), F.lit("")) == "", REASONS[1])
-    rows = rows.select("request_id", "at", "customer_id", "sku", "quantity", "currency", "idempotency_key", guard.alias("_guard"), F.col("_old.order_id").alias("_order"), F.col("_old.total").alias("_total"), F.coalesce("_stock", F.lit(0)).cast("long").alias("_stock"), F.col("total").alias("_price"), charge(F.col("total")).alias("_paid"))
+    rows = rows.select("_group", "request_id", "at", "customer_id", "sku", "quantity", "currency", "idempotency_key", guard.alias("_guard"), F.col("_old.order_id").alias("_order"), F.col("_old.total").alias("_total"), F.coalesce("_stock", F.lit(0)).cast("long").alias("_stock"), F.col("total").alias("_price"), charge(F.col("total")).alias("_paid"))
     kinds = dict(rows.dtypes)
     keep = ["request_id", "at", "customer_id", "sku", "quantity", "currency", "idempotency_key"]
 
     def run(batches):
-        now, started, left, known = None, False, 0, {}
+        now, started, left, known = None, False, {}, {}
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                if not started or r["sku"] != now:
-                    now, started, left, known = r["sku"], True, r["_stock"], {}
+                if not started or r["_group"] != now:
+                    now, started, left, known = r["_group"], True, {}, {}
+                left.setdefault(r["sku"], r["_stock"])
                 key = r["idempotency_key"]
                 if r["_guard"]:
                     out.append(("failed", r["_guard"], None, None))
                 elif r["_order"] is not None or (key is not None and key in known):
                     order, total = (r["_order"], r["_total"]) if r["_order"] is not None else known[key]
                     out.append(("repeated", None, order, total))
-                elif left < r["quantity"]:
+                elif left[r["sku"]] < r["quantity"]:
                     out.append(("failed", REASONS[2] + r["sku"], None, None))
                 elif not r["_paid"]:
                     out.append(("failed", REASONS[3] + "negative amount", None, None))
                 else:
-                    left -= r["quantity"]
+                    left[r["sku"]] -= r["quantity"]
                     order = f"order-{r['request_id']}"
                     if key is not None:
                         known[key] = (order, r["_price"])
@@ -75,7 +95,7 @@ def checkout(requests: DataFrame, coupons: DataFrame, stock: DataFrame, orders:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(status, pa.string()), pa.array(reason, pa.string()), pa.array(order, pa.string()), pa.array(total, pa.float64())], [*keep, "status", "reason", "order_id", "total"])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", status string, reason string, order_id string, total double"
-    return rows.repartition(F.col("sku")).sortWithinPartitions("sku", "at", "request_id").mapInArrow(run, schema)
+    return rows.repartition(F.col("_group")).sortWithinPartitions("_group", "at", "request_id").mapInArrow(run, schema)
 
 
 def new_orders(results: DataFrame) -> DataFrame:

@@ -27,13 +27,18 @@ def replayed(rows: DataFrame, order: str, start: Callable, steps: int = 2) -> st
     if low is None:
         low = high = 0
     width = (high - low) // steps + 1
-    before = spark.conf.get(processors.STORE, None)
-    processors.with_rocks(spark)
-    for k in range(steps):
-        last = F.col(order) >= low + k * width if k == steps - 1 else F.col(order).between(low + k * width, low + (k + 1) * width - 1)
-        rows.filter(last).write.mode("append").parquet(source)
-        start(spark.readStream.schema(rows.schema).parquet(source), checkpoint).awaitTermination()
-    spark.conf.unset(processors.STORE) if before is None else spark.conf.set(processors.STORE, before)
+    # partitions of state stay for a query's life, so there are no more than the cores can work on in two turns
+    parts = "spark.sql.shuffle.partitions"
+    before = {c: spark.conf.get(c, None) for c in (processors.STORE, parts)}
+    processors.with_rocks(spark).conf.set(parts, str(min(int(spark.conf.get(parts)), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        for k in range(steps):
+            last = F.col(order) >= low + k * width if k == steps - 1 else F.col(order).between(low + k * width, low + (k + 1) * width - 1)
+            rows.filter(last).write.mode("append").parquet(source)
+            start(spark.readStream.schema(rows.schema).parquet(source), checkpoint).awaitTermination()
+    finally:
+        for c, value in before.items():
+            spark.conf.unset(c) if value is None else spark.conf.set(c, value)
     delete(spark, source)
     return checkpoint
 

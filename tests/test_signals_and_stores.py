@@ -96,9 +96,9 @@ def test_checkout_against_plain_python(spark):
             want = ("failed", "Quantity must be positive")
         elif not sku:
             want = ("failed", "SKU required")
-        elif key == "old" or (sku, key) in known and key is not None:
+        elif key == "old" or key in known and key is not None:
             want = ("repeated", None)
-            assert r.order_id == ("order-old" if key == "old" else known[sku, key])
+            assert r.order_id == ("order-old" if key == "old" else known[key])
         elif left.get(sku, 0) < q:
             want = ("failed", f"Insufficient inventory for SKU: {sku}")
         else:
@@ -109,10 +109,11 @@ def test_checkout_against_plain_python(spark):
                 usd = usd * (1 - c[2] / 100) if c[1] == "PERCENTAGE" else usd - c[2]
             usd = max(0.0, usd)
             left[sku] -= q
-            known[sku, key] = f"order-{k}"
+            known[key] = f"order-{k}"
             want = ("confirmed", None)
             assert r.total == pytest.approx(usd / rate, abs=0.011) and r.order_id == f"order-{k}"
         assert (r.status, r.reason) == want, k
+    assert any(r.status == "repeated" and r.sku != got[int(r.order_id[6:])].sku for r in got.values() if (r.order_id or "")[6:].isdigit())  # under another SKU
     assert checkout.new_orders(out).count() == checkout.audit_rows(out).count() == sum(r.status == "confirmed" for r in got.values())
     assert all(len(r.errors) == 2 for r in checkout.notifications(out).collect())
 
