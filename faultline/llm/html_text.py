@@ -11,7 +11,7 @@ or main element goes before others unless its sum is below `OWN` of theirs.  Eac
 threshold: the least density from the best node up to it.  If the path holds an article or main element, the text is that of
 the outermost one, and of others of at least `LIKE` times its threshold.  If not, it is the best node and, at every step of
 the path, of the children beside it those that reach the threshold, containers of running paragraphs that reach `LIKE` times
-the threshold (`BOX` times, where they begin with a heading, as boxes beside the text do), text elements next to these, and
+the threshold (`BOX` times, where they begin with a heading of another level than the best node's, as boxes do), text elements next to these, and
 what stands between them; a heading ahead of the text belongs to it.  A block that is mostly links, or has such a name, is
 left out wherever it is below the threshold.  Without an h1 in the text, the last one ahead of it is its title, unless that
 stands in a box apart and either the text begins with a heading or the box is named as the site's head (`SITE`).
@@ -62,7 +62,7 @@ BACK = frozenset("no not non without has have with free enabled disabled open cl
 PENALTY, COMMENT_PENALTY = 0.1, 0.02
 #: Share of the greatest sum of all that the greatest in an article or main element needs to go before it.
 OWN = 0.1
-#: Share of the threshold that a second container of running text has at least, and one that begins with a heading of its own.
+#: Share of the threshold that a second container of running text has at least, and one that begins with another level of heading.
 LIKE, BOX = 0.1, 0.5
 #: Characters of a paragraph that counts as running text.
 LONG = 80
@@ -360,11 +360,12 @@ def _kept(page: Page) -> list[bool]:
                 k += 1
     else:
         take(path[0], thresholds[0])
-        headed, seen = set(), -1  # nodes whose first text is a heading
+        heads = {nodes[k].tag for k, _, _ in stretches if path[0] <= k < nodes[path[0]].last} & HEADINGS
+        headed, seen = set(), -1  # nodes whose first text is a heading of a level that the best node has not
         for k, _, _ in stretches:
             at = k
             while at > seen:
-                if nodes[k].tag in HEADINGS:
+                if nodes[k].tag in HEADINGS - heads:
                     headed.add(at)
                 at = nodes[at].parent
             seen = max(seen, k)
