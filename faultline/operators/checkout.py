@@ -12,6 +12,9 @@ from . import records
 
 REASONS = ("Quantity must be positive", "SKU required", "Insufficient inventory for SKU: ", "Payment failed: ")
 
+#: Most coupons that are broadcast to the requests.
+MOST_COUPONS = 100_000
+
 
 def charge(amount: Column) -> Column:
     """Whether a payment goes through: all but negative amounts."""
@@ -22,6 +25,8 @@ def priced(requests: DataFrame, coupons: DataFrame) -> DataFrame:
     """Adds subtotal, discounted (a valid coupon was given) and total in the request's currency; an unknown or invalid
     coupon gives no discount."""
     c = coupons.select(F.col("code").alias("_code"), "kind", "value", "minimum", "active")
+    if c.limit(MOST_COUPONS + 1).count() <= MOST_COUPONS:
+        c = F.broadcast(c)  # few codes stand on many requests, so a shuffle by code would have as few tasks
     joined = requests.join(c, F.nullif(F.trim("coupon_code"), F.lit("")) == F.col("_code"), "left").withColumn("subtotal", F.col("unit_price") * F.col("quantity"))
     valid = F.col("_code").isNotNull() & records.coupon_valid(F.col("active"), F.col("kind"), F.col("value"), F.col("minimum"), F.col("subtotal"))
     usd = records.to_usd(F.col("subtotal"), F.col("currency"))
@@ -53,49 +58,58 @@ def checkout(requests: DataFrame, coupons: DataFrame, stock: DataFrame, orders:
     Requests of a SKU are taken in order of `at` and request_id.  One whose key an order has already, stored or confirmed
     before, is repeated and gets that order; a reservation needs enough stock; a payment that fails gives the stock back.
     The state of a SKU is its stock and the keys that it confirmed; SKUs that share a key are worked off together.
+    Requests that a guard refuses and those of stored orders neither read nor change that state: they are settled where
+    they are, so a SKU that many of them name (a blank one) takes no task of its own.
     """
-    rows = priced(requests, coupons).join(stock.select("sku", F.col("qty").alias("_stock")), "sku", "left")
+    rows = priced(requests, coupons)
     if orders is not None:
         old = orders.filter("idempotency_key is not null").groupBy("idempotency_key").agg(F.min(F.struct("order_id", F.col("total").cast("double").alias("total"))).alias("_old"))
-        rows = rows.join(old, "idempotency_key", "left")
+        # requests without a key find nothing and are spread
+        spread = F.when(F.col("idempotency_key").isNull(), 1 + F.pmod(F.hash("request_id"), F.lit(10_000))).otherwise(0)
+        rows = rows.withColumn("_spread", spread).join(old.withColumn("_spread", F.lit(0)), ["idempotency_key", "_spread"], "left").drop("_spread")
     else:
         rows = rows.withColumn("_old", F.lit(None).cast("struct<order_id:string,total:double>"))
-    links = linked_skus(rows.filter("_old is null and quantity > 0 and trim(sku) <> ''")).withColumnRenamed("group", "_group")
-    rows = rows.join(links, "sku", "left").withColumn("_group", F.coalesce("_group", "sku"))
     guard = F.when(~F.coalesce(F.col("quantity") > 0, F.lit(False)), REASONS[0]).when(F.coalesce(F.trim("sku"), F.lit("")) == "", REASONS[1])
-    rows = rows.select("_group", "request_id", "at", "customer_id", "sku", "quantity", "currency", "idempotency_key", guard.alias("_guard"), F.col("_old.order_id").alias("_order"), F.col("_old.total").alias("_total"), F.coalesce("_stock", F.lit(0)).cast("long").alias("_stock"), F.col("total").alias("_price"), charge(F.col("total")).alias("_paid"))
-    kinds = dict(rows.dtypes)
     keep = ["request_id", "at", "customer_id", "sku", "quantity", "currency", "idempotency_key"]
+    rows = rows.select(*keep, guard.alias("_guard"), "_old", F.col("total").alias("_price"), charge(F.col("total")).alias("_paid"))
+    refused = F.col("_guard").isNotNull()
+    settled = rows.filter(refused | F.col("_old").isNotNull()).select(
+        *keep, F.when(refused, "failed").otherwise("repeated").alias("status"), F.col("_guard").alias("reason"),
+        F.when(~refused, F.col("_old.order_id")).alias("order_id"), F.when(~refused, F.col("_old.total")).alias("total"),
+    )
+    rows = rows.filter(~refused & F.col("_old").isNull()).drop("_guard", "_old")
+    links = linked_skus(rows).withColumnRenamed("group", "_group")
+    rows = rows.join(stock.select("sku", F.coalesce("qty", F.lit(0)).cast("long").alias("_stock")), "sku", "left").join(links, "sku", "left")
+    rows = rows.select(F.coalesce("_group", "sku").alias("_group"), *keep, F.coalesce("_stock", F.lit(0).cast("long")).alias("_stock"), "_price", "_paid")
+    kinds = dict(rows.dtypes)
+    asked = ["_group", "request_id", "sku", "quantity", "idempotency_key", "_stock", "_price", "_paid"]
 
     def run(batches):
         now, started, left, known = None, False, {}, {}
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                if not started or r["_group"] != now:
-                    now, started, left, known = r["_group"], True, {}, {}
-                left.setdefault(r["sku"], r["_stock"])
-                key = r["idempotency_key"]
-                if r["_guard"]:
-                    out.append(("failed", r["_guard"], None, None))
-                elif r["_order"] is not None or (key is not None and key in known):
-                    order, total = (r["_order"], r["_total"]) if r["_order"] is not None else known[key]
-                    out.append(("repeated", None, order, total))
-                elif left[r["sku"]] < r["quantity"]:
-                    out.append(("failed", REASONS[2] + r["sku"], None, None))
-                elif not r["_paid"]:
+            for group, request, sku, quantity, key, opening, price, paid in zip(*[batch.column(c).to_pylist() for c in asked], strict=True):
+                if not started or group != now:
+                    now, started, left, known = group, True, {}, {}
+                have = left.setdefault(sku, opening)
+                if key is not None and key in known:
+                    out.append(("repeated", None, *known[key]))
+                elif have < quantity:
+                    out.append(("failed", REASONS[2] + sku, None, None))
+                elif not paid:
                     out.append(("failed", REASONS[3] + "negative amount", None, None))
                 else:
-                    left[r["sku"]] -= r["quantity"]
-                    order = f"order-{r['request_id']}"
+                    left[sku] = have - quantity
+                    order = f"order-{request}"
                     if key is not None:
-                        known[key] = (order, r["_price"])
-                    out.append(("confirmed", None, order, r["_price"]))
+                        known[key] = (order, price)
+                    out.append(("confirmed", None, order, price))
             status, reason, order, total = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(status, pa.string()), pa.array(reason, pa.string()), pa.array(order, pa.string()), pa.array(total, pa.float64())], [*keep, "status", "reason", "order_id", "total"])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", status string, reason string, order_id string, total double"
-    return rows.repartition(F.col("_group")).sortWithinPartitions("_group", "at", "request_id").mapInArrow(run, schema)
+    taken = rows.repartition(F.col("_group")).sortWithinPartitions("_group", "at", "request_id").mapInArrow(run, schema)
+    return taken.unionByName(settled)
 
 
 def new_orders(results: DataFrame) -> DataFrame:

@@ -147,3 +147,18 @@ def test_calibration_of_the_ensemble(spark):
     bad = spark.createDataFrame([(400 + k, 0.98, 0.45, 0.96, 0.06, 0.92, 0.97) for k in range(5)], df.schema)
     scored = models.ensemble_scores(df.filter("k >= 395").unionByName(bad), model).withColumn("s", F.lit("x"))
     assert timeseries.incident_start(scored, ["s"], "k", "is_anomaly", 2).first().start == 400
+
+
+def test_refused_requests_do_not_meet_in_one_task(spark):
+    rows = spark.range(0, 8000, 1, 8).select(
+        F.col("id").alias("request_id"), F.col("id").alias("at"), F.lit(1).alias("customer_id"), F.when(F.col("id") % 2 == 0, " ").otherwise(F.concat(F.lit("s"), (F.col("id") % 97).cast("string"))).alias("sku"),
+        F.lit(1).alias("quantity"), F.lit(20.0).alias("unit_price"), F.lit("USD").alias("currency"), F.lit("TEN").alias("coupon_code"), F.lit(None).cast("string").alias("idempotency_key"),
+    )
+    coupons = spark.createDataFrame([("TEN", "FIXED", 10.0, 0.0, True)], "code string, kind string, value double, minimum double, active boolean")
+    stock = spark.createDataFrame([(f"s{k}", 1000) for k in range(97)], "sku string, qty int")
+    old = spark.createDataFrame([("o", 1.0, "old")], "order_id string, total double, idempotency_key string")
+    for orders in (None, old):
+        out = checkout.checkout(rows, coupons, stock, orders)
+        assert {(r.status, r.reason): r["count"] for r in out.groupBy("status", "reason").count().collect()} == {("failed", "SKU required"): 4000, ("confirmed", None): 4000}
+        blank = out.filter("status = 'failed'").groupBy(F.spark_partition_id()).count()
+        assert blank.agg(F.max("count")).first()[0] <= 2500
