@@ -26,9 +26,10 @@ def text_blocks(text: Column) -> Column:
     return F.when(F.size(parts) > 1, parts).otherwise(F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"\S")))
 
 
-def line_at(block: Column, place: Column) -> Column:
-    """The line of a block that holds the character at `place` (1 is the first)."""
-    return F.concat(F.substring_index(F.substring(block, F.lit(1), place - 1), "\n", -1), F.substring_index(F.substring(block, place, F.length(block)), "\n", 1))
+def line_of(block: str, found: str) -> Column:
+    """The line of a block in which a text that it holds begins, first occurrence; both are names of columns."""
+    before = F.expr(f"substring_index({block}, {found}, 1)")
+    return F.concat(F.substring_index(before, "\n", -1), F.substring_index(F.substring(F.col(block), F.length(before) + 1, F.length(block)), "\n", 1))
 
 
 def share_of_one(value: Column, line: Column) -> Column:
@@ -36,28 +37,31 @@ def share_of_one(value: Column, line: Column) -> Column:
     return F.when(value.isNotNull(), F.least(F.lit(1.0), F.when(line.contains("%") | (value > 1), value / 100.0).otherwise(value)))
 
 
-def metric_values(block: Column, name: str) -> tuple[Column, Column]:
-    """(value, value behind an arrow on its line) of a metric, scaled and at most 1; null where there is none."""
-    pattern, scale = METRICS[name]
-    line = line_at(block, F.regexp_instr(block, F.lit(pattern)))
-    number = lambda c: F.nullif(c, F.lit("")).cast("double")
-    first, second = number(F.regexp_extract(block, pattern, 1)), F.when(block.rlike(pattern), number(F.regexp_extract(line, ARROW, 2)))
-    if name == "error_rate":
-        return share_of_one(first, line), share_of_one(second, line)
-    capped = lambda v: F.when(v.isNotNull(), F.least(F.lit(1.0), v / scale))
-    return capped(first), capped(second)
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The rows with these columns, each made once for a row, however often later steps read it: projections are merged and
+    would repeat it, a generator is not."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def text_snapshots(df: DataFrame, text: str) -> DataFrame:
     """block (0 is the first), label (baseline or incident) and the six features of every snapshot in the text, beside the
     other columns.  A block gives a baseline with three metrics or more; with an arrow also the incident, whose values
-    behind arrows go before the others.  Metrics that are missing count 0."""
-    rows = df.select(*[c for c in df.columns if c != text], F.posexplode(text_blocks(F.col(text))).alias("block", "_block"))
-    for name in METRICS:
-        first, second = metric_values(F.col("_block"), name)
-        rows = rows.withColumns({f"_a_{name}": first, f"_b_{name}": second})
-    shown = F.array(*[F.col(f"_a_{m}") for m in METRICS])
-    behind = F.array(*[F.col(f"_b_{m}") for m in METRICS])
+    behind arrows go before the others.  Metrics that are missing count 0; values are scaled and at most 1."""
+    number = lambda c: F.nullif(c, F.lit("")).cast("double")
+    keep = [c for c in df.columns if c != text]
+    rows = df.select(*keep, F.posexplode(text_blocks(F.col(text))).alias("block", "_block"))
+    rows = _once(rows, {f"_m_{m}": F.nullif(F.regexp_extract("_block", pattern, 0), F.lit("")) for m, (pattern, _) in METRICS.items()})
+    # what a pattern has found it finds again in that alone
+    rows = _once(rows, {f"_v_{m}": number(F.regexp_extract(f"_m_{m}", pattern, 1)) for m, (pattern, _) in METRICS.items()} | {f"_l_{m}": F.when(F.col(f"_m_{m}").isNotNull(), line_of("_block", f"_m_{m}")) for m in METRICS})
+    arrow = lambda line: line.contains("→") | line.contains(">")
+    rows = _once(rows, {f"_w_{m}": F.when(arrow(F.col(f"_l_{m}")), number(F.regexp_extract(f"_l_{m}", ARROW, 2))) for m in METRICS})
+
+    def scaled(letter: str, m: str) -> Column:
+        v = F.col(f"_{letter}_{m}")
+        return share_of_one(v, F.col(f"_l_{m}")) if m == "error_rate" else F.when(v.isNotNull(), F.least(F.lit(1.0), v / METRICS[m][1]))
+
+    rows = _once(rows, {"_shown": F.array(*[scaled("v", m) for m in METRICS]), "_behind": F.array(*[scaled("w", m) for m in METRICS])})
+    shown, behind = F.col("_shown"), F.col("_behind")
     merged = F.zip_with(behind, shown, lambda b, a: F.coalesce(b, a))
     there = lambda a: F.size(F.array_compact(a))
     kinds = F.array_compact(F.array(
@@ -65,7 +69,6 @@ def text_snapshots(df: DataFrame, text: str) -> DataFrame:
         F.when((there(behind) > 0) & (there(merged) >= LEAST), F.struct(F.lit("incident").alias("label"), merged.alias("values"))),
     ))
     rows = rows.withColumn("_s", F.explode(kinds))
-    keep = [c for c in df.columns if c != text]
     return rows.select(*keep, "block", "_s.label", *[F.coalesce(F.get("_s.values", F.lit(k)), F.lit(0.0)).alias(m) for k, m in enumerate(METRICS)])
 
 

@@ -162,3 +162,13 @@ def test_refused_requests_do_not_meet_in_one_task(spark):
         assert {(r.status, r.reason): r["count"] for r in out.groupBy("status", "reason").count().collect()} == {("failed", "SKU required"): 4000, ("confirmed", None): 4000}
         blank = out.filter("status = 'failed'").groupBy(F.spark_partition_id()).count()
         assert blank.agg(F.max("count")).first()[0] <= 2500
+
+
+def test_each_metric_is_searched_once(spark):
+    df = spark.createDataFrame([(1, "\U0001f525" * 60 + "\ncpu: 10 → 50 memory: 40 error rate: 3%\nend")], "id int, text string")
+    out = metrics.text_snapshots(df, "text")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(metrics.METRICS["cpu_pct"][0]) <= 2  # in the block, and the number in what was found
+    # the line is found behind characters that take two units of UTF-16
+    got = {(r.block, r.label): (r.cpu_pct, r.mem_pct, r.error_rate) for r in metrics.text_snapshots(df.selectExpr("id", "concat(text, '\n\n.') AS text"), "text").collect()}
+    assert got == {(0, "baseline"): (0.1, 0.4, 0.03), (0, "incident"): (0.5, 0.5, 0.5)}
