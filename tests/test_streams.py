@@ -27,6 +27,24 @@ def test_streaks_go_on_after_a_restart(spark):
     assert [r[1:] for r in got if r[0] is None] == [(5, 1, 5, False)]
 
 
+def test_streaks_of_many_keys_take_few_calls(spark):
+    """Keys share calls and state: 3,000 keys in three batches, against plain Python, with state for those in a streak only."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(3000) + 2**60, o, rng.random() < 0.6) for o in range(12_000)]
+    got, at = run(spark, rows, "k long, o long, f boolean", "o", lambda x: processors.anomaly_streaks(x, "k", "o", "f"))
+    state, want = {}, []
+    for k, o, flag in rows:
+        n, first = state.get(k, (0, None))
+        state[k] = (n + 1, first if n else o) if flag else (0, None)
+        want.append((k, o, *state[k], state[k][0] == 3))
+    assert sorted(got, key=lambda r: r[1]) == want
+    held = spark.read.format("statestore").option("stateVarName", "streaks").load(at)
+    assert {(r.list_element.key, r.list_element.n, r.list_element.first) for r in held.collect()} == {(k, *v) for k, v in state.items() if v[0]}
+    assert held.select("key").distinct().count() <= 1025
+
+
 def test_limiter_forgets_idle_keys(spark):
     rows = [("a", 1000 + t) for t in (0, 10, 20, 59, 60, 61, 200)] + [("idle", 1005)]
     build = lambda x: processors.limited(x.withColumn("ts", F.timestamp_seconds("t")), "k", "ts", 2, 60)
