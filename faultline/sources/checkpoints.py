@@ -123,10 +123,77 @@ def phase_sink(path: str):
     return write
 
 
+#: Batches of a document table after which one writes every document again, so that a reader meets no more than these.
+WHOLE_EVERY = 16
+
+
+def _marks(path: str) -> dict[int, str]:
+    """The finished batches of a document table and what they wrote: `part` (the incidents they touched), `whole` or `none`."""
+    system, root = _at(path)
+    marks = {}
+    for info in system.get_file_info(fs.FileSelector(f"{root}/_batches", allow_not_found=True)):
+        if info.type == fs.FileType.File and info.base_name.isdigit():
+            with system.open_input_stream(info.path) as f:
+                marks[int(info.base_name)] = f.read().decode()
+    return marks
+
+
+def read_document_table(spark: SparkSession, path: str, below: int | None = None) -> DataFrame:
+    """The newest document of each incident in a folder of `table_sink`, of batches below this number; batches that were cut
+    off do not count."""
+    marks = {k: v for k, v in _marks(path).items() if v != "none" and (below is None or k < below)}
+    since = max((k for k, v in marks.items() if v == "whole"), default=0)
+    numbers = sorted(k for k in marks if k >= since)
+    if not numbers:
+        return spark.createDataFrame([], FIELDS)
+    rows = spark.read.schema(f"{FIELDS}, batch long").parquet(*[f"{path}/batch-{k}" for k in numbers])
+    if len(numbers) == 1:
+        return rows.drop("batch")
+    return rows.groupBy("incident_id").agg(F.max_by(F.struct(*NAMES), "batch").alias("c")).select("c.*")
+
+
+def table_sink(path: str):
+    """A sink for foreachBatch like `phase_sink` for very many incidents, for which a file each is too slow to write and too
+    many to list: a batch writes the documents of its incidents as one table, and the newest of an incident counts.
+    `read_document_table` reads them; outputs stay the JSON that they came as, and one that is no JSON ends the job.
+
+    A batch that comes again changes nothing: a finished one has left a mark, and one that was cut off is written anew from
+    the batches below it.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        system, root = _at(path)
+        marks = _marks(path)
+        if number in marks:
+            return
+        now = batch.agg(F.max("at")).first()[0]
+        kind = "none"
+        if now is not None:
+            kinds = [marks[k] for k in sorted(marks) if marks[k] != "none"]
+            kind = "whole" if len(kinds) >= WHOLE_EVERY and "whole" not in kinds[-WHOLE_EVERY + 1 :] else "part"
+            before = read_document_table(batch.sparkSession, path, number)
+            if kind == "part":
+                before = before.join(batch.select("incident_id").distinct(), "incident_id", "left_semi")
+            good = F.when(F.col("output").isNull() | F.try_parse_json("output").isNotNull(), F.col("output")).otherwise(F.raise_error(F.concat(F.lit("the output is no JSON: "), "output")))
+            docs = merged(before, batch.drop("at").withColumn("output", good), F.lit(now))
+            docs.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        system.create_dir(f"{root}/_batches", recursive=True)
+        temporary = f"{root}/_batches/.{number}.{uuid.uuid4().hex}.tmp"
+        with system.open_output_stream(temporary) as f:
+            f.write(kind.encode())
+        system.move(temporary, f"{root}/_batches/{number}")
+
+    return write
+
+
+def first_open(outputs: Column) -> Column:
+    """The first phase in order that has no output yet; null if all have one."""
+    return F.get(F.filter(F.array(*[F.lit(p) for p in PHASES]), lambda p: ~F.map_contains_key(outputs, p)), F.lit(0))
+
+
 def next_phase(checkpoints: DataFrame) -> DataFrame:
     """incident_id, next_phase: the first phase in order that has no output yet; null if all have one."""
-    open_ = F.filter(F.array(*[F.lit(p) for p in PHASES]), lambda p: ~F.map_contains_key(F.col("phase_outputs"), p))
-    return checkpoints.select("incident_id", F.get(open_, F.lit(0)).alias("next_phase"))
+    return checkpoints.select("incident_id", first_open(F.col("phase_outputs")).alias("next_phase"))
 
 
 def clear_checkpoints(incidents: DataFrame, path: str) -> DataFrame:

@@ -91,6 +91,37 @@ def test_a_batch_of_phases_that_comes_again_changes_nothing(spark, tmp_path, mon
     assert sorted(map(tuple, checkpoints.next_phase(checkpoints.read_checkpoints(spark, cut)).collect())) == [("I1", "prior_incident"), ("I2", "signals"), ("I3", "intake")]
 
 
+def test_documents_in_a_table_are_those_in_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(checkpoints, "WHOLE_EVERY", 3)
+    frames = [spark.createDataFrame([(f"I{(3 * k + j) % 7}", checkpoints.PHASES[(k + j) % 4], f'{{"n":{k}}}', f"s{k}" if j else None, 2 * k + j, f"t{k}") for j in range(2)], PHASES) for k in range(8)]
+    frames.insert(4, spark.createDataFrame([], PHASES))
+    files, table = str(tmp_path / "files"), str(tmp_path / "table")
+    first, second = checkpoints.phase_sink(files), checkpoints.table_sink(table)
+    for k, frame in enumerate(frames):
+        first(frame, k)
+        if k == 5:  # cut off: a table without its mark
+            frames[0].write.parquet(f"{table}/batch-5")
+        second(frame, k)
+        second(frame, k)
+    key = lambda r: (r.incident_id, r.last_completed_phase, r.rca_stage, r.started_at, r.updated_at, sorted(r.phase_outputs.items()))
+    assert sorted(map(key, checkpoints.read_document_table(spark, table).collect())) == documents(spark, files)
+    kinds = checkpoints._marks(table)
+    assert kinds[4] == "none" and [kinds[k] for k in (0, 1, 2, 3)] == ["part", "part", "part", "whole"] and list(kinds.values()).count("whole") == 2
+    bad = spark.createDataFrame([("I1", "intake", "{", None, 99, "t")], PHASES)
+    with pytest.raises(Exception, match="no JSON"):
+        second(bad, 9)
+    assert 9 not in checkpoints._marks(table)
+
+
+def test_documents_of_many_incidents_take_few_files(spark, tmp_path):
+    import os
+
+    batch = spark.range(0, 5000, 1, 4).select(F.concat(F.lit("I"), F.col("id").cast("string")).alias("incident_id"), F.lit("intake").alias("phase"), F.lit("1").alias("output"), F.lit(None).cast("string").alias("rca_stage"), F.col("id").alias("seq"), F.lit("t").alias("at"))
+    checkpoints.table_sink(str(tmp_path))(batch, 0)
+    assert checkpoints.read_document_table(spark, str(tmp_path)).count() == 5000
+    assert sum(len(files) for _, _, files in os.walk(tmp_path)) < 50
+
+
 def test_stock_rate_and_windows_as_streams(spark):
     moves = [("s", k, kind, q) for k, (kind, q) in enumerate([("release", 5), ("reserve", 3), ("reserve", 3), ("release", 1), ("reserve", 3)])]
     got, _ = run(spark, moves, "sku string, o long, kind string, quantity long", "o", lambda x: stateful.stock_stream(x, "sku"))
